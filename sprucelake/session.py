@@ -70,7 +70,7 @@ def ship(spark: SparkSession) -> None:
 
     if spark.conf.get("spark.sprucelake.shipped", None):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        package = shutil.make_archive(f"{folder}/sprucelake", "zip", Path(__file__).parent.parent, "sprucelake")
-        spark.sparkContext.addPyFile(package)
+    folder = tempfile.mkdtemp()  # the driver's file server reads it as long as the session lives
+    package = shutil.make_archive(f"{folder}/sprucelake", "zip", Path(__file__).parent.parent, "sprucelake")
+    spark.sparkContext.addPyFile(package)
     spark.conf.set("spark.sprucelake.shipped", "yes")
