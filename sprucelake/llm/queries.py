@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sprucelake.llm.exact_dedup import EXACT_SQL, exact_groups
 from sprucelake.llm.minhash import near_groups
+from sprucelake.llm.sharding import shards_by_key
+from sprucelake.llm.token_counts import token_counts
 from sprucelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,4 +21,17 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
-QUERIES["op8_minhash"] = op8_minhash
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards_by_key(table(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES |= {q.__name__: q for q in (op2_token_counts, op6_exact_dedup, op7_sharding, op8_minhash)}
+ORACLE["op6_exact_dedup"] = EXACT_SQL
