@@ -1,25 +1,72 @@
-"""The corpus pipeline: each stage works on what its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept, and what it decides holds for the next.
+
+Rows with a null doc_id or a null text pass the filters (a null text counts as empty: the copies
+of one are exact duplicates). Columns other than those of documents are carried along untouched.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sprucelake.llm.common import written
+from sprucelake.llm.common import small, written
+from sprucelake.llm.decontaminate import overlaps
+from sprucelake.llm.exact_dedup import exact_groups, normalised
 from sprucelake.llm.minhash import near_groups
+from sprucelake.llm.pieces import encoded
+from sprucelake.llm.toxicity import fitted_score
 from sprucelake.session import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+TOXIC = 0.7
+MODEL = "piece_bpe_32k.model"
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below TOXIC stay. The scorer is fitted to the labelled rows of docs that are not held out."""
+    return docs.where(fitted_score(docs, table(spark, sf_dir, "labels")) < TOXIC).select(docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays; of rows that repeat that too, one."""
+    gone = written(exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "copies")
+    key = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("text_sha256"))
+    marked = docs.withColumn("own_sha", F.sha2(normalised(F.col("text")), 256))
+    stay = marked.join(small(gone.select(F.col("doc_id").alias("id"), "text_sha256")), key, "left_anti").select(docs.columns)
+    # Rows that stay once though they were repeated.
+    again = marked.join(small(gone.where("kept").select(F.col("doc_id").alias("id"), "text_sha256")), key, "left_semi")
+    return stay.unionByName(again.dropDuplicates(["doc_id", "own_sha"]).select(docs.columns))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group at similarity 0.8 or more on five-word shingles the document with the smallest doc_id stays."""
+    gone = written(near_groups(docs).where("not kept").select("doc_id"), "near-copies")
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item stay."""
+    gone = written(overlaps(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct(), "leaks")
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at 0.8 or more on five-word shingles stays, the one with the smallest doc_id."""
-    kept = near_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's best segmentations, and whether decoding gives its text back."""
+    return encoded(docs, public_tokenizers.path(MODEL), n=4)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("minhash", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("sentencepiece", pieces),
+]
+#: SQL can't express the first, third and fifth stage.
 ORACLE_SQL = None
 
 

@@ -6,13 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sprucelake.session import delete_folder, shared_folder, written
 
-__all__ = ["WordHashes", "components", "delete_folder", "lower_words", "mix", "shared_folder", "shingles", "slices", "small_batches", "written"]
+__all__ = ["WordHashes", "components", "delete_folder", "lower_words", "mix", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
 
 #: A worker's memo of words is emptied at this size.
 MEMO_WORDS = 300_000
@@ -74,11 +75,16 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for a, b in slices(sizes, most):
             yield batch.slice(a, b - a)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df (ids, written already) with a broadcast hint if it is counted and has `most` rows at most; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(v, component) for each end of the edges (a, b): component is the smallest vertex that can be reached.
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import written
+from sprucelake.llm.common import small, written
 
 FINGERPRINT_BITS = 48
 #: Documents in a block, and the fingerprints that an owner gets, on average.
@@ -115,8 +115,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = written(rows.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_suspects, "doc_id long, sha binary, copy long, suspect boolean"), "suspects")
 
     # Suspects' whole texts meet; equal bytes make a group.
-    ids = seen.where("suspect").select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    ids = written(seen.where("suspect").select(F.col("doc_id").alias("id")).distinct(), "suspect-ids")
+    texts = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     groups = texts.groupBy(F.xxhash64("text").alias("print"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.where("group_size > 1").select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     out = seen.join(groups, "sha", "left")

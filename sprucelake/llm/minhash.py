@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, components, lower_words, mix, shingles, small_batches, written
+from sprucelake.llm.common import WordHashes, components, lower_words, mix, shingles, small, small_batches, written
 
 #: Members of a block in what remains after the first comparison of a bucket.
 BLOCK = 1000
@@ -156,8 +156,8 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     heads = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     inside = written(members.join(heads, "bucket"), "inside")
     pairs = inside.join(classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").where(f"rep <> hub and least(n, hub_n) * 100 >= {percent} * greatest(n, hub_n)").select("hub", "rep").distinct()
-    wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    wanted = written(inside.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = written(shingle_sets(docs.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
 
     def same(joined: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("s", "t"))

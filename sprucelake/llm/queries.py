@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sprucelake.llm.decontaminate import overlaps
 from sprucelake.llm.exact_dedup import EXACT_SQL, exact_groups
 from sprucelake.llm.minhash import near_groups
+from sprucelake.llm.pieces import encoded
 from sprucelake.llm.sharding import shards_by_key
 from sprucelake.llm.token_counts import token_counts
+from sprucelake.llm.toxicity import toxicity_scores
 from sprucelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,8 +24,20 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
+MODEL = "piece_bpe_32k.model"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its best segmentation, the four best with score, size and digest, and whether decoding gives the text back."""
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL), n=4)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +48,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards_by_key(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES |= {q.__name__: q for q in (op2_token_counts, op6_exact_dedup, op7_sharding, op8_minhash)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which it holds a passage."""
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op4_sentencepiece, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination)}
 ORACLE["op6_exact_dedup"] = EXACT_SQL
