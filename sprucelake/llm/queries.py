@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sprucelake.llm.decontaminate import overlaps
 from sprucelake.llm.exact_dedup import EXACT_SQL, exact_groups
+from sprucelake.llm.html_text import main_texts
 from sprucelake.llm.minhash import near_groups
 from sprucelake.llm.pieces import encoded
 from sprucelake.llm.sharding import shards_by_key
 from sprucelake.llm.token_counts import token_counts
 from sprucelake.llm.toxicity import toxicity_scores
+from sprucelake.llm.warc import WARC_SQL, archived
 from sprucelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its best segmentation, the four best with score, size and digest, and whether decoding gives the text back."""
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL), n=4)
@@ -53,5 +59,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op4_sentencepiece, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_warc, op4_sentencepiece, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination, op10_html_text)}
 ORACLE["op6_exact_dedup"] = EXACT_SQL
+ORACLE["op3_warc"] = WARC_SQL
