@@ -12,6 +12,7 @@ from sprucelake.llm.exact_dedup import EXACT_SQL, exact_groups
 from sprucelake.llm.html_text import main_texts
 from sprucelake.llm.minhash import near_groups
 from sprucelake.llm.pieces import encoded
+from sprucelake.llm.repeats import without_repeats
 from sprucelake.llm.sharding import shards_by_key
 from sprucelake.llm.token_counts import token_counts
 from sprucelake.llm.toxicity import toxicity_scores
@@ -46,6 +47,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL), n=4)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_warc, op4_sentencepiece, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination, op10_html_text)}
+QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_warc, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination, op10_html_text)}
 ORACLE["op6_exact_dedup"] = EXACT_SQL
 ORACLE["op3_warc"] = WARC_SQL
