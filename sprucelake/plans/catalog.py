@@ -1,30 +1,6 @@
 """All relational queries with their oracles."""
 
-from __future__ import annotations
+from sprucelake.plans import analytics, relational, scalars, streams, text
+from sprucelake.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sprucelake.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where("l_shipdate <= timestamp_ntz'2001-06-01'")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
-    )
-
-
-QUERIES["pricing_summary"] = pricing_summary
-ORACLE["pricing_summary"] = """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-  round(avg(l_discount), 6) AS avg_disc, count(*) AS n
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY 1, 2"""
+__all__ = ["ORACLE", "QUERIES", "analytics", "relational", "scalars", "streams", "text"]
