@@ -33,13 +33,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays; of rows that repeat that too, one."""
-    gone = written(exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "copies")
-    key = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("text_sha256"))
-    marked = docs.withColumn("own_sha", F.sha2(normalised(F.col("text")), 256))
-    stay = marked.join(small(gone.select(F.col("doc_id").alias("id"), "text_sha256")), key, "left_anti").select(docs.columns)
+    copies = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
+    # Names that no column of documents has.
+    copies = written(copies.select(F.col("doc_id").alias("_copy_id"), F.col("text_sha256").alias("_copy_sha"), F.col("kept").alias("_copy_kept")), "copies")
+    marked = docs.withColumn("_own_sha", F.sha2(normalised(F.col("text")), 256))
+    key = F.col("doc_id").eqNullSafe(F.col("_copy_id")) & (F.col("_own_sha") == F.col("_copy_sha"))
+    stay = marked.join(small(copies), key, "left_anti")
     # Rows that stay once though they were repeated.
-    again = marked.join(small(gone.where("kept").select(F.col("doc_id").alias("id"), "text_sha256")), key, "left_semi")
-    return stay.unionByName(again.dropDuplicates(["doc_id", "own_sha"]).select(docs.columns))
+    again = marked.join(small(copies.where("_copy_kept")), key, "left_semi").dropDuplicates(["doc_id", "_own_sha"])
+    return stay.unionByName(again).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

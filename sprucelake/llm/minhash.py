@@ -14,8 +14,9 @@ blocks returns spanning links only. So a large group costs rows in proportion to
 no link between different components is lost to a cap.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; fewer than
-k words are one shingle; repeated rows are documents of their own in one class; rows with a null
-id are left out of the groups and come back with component null and kept true. Texts of any
+k words are one shingle; rows that share an id are one document, linked by any of their texts,
+and each comes back; rows with a null id are left out of the groups and come back with component
+null and kept true. Texts of any
 length are read whole. Columns besides id and text are ignored, so clashing names do no harm.
 """
 
@@ -157,7 +158,7 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     inside = written(members.join(heads, "bucket"), "inside")
     pairs = inside.join(classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").where(f"rep <> hub and least(n, hub_n) * 100 >= {percent} * greatest(n, hub_n)").select("hub", "rep").distinct()
     wanted = written(inside.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    sets = written(shingle_sets(docs.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    sets = written(shingle_sets(docs.join(small(wanted), "doc_id", "left_semi").distinct(), k), "sets")
 
     def same(joined: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("s", "t"))
