@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import small, written
+from sprucelake.llm.common import discard, small, written
 from sprucelake.llm.decontaminate import overlaps
 from sprucelake.llm.exact_dedup import exact_groups, normalised
 from sprucelake.llm.minhash import near_groups
@@ -73,7 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
     return docs

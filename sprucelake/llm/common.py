@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sprucelake.session import delete_folder, shared_folder, written
 
-__all__ = ["WordHashes", "components", "delete_folder", "lower_words", "mix", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
+__all__ = ["WordHashes", "components", "discard", "lower_words", "mix", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
 
 #: A worker's memo of words is emptied at this size.
 MEMO_WORDS = 300_000
@@ -85,6 +85,13 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete_folder(df.sparkSession, path)
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(v, component) for each end of the edges (a, b): component is the smallest vertex that can be reached.
 
@@ -93,7 +100,6 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     Labels stay distributed; each round is a written table, of which only the last two are kept.
     Minima are combined before the shuffle, so a hub with very many edges does no harm.
     """
-    spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), purpose)
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("component")), purpose)
     while True:
@@ -105,9 +111,7 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         after = written(labels.join(down, "v").join(up, "low", "left").select("v", F.col("component").alias("was"), F.least("low", F.coalesce("top", "low")).alias("component")), purpose)
         changed = after.where("was <> component").limit(1).count()
         labels, old = after.select("v", "component"), labels
-        for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
-            delete_folder(spark, path)
+        discard(old)
         if not changed:
-            for path in {f.rsplit("/", 1)[0] for f in both.inputFiles()}:
-                delete_folder(spark, path)
+            discard(both)
             return labels

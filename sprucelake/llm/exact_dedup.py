@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import small, written
+from sprucelake.llm.common import discard, small, written
 
 FINGERPRINT_BITS = 48
 #: Documents in a block, and the fingerprints that an owner gets, on average.
@@ -113,6 +113,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     coded = rows.select("block", "print").groupBy("block").applyInPandas(_send(blocks), "block int, owner int, base long, n long, low int, code binary")
     marks = coded.groupBy("owner").applyInPandas(_answer, "block int, owner int, n long, bits binary")
     seen = written(rows.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_suspects, "doc_id long, sha binary, copy long, suspect boolean"), "suspects")
+    discard(rows)
 
     # Suspects' whole texts meet; equal bytes make a group.
     ids = written(seen.where("suspect").select(F.col("doc_id").alias("id")).distinct(), "suspect-ids")

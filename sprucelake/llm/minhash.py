@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, components, lower_words, mix, shingles, small, small_batches, written
+from sprucelake.llm.common import WordHashes, components, discard, lower_words, mix, shingles, small, small_batches, written
 
 #: Members of a block in what remains after the first comparison of a bucket.
 BLOCK = 1000
@@ -178,6 +178,7 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     more = placed.join(one, "rep").groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
     all_links = links.union(more).distinct()
     final = components(all_links, "final")
+    discard(inside, wanted, sets, links, first)
 
     tops = classes.select("key", "rep").join(final.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.join(tops, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

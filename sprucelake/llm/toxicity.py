@@ -32,8 +32,8 @@ from sprucelake.llm.decontaminate import plain_words
 BITS = 20
 #: At most so many labelled rows are fitted, each so often.
 SAMPLE, EPOCHS = 12_000, 4
-#: FTRL: learning rate, its smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.5
+#: FTRL: learning rate, its smoothing, L1 and L2; what a row of label 1 weighs.
+ALPHA, BETA, L1, L2, POSITIVE = 1.0, 1.0, 12.0, 0.5, 4.0
 SKIP, PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,6 +55,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.n
         for at, label in rows:
             w = weight(at)
             g = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + w.sum())))) - label
+            g *= POSITIVE if label else 1.0
             root = np.sqrt(n[at])
             n[at] += g * g
             z[at] += g - (np.sqrt(n[at]) - root) / ALPHA * w
