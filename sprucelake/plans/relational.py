@@ -10,6 +10,8 @@ from sprucelake.operators.groups import latest, top_per_group, two_step
 from sprucelake.operators.joins import asof_join, band_join, join_small, salted_join
 from sprucelake.plans.registry import query
 from sprucelake.session import shared_folder, table
+from sprucelake.sources import jdbc
+from sprucelake.sources.calendar import Calendar
 from sprucelake.sources.files import read, round_trip, write
 
 
@@ -340,6 +342,21 @@ for _fmt in ("parquet", "orc", "json", "csv", "xml"):
     query("SELECT * FROM supplier")(_format_query(_fmt))
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def source_jdbc(spark, d):
+    """Through a database inside this JVM, so in local mode only."""
+    url, suppliers = "jdbc:derby:memory:sprucelake;create=true", table(spark, d, "supplier")
+    jdbc.write_table(suppliers, url, "supplier", jdbc.EMBEDDED_DRIVER)
+    read_back = jdbc.read_table(spark, url, "supplier", jdbc.EMBEDDED_DRIVER, "s_suppkey", 4, 0, 1000)
+    return read_back.toDF(*[c.lower() for c in read_back.columns]).select(suppliers.columns)
+
+
+@query("SELECT day::DATE AS day, isodow(day)::INT AS weekday, isodow(day) > 5 AS weekend FROM (SELECT unnest(generate_series(TIMESTAMP '2023-11-20', TIMESTAMP '2025-02-03', INTERVAL 1 DAY)) AS day)")
+def source_python(spark, d):
+    spark.dataSource.register(Calendar)
+    return spark.read.format("calendar").options(first="2023-11-20", last="2025-02-03").load()
+
+
 @query("SELECT n_name AS line FROM nation")
 def source_text(spark, d):
     path = shared_folder(spark, "nation-text")
