@@ -32,20 +32,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import mix, small_batches, written
+from sprucelake.llm.common import discard, mix, small, small_batches, written
 from sprucelake.llm.exact_dedup import golomb_decode, golomb_encode
 
 LENGTH = 50
 #: Bytes of a minimizer, and bits of its hash.
 K, BITS = 20, 40
 #: Bytes of text in a parcel; a longer text is cut, with an overlap that keeps every window.
-PARCEL = 4_000_000
+PARCEL = 3_000_000
 #: Minimizers of one owner and bytes of text in one group to sort, on average.
-OWNER_ENTRIES, GROUP_BYTES = 1_000_000, 1_500_000
+OWNER_ENTRIES, GROUP_BYTES = 1_000_000, 3_000_000
 #: A minimizer at so many places is dealt by windows.
 HOT = 5000
 
@@ -191,10 +192,14 @@ class Parcel:
             i = j
         self.doc, self.ordinal, self.a, self.b, self.at, self.hash = (np.concatenate([*x, np.empty(0, np.int64)]) for x in found)
         self.bytes = texts
+        self.number = xxhash.xxh3_64_intdigest(self.ids.tobytes() + self.names.tobytes()) >> 1
 
 
-def parcels(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Parcel]]:
+def parcels(batches: Iterable[pa.RecordBatch], needed: str | None = None) -> Iterator[tuple[pa.RecordBatch, Parcel]]:
+    """Parcels of the rows whose column `needed` is not null."""
     for batch in small_batches(batches, "text", PARCEL):
+        if needed:
+            batch = batch.filter(pc.is_valid(batch.column(needed)))
         yield batch, Parcel(batch.column("doc_id").to_pylist(), batch.column("name").to_pylist(), [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
 
 
@@ -224,19 +229,19 @@ def _announce(owners: int):
                 code, low = golomb_encode(h[heads[i:j]] - base, (1 << BITS) // owners + 1)
                 a, b = heads[i], heads[j] if j < len(heads) else len(h)
                 used, local = np.unique(doc[a:b], return_inverse=True)
-                rows.append((o, base, j - i, b - a, low, code, _narrow(members[i:j]), p.ids[used].tobytes(), p.names[used].tobytes(), _narrow(local), _narrow(ordinal[a:b])))
+                rows.append((p.number, o, base, j - i, b - a, low, code, _narrow(members[i:j]), p.ids[used].tobytes(), p.names[used].tobytes(), _narrow(local), _narrow(ordinal[a:b])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANNOUNCED.values(), strict=True)], list(ANNOUNCED))
 
     return work
 
 
-ANNOUNCED = {"owner": pa.int32(), "base": pa.int64(), "n": pa.int64(), "total": pa.int64(), "low": pa.int32(), "code": pa.binary(), "members": pa.binary(), "ids": pa.binary(), "names": pa.binary(), "doc": pa.binary(), "ordinal": pa.binary()}
-ANNOUNCED_SQL = "owner int, base long, n long, total long, low int, code binary, members binary, ids binary, names binary, doc binary, ordinal binary"
+ANNOUNCED = {"parcel": pa.int64(), "owner": pa.int32(), "base": pa.int64(), "n": pa.int64(), "total": pa.int64(), "low": pa.int32(), "code": pa.binary(), "members": pa.binary(), "ids": pa.binary(), "names": pa.binary(), "doc": pa.binary(), "ordinal": pa.binary()}
+ANNOUNCED_SQL = "parcel long, owner int, base long, n long, total long, low int, code binary, members binary, ids binary, names binary, doc binary, ordinal binary"
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An owner's lists -> by document the ordinals of minimizers that another document has too, hot ones apart."""
+    """An owner's lists -> to each parcel which of its minimizers another document has too, and which are hot."""
     lists = [golomb_decode(c, n, low) for c, n, low in zip(pdf["code"], pdf["n"], pdf["low"], strict=True)]
     merged, group = np.unique(np.concatenate(lists), return_inverse=True)
     sent = np.bincount(group, minlength=len(merged))
@@ -250,13 +255,25 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = np.cumsum(m) - m
         several = np.maximum.reduceat(doc, heads) != np.minimum.reduceat(doc, heads)
         shared, hot = np.repeat((sent[own] > 1) | several, m), np.repeat(total[own] >= HOT, m)
-        ids, names = np.frombuffer(r.ids, np.int64), np.frombuffer(r.names, np.int64)
-        at = np.flatnonzero(shared)
-        at = at[np.argsort(doc[at], kind="stable")]
-        cuts = np.flatnonzero(np.diff(doc[at], prepend=-1, append=-1))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            d, x = doc[at[i]], at[i:j]
-            rows.append((ids[d], names[d], len(x), ordinal[x].astype(np.uint32).tobytes(), ordinal[x[hot[x]]].astype(np.uint32).tobytes()))
+        if shared.any():
+            rows.append((r.parcel, r.ids, r.names, doc[shared].astype(np.uint32).tobytes(), ordinal[shared].astype(np.uint32).tobytes(), np.packbits(hot[shared]).tobytes()))
+    return pd.DataFrame(rows, columns=["parcel", "ids", "names", "doc", "ordinal", "hot"])
+
+
+def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All answers to one parcel -> (id, name, number and ordinals of shared minimizers, those of hot ones) of its documents."""
+    ids, names, ordinal, hot = [], [], [], []
+    for r in pdf.itertuples():
+        doc = np.frombuffer(r.doc, np.uint32)
+        ids.append(np.frombuffer(r.ids, np.int64)[doc])
+        names.append(np.frombuffer(r.names, np.int64)[doc])
+        ordinal.append(np.frombuffer(r.ordinal, np.uint32))
+        hot.append(np.unpackbits(np.frombuffer(r.hot, np.uint8), count=len(doc)).astype(bool))
+    ids, names, ordinal, hot = (np.concatenate(x) for x in (ids, names, ordinal, hot))
+    order = np.lexsort((ordinal, names, ids))
+    ids, names, ordinal, hot = ids[order], names[order], ordinal[order], hot[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]), len(ids)]
+    rows = [(ids[i], names[i], j - i, ordinal[i:j].tobytes(), ordinal[i:j][hot[i:j]].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     return pd.DataFrame(rows, columns=["doc_id", "name", "n", "shared", "hot"])
 
 
@@ -264,33 +281,34 @@ def _deal(groups: int):
     """Documents with their shared ordinals -> stretches of text for each group; kind 1: windows settled inside the parcel."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p in parcels(batches):
+        for batch, p in parcels(batches, "shared"):
             most = int(p.ordinal.max(initial=0)) + 1
-            wanted, hot = (np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + d * most for d, lists in enumerate(batch.column(c).to_pylist()) for x in lists]) for c in ("shared", "hot"))
+            wanted, hot = (np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + d * most for d, lists in enumerate(batch.column(c).to_pylist()) for x in lists or ()] or [np.empty(0, np.int64)]) for c in ("shared", "hot"))
             at = np.flatnonzero(np.isin(p.doc * most + p.ordinal, wanted))
             is_hot = np.isin(p.doc[at] * most + p.ordinal[at], hot)
-            seen: dict[tuple[int, bytes], int] = {}
-            sent: list[tuple[int, int, int, bytes]] = []
+            group = ((mix(p.hash[at].astype(np.uint64)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).tolist()
+            seen: dict[bytes, int] = {}
+            to, docs, starts, parts = [], [], [], []
             settled: list[tuple[int, int, int]] = []
-            for d, a, b, m, h, warm in zip(p.doc[at].tolist(), p.a[at].tolist(), p.b[at].tolist(), p.at[at].tolist(), p.hash[at].tolist(), is_hot.tolist(), strict=True):
-                text, own = p.bytes[d], int(p.ids[d])
+            doc = p.doc[at]
+            for d, own, a, b, g, warm in zip(doc.tolist(), p.ids[doc].tolist(), p.a[at].tolist(), p.b[at].tolist(), group, is_hot.tolist(), strict=True):
+                text = p.bytes[d]
                 # A hot minimizer's windows go one by one, dealt by their bytes.
                 for x, y in ((w, w) for w in range(a, b + 1)) if warm else ((a, b),):
                     part = text[x : y + LENGTH]
-                    before = seen.setdefault((m - x, part), own)  # ids ascend
-                    if before < own:
+                    if seen.setdefault(part, own) < own:  # ids ascend
                         settled.append((d, x, y))
                     else:
-                        sent.append(((xxhash.xxh3_64_intdigest(part) if warm else int(mix(np.array([h], np.uint64))[0])) * groups >> 64, d, x, part))
-            sent.sort(key=lambda r: r[0])
-            rows, i = [], 0
-            while i < len(sent):
-                j = i
-                while j < len(sent) and sent[j][0] == sent[i][0]:
-                    j += 1
-                d = np.array([r[1] for r in sent[i:j]])
-                rows.append((sent[i][0], 0, p.ids[d].tobytes(), p.names[d].tobytes(), np.array([r[2] for r in sent[i:j]], np.int64).tobytes(), np.array([len(r[3]) for r in sent[i:j]], np.int64).tobytes(), b"".join(r[3] for r in sent[i:j])))
-                i = j
+                        to.append(xxhash.xxh3_64_intdigest(part) * groups >> 64 if warm else g)
+                        docs.append(d)
+                        starts.append(x)
+                        parts.append(part)
+            order = np.argsort(np.array(to, np.int64), kind="stable")
+            to, docs, starts = (np.array(x, np.int64)[order] for x in (to, docs, starts))
+            cuts, rows = np.flatnonzero(np.diff(to, prepend=-1, append=-1)), []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = [parts[k] for k in order[i:j].tolist()]
+                rows.append((int(to[i]), 0, p.ids[docs[i:j]].tobytes(), p.names[docs[i:j]].tobytes(), starts[i:j].tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), b"".join(own)))
             if settled:
                 d, x, y = (np.array(c, np.int64) for c in zip(*settled, strict=True))
                 rows.append((int(p.ids[0]) % groups, 1, p.ids[d].tobytes(), p.names[d].tobytes(), x.tobytes(), y.tobytes(), b""))
@@ -333,7 +351,23 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, names, a, b = [of(done, "ids")], [of(done, "names")], [of(done, "starts")], [of(done, "sizes")]
     if len(rest):
         own, name, start, size = (of(rest, c) for c in ("ids", "names", "starts", "sizes"))
-        stretch, window = _sorted_runs(own, start, size, b"".join(rest["blob"]))
+        blob, at = b"".join(rest["blob"]), np.cumsum(size) - size
+        # Equal stretches: that of the smallest document is sorted, those of others go whole.
+        seen: dict[bytes, int] = {}
+        kept, whole, parts = [], [], []
+        for i in np.argsort(own, kind="stable").tolist():
+            part = blob[at[i] : at[i] + size[i]]
+            if own[seen.setdefault(part, i)] < own[i]:
+                whole.append(i)
+            else:
+                kept.append(i)
+                parts.append(part)
+        ids.append(own[whole])
+        names.append(name[whole])
+        a.append(start[whole])
+        b.append(start[whole] + size[whole] - LENGTH)
+        own, name, start, size = own[kept], name[kept], start[kept], size[kept]
+        stretch, window = _sorted_runs(own, start, size, b"".join(parts))
         order = np.lexsort((window, stretch))
         stretch, window = stretch[order], window[order]
         if len(window):
@@ -351,20 +385,24 @@ def _left(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole rows with the windows to remove -> what is removed and left."""
     for batch in small_batches(batches, "text", PARCEL):
         rows = []
-        for doc, text, gone in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+        gone = batch.column("gone")
+        offsets, none = gone.offsets.to_numpy().tolist(), gone.is_null().to_numpy(zero_copy_only=False).tolist()
+        a, b = (gone.values.field(i).to_numpy().tolist() for i in range(2))
+        for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             raw = (text or "").encode("utf-8", "surrogatepass")
             spans: list[list[int]] = []
-            for r in sorted((r["a"], r["b"] + LENGTH) for r in gone or ()):
-                if spans and r[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], r[1])
+            i, j = offsets[k : k + 2]
+            for x, y in sorted(zip(a[i:j], b[i:j], strict=True)) if not none[k] else ():
+                if spans and x <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], y + LENGTH)
                 else:
-                    spans.append(list(r))
+                    spans.append([x, y + LENGTH])
             left, place = hashlib.sha256(), 0
-            for a, b in spans:
-                left.update(raw[place:a])
-                place = b
+            for x, y in spans:
+                left.update(raw[place:x])
+                place = y
             left.update(raw[place:])
-            rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), left.hexdigest()))
+            rows.append((doc, len(raw), sum(y - x for x, y in spans), len(spans), left.hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -381,18 +419,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(long.select("doc_id", "name", print_.alias("print"), F.octet_length("text").alias("n")), "prints")
     first = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("print", "first")
     copies = written(prints.join(first, "print").where("doc_id > first").select(F.col("doc_id").alias("id"), "name", F.lit(0).cast("long").alias("a"), (F.col("n") - LENGTH).cast("long").alias("b")).distinct(), "copies")
-    once = long.join(copies.select(F.col("id").alias("doc_id"), "name"), ["doc_id", "name"], "left_anti") if copies.limit(1).count() else long
+    once = long.join(small(copies.select(F.col("id").alias("doc_id"), "name")), ["doc_id", "name"], "left_anti")
     size = prints.agg(F.sum("n")).first()[0] or 0
 
     owners = max(1, int(size * 2 / (LENGTH - K + 2) / OWNER_ENTRIES) + 1)
     announced = once.mapInArrow(_announce(owners), ANNOUNCED_SQL)
-    told = written(announced.groupBy("owner").applyInPandas(_answer, "doc_id long, name long, n long, shared binary, hot binary"), "told")
+    answers = announced.groupBy("owner").applyInPandas(_answer, "parcel long, ids binary, names binary, doc binary, ordinal binary, hot binary")
+    told = written(answers.groupBy("parcel").applyInPandas(_by_document, "doc_id long, name long, n long, shared binary, hot binary"), "told")
     by_doc = told.groupBy("doc_id", "name").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
     shared = told.agg(F.sum("n")).first()[0] or 0
+    discard(prints)
 
     groups = max(1, int(shared * (LENGTH + 20) / GROUP_BYTES) + 1)
-    dealt = once.join(by_doc, ["doc_id", "name"]).mapInArrow(_deal(groups), DEALT_SQL)
+    # Both joins have all rows on their left side, so that Spark shuffles the texts once for both.
+    dealt = docs.join(by_doc, ["doc_id", "name"], "left").mapInArrow(_deal(groups), DEALT_SQL)
     gone = dealt.groupBy("grp").applyInPandas(_settle, "id long, name long, a long, b long").union(copies)
-    ranges = gone.groupBy("id", "name").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    out = docs.join(ranges.withColumnRenamed("name", "of"), (F.col("doc_id") == F.col("id")) & (F.col("name") == F.col("of")), "left")
+    ranges = gone.groupBy(F.col("id").alias("doc_id"), "name").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    out = docs.join(ranges, ["doc_id", "name"], "left")
     return out.select("doc_id", "text", "gone").mapInArrow(_left, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
