@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from sprucelake.llm.common import discard, small, written
 
 FINGERPRINT_BITS = 48
-#: Documents in a block, and the fingerprints that an owner gets, on average.
-BLOCK_ROWS = 50_000
+#: Documents in a block, and the fingerprints that an owner gets, on average; every block writes to
+#: every owner, so beyond MOST_BLOCKS blocks grow instead of getting more.
+BLOCK_ROWS, MOST_BLOCKS = 50_000, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,7 +107,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs."""
     text = normalised(F.col(text_col))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    blocks = max(1, math.ceil(docs.count() / BLOCK_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, min(MOST_BLOCKS, math.ceil(docs.count() / BLOCK_ROWS)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
     rows = docs.select(block.alias("block"), "doc_id", F.shiftrightunsigned(F.xxhash64("text"), 64 - FINGERPRINT_BITS).alias("print"), F.unhex(F.sha2("text", 256)).alias("sha"))
     rows = written(rows, "prints")

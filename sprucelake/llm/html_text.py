@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sprucelake.llm.common import small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "object", "canvas", "math"}
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}

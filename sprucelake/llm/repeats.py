@@ -45,8 +45,8 @@ LENGTH = 50
 K, BITS = 20, 40
 #: Bytes of text in a parcel; a longer text is cut, with an overlap that keeps every window.
 PARCEL = 3_000_000
-#: Minimizers of one owner and bytes of text in one group to sort, on average.
-OWNER_ENTRIES, GROUP_BYTES = 1_000_000, 3_000_000
+#: Minimizers of one owner (of at most so many owners) and bytes of text in one group to sort, on average.
+OWNER_ENTRIES, MOST_OWNERS, GROUP_BYTES = 1_000_000, 10_000, 3_000_000
 #: A minimizer at so many places is dealt by windows.
 HOT = 5000
 
@@ -422,7 +422,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = long.join(small(copies.select(F.col("id").alias("doc_id"), "name")), ["doc_id", "name"], "left_anti")
     size = prints.agg(F.sum("n")).first()[0] or 0
 
-    owners = max(1, int(size * 2 / (LENGTH - K + 2) / OWNER_ENTRIES) + 1)
+    owners = min(MOST_OWNERS, int(size * 2 / (LENGTH - K + 2) / OWNER_ENTRIES) + 1)
     announced = once.mapInArrow(_announce(owners), ANNOUNCED_SQL)
     answers = announced.groupBy("owner").applyInPandas(_answer, "parcel long, ids binary, names binary, doc binary, ordinal binary, hot binary")
     told = written(answers.groupBy("parcel").applyInPandas(_by_document, "doc_id long, name long, n long, shared binary, hot binary"), "told")

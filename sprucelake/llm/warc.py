@@ -185,7 +185,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append((number("X-Page-ID"), head["WARC-Target-URI"], len(payload) if kind == "response" else int(head["X-Payload-Length"]), stated, kind, number("X-Refers-To-Page")))
                 yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
     return files.mapInPandas(work, RESULT)
 
