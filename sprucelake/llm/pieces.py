@@ -60,6 +60,7 @@ class Lattice:
         if any(p.type in (4, 5) for p in proto.pieces) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("user-defined, unused or mark-crossing pieces are not supported")
         self.scores = np.array([p.score for p in proto.pieces])
+        self.score_list = self.scores.tolist()
         self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_LOSS
         self.longest = max(map(len, self.ids))
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
@@ -137,7 +138,7 @@ class Lattice:
         through = np.zeros(n, np.int64)  # the best edge into each node
 
         def sweep(value: np.ndarray, of: np.ndarray, into: np.ndarray, place: np.ndarray, keep: np.ndarray | None) -> None:
-            by = np.lexsort((-length, into, place))
+            by = np.argsort((place * n + into) * (self.longest + 1) - length, kind="stable")
             cuts = np.flatnonzero(np.diff(place[by], prepend=-1, append=-2))
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 e = by[i:j]
@@ -176,11 +177,14 @@ class Lattice:
 
     def n_best(self, segment: str, n: int) -> list[tuple[float, bytes]]:
         """The n best (score, ids) of one segment, best first: forward Viterbi, then A-star from its end."""
-        flat = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        size = len(flat)
+        size = len(segment)
         into: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
-        for s, k, p in zip(*(x.tolist() for x in self.edges(flat, np.full(size, size))), strict=True):
-            into[s + k].append((s, p, self.scores[p] if p >= 0 else self.unknown))
+        for i in range(size):
+            if segment[i] not in self.ids:
+                into[i + 1].append((i, -1, self.unknown))
+            for k in range(i + 1, min(i + self.longest, size) + 1):
+                if (p := self.ids.get(segment[i:k])) is not None:
+                    into[k].append((i, p, self.score_list[p]))
         ahead = [0.0] * (size + 1)
         for t in range(1, size + 1):
             ahead[t] = max(ahead[s] + w for s, _, w in into[t])
@@ -245,23 +249,25 @@ class Encoder:
                 self.lists.pop(w, None)
 
     def _text(self, words: list[str]) -> list[tuple[float, bytes]]:
-        best = list(map(self.memo.__getitem__, words))
-        total, codes = sum(x[0] for x in best), [x[2] for x in best]
+        if not words:
+            return [(0.0, b"")]
+        scores, losses, codes = zip(*map(self.memo.__getitem__, words), strict=True)
+        total = sum(scores)
         out = [(total, b"".join(codes))]
-        if self.n < 2 or not words:
+        if self.n < 2:
             return out
         # The n best of all choices of loss, over the segments that lose least.
         choices: list[tuple[float, tuple]] = [(0.0, ())]
-        loss = np.fromiter((x[1] for x in best), float, len(best))
+        loss = np.array(losses)
         few = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) < 64 else np.argpartition(loss, self.n - 1)[: self.n - 1]
         for i in few.tolist():
-            if best[i][1] == np.inf:
+            if losses[i] == np.inf:
                 continue
             w = words[i]
             if w not in self.lists:
                 self.lists[w] = self.model.n_best(w, self.n)
             top = self.lists[w][0][0]
-            first = best[i][2]
+            first = codes[i]
             # The list's order among equal scores is its own: the best path comes first here too.
             others = [(top - s, code) for s, code in self.lists[w] if code != first][: self.n - 1]
             choices = heapq.nsmallest(self.n, [*choices, *((lost + x, (*did, (i, code))) for lost, did in choices for x, code in others)], key=lambda c: (c[0], len(c[1])))
