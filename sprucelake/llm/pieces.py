@@ -7,11 +7,11 @@ edges'. Forward Viterbi gives the best score of each prefix. Backward A-star sta
 with those scores as heuristic; as they are exact, partial paths leave its queue in the order of
 the best whole path that they are part of, and the first N that reach the start are the N best.
 
-No piece reaches over the start of a run of word marks, which is checked when the model is
-loaded, so a lattice falls into segments there: Viterbi runs over all new segments of a batch at
-once (numpy, place by place), forward and backward, and gives each segment's best path and by
-how much its second best is worse. The N best of a text differ from its best in the N - 1
-segments of least such loss only, so A-star runs over those, and the lists are combined.
+A lattice falls into parts between two characters that no piece has side by side, as at the start
+of words: Viterbi runs over all new parts of a batch at once (numpy, place by place), forward and
+backward, and gives each part's best path and by how much its second best is worse. The N best of
+a text differ from its best in the N - 1 parts of least such loss only, so A-star runs over those,
+and the lists are combined.
 
 For a model file of BPE type the scores are the negative merge ranks. Their sums order the
 lattice's paths but are not what BPE merging does, so the best path can differ from merging's.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
+import itertools
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from sprucelake.llm.common import small_batches
 
 MARK = "▁"
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Segments of more characters are walked on their own.
-LONG = 64
-MEMO = 250_000
+#: Parts of texts that a worker remembers; it starts afresh beyond.
+MEMO = 400_000
+#: Characters that a sweep goes over at once.
+SWEEP_CHARS = 60_000
 UNKNOWN_LOSS = 10.0
 
 
@@ -76,6 +76,26 @@ class Lattice:
         self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
         self.piece = np.full(len(states), -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
+        # Which characters stand side by side in some piece, by numbers of theirs (0: in no piece of several).
+        letters = sorted({c for p in self.ids if len(p) > 1 for c in p})
+        self.letter = np.zeros(0x110000, np.int16)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.together = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for piece in self.ids:
+            at = self.letter[[ord(c) for c in piece]]
+            self.together[at[:-1], at[1:]] = True
+
+    def parts(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """Texts cut between characters that no piece has side by side, and the number of parts of each."""
+        whole, lengths = "".join(texts), np.array([len(t) for t in texts], np.int64)
+        at = self.letter[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = np.cumsum(lengths)
+        begins = np.ones(len(at), bool)
+        begins[1:] = ~self.together[at[:-1], at[1:]]
+        begins[(ends - lengths)[lengths > 0]] = True
+        before = np.r_[0, np.cumsum(begins)]
+        cuts = [*np.flatnonzero(begins).tolist(), len(whole)]
+        return [whole[a:b] for a, b in itertools.pairwise(cuts)], (before[ends] - before[ends - lengths]).tolist()
 
     def edges(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece) of all edges over code points `flat`, whose segments end at `ends` (by place). Piece -1: unknown."""
@@ -113,7 +133,7 @@ class Lattice:
         a = 0
         while a < len(order):  # segments of like length, some thousands of characters at a time
             b, size = a, 0
-            while b < len(order) and (b == a or size + len(segments[order[b]]) <= 400_000):
+            while b < len(order) and (b == a or size + len(segments[order[b]]) <= SWEEP_CHARS):
                 size += len(segments[order[b]])
                 b += 1
             part = order[a:b]
@@ -229,56 +249,70 @@ class Encoder:
 
     def __init__(self, model: Lattice, n: int) -> None:
         self.model, self.n = model, n
-        self.memo: dict[str, tuple[float, float, bytes]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """What is remembered of parts: number -> score and loss of its best path, whose ids stand from start to start."""
+        self.number: dict[str, int] = {}
+        self.score, self.loss = np.empty(0), np.empty(0)
+        self.start, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
         self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
+    def _learn(self, parts: list[str]) -> None:
+        scores, losses, codes = zip(*self.model.best(parts), strict=True)
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+        self.score, self.loss = np.r_[self.score, scores], np.r_[self.loss, losses]
+        self.start = np.r_[self.start, self.start[-1] + np.cumsum([len(c) // 4 for c in codes])]
+        self.ids = np.r_[self.ids, np.frombuffer(b"".join(codes), np.int32)]
+
     def encode(self, texts: list[str | None]) -> Iterator[list[tuple[float, bytes]]]:
         """For each text (score, ids as int32), best first."""
-        found = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.lists) > MEMO // 20:
-            self.lists.clear()
-        new = list({w for words in found for w in words if w not in self.memo})
-        self.memo.update(zip(new, self.model.best(new), strict=True))
-        for words in found:
-            yield self._text(words)
-        for w in new:
-            if len(w) > LONG:
-                del self.memo[w]
-                self.lists.pop(w, None)
-
-    def _text(self, words: list[str]) -> list[tuple[float, bytes]]:
-        if not words:
-            return [(0.0, b"")]
-        scores, losses, codes = zip(*map(self.memo.__getitem__, words), strict=True)
-        total = sum(scores)
-        out = [(total, b"".join(codes))]
-        if self.n < 2:
+        if len(self.number) > MEMO or len(self.ids) > 20 * MEMO or len(self.lists) > MEMO // 20:
+            self._forget()
+        parts, counts = self.model.parts([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+        if new := list(dict.fromkeys(p for p in parts if p not in self.number)):
+            self._learn(new)
+        at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        sizes = self.start[at + 1] - self.start[at]
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = self.ids[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        scores, losses, a = self.score[at], self.loss[at], 0
+        for n in counts:
+            own = slice(a, a + n)
+            yield self._text(parts[own], float(scores[own].sum()), losses[own], ends[a : a + n + 1] - ends[a], ids[ends[a] : ends[a + n]].tobytes())
+            a += n
+
+    def _text(self, parts: list[str], total: float, loss: np.ndarray, ends: np.ndarray, best: bytes) -> list[tuple[float, bytes]]:
+        out = [(total, best)]
+        if self.n < 2 or not parts:
             return out
-        # The n best of all choices of loss, over the segments that lose least.
+        # The n best of all choices of loss, over the parts that lose least.
         choices: list[tuple[float, tuple]] = [(0.0, ())]
-        loss = np.array(losses)
         few = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) < 64 else np.argpartition(loss, self.n - 1)[: self.n - 1]
-        for i in few.tolist():
-            if losses[i] == np.inf:
-                continue
-            w = words[i]
+        for i in few[loss[few] < np.inf].tolist():
+            w = parts[i]
             if w not in self.lists:
                 self.lists[w] = self.model.n_best(w, self.n)
             top = self.lists[w][0][0]
-            first = codes[i]
+            x, y = 4 * int(ends[i]), 4 * int(ends[i + 1])
             # The list's order among equal scores is its own: the best path comes first here too.
-            others = [(top - s, code) for s, code in self.lists[w] if code != first][: self.n - 1]
-            choices = heapq.nsmallest(self.n, [*choices, *((lost + x, (*did, (i, code))) for lost, did in choices for x, code in others)], key=lambda c: (c[0], len(c[1])))
+            others = [(top - s, (x, y, code)) for s, code in self.lists[w] if code != best[x:y]][: self.n - 1]
+            choices = heapq.nsmallest(self.n, [*choices, *((lost + more, (*did, swap)) for lost, did in choices for more, swap in others)], key=lambda c: (c[0], len(c[1])))
         for lost, did in choices[1:]:
-            part = list(codes)
-            for i, code in did:
-                part[i] = code
-            out.append((total - lost, b"".join(part)))
+            made, place = [], 0
+            for x, y, code in sorted(did):
+                made += [best[place:x], code]
+                place = y
+            out.append((total - lost, b"".join([*made, best[place:]])))
         return out
 
 
+@lru_cache(2)
+def encoder(path: str, n: int) -> Encoder:
+    """A worker's encoder, with what it remembers from its tasks before."""
+    return Encoder(lattice(path), n)
+
+
 def decode(ids: Iterable[int], model: Lattice) -> str:
     """The text of pieces' ids; bytes that form no character become U+FFFD."""
     text = b"".join(map(model.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -296,11 +330,11 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id"
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
-        encoder = Encoder(model, n)
+        own_encoder = encoder(model_path, n)
         for batch in small_batches(batches, "text", 2_000_000):
             texts = batch.column("text").to_pylist()
             lists, back, ids = [], [], []
-            for text, found in zip(texts, encoder.encode(texts), strict=True):
+            for text, found in zip(texts, own_encoder.encode(texts), strict=True):
                 lists.append([{"score": s, "n_pieces": len(code) // 4, "ids_sha256": hashlib.sha256(code).hexdigest()} for s, code in found])
                 own = np.frombuffer(found[0][1], np.int32).tolist()
                 back.append(decode(own, model) == (text or ""))
