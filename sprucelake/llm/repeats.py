@@ -41,8 +41,8 @@ from sprucelake.llm.common import discard, mix, small, small_batches, written
 from sprucelake.llm.exact_dedup import golomb_decode, golomb_encode
 
 LENGTH = 50
-#: Bytes of a minimizer, and bits of its hash.
-K, BITS = 20, 40
+#: Bytes of a minimizer, bits of its name, and bits that it is chosen by: the chosen are the least, so these don't spread evenly.
+K, BITS, CHOICE = 20, 48, 40
 #: Bytes of text in a parcel; a longer text is cut, with an overlap that keeps every window.
 PARCEL = 3_000_000
 #: Minimizers of one owner (of at most so many owners) and bytes of text in one group to sort, on average.
@@ -115,7 +115,7 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np
 
 
 def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, minimizer's place, its hash) of texts side by side, where texts end at `ends`.
+    """(first window, last window, minimizer's place, its name) of texts side by side, where texts end at `ends`.
 
     Neighbouring windows with one minimizer are one run; windows that cross an end have none.
     """
@@ -130,7 +130,7 @@ def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         width *= 2
     if width < K:
         h = mix(h[: len(h) - (K - width)] * np.uint64(0xC2B2AE3D27D4EB4F) + h[K - width :])
-    key = (h >> np.uint64(64 - BITS) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
+    key = (h >> np.uint64(64 - CHOICE) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
     wide, width = LENGTH - K + 1, 1
     while width * 2 <= wide:
         key = np.minimum(key[:-width], key[width:])
@@ -144,7 +144,8 @@ def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     key = key[at]
     heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else none
     tails = np.r_[heads[1:] - 1, len(at) - 1] if len(at) else none
-    return at[heads], at[tails], (key[heads] & np.uint64((1 << 24) - 1)).astype(np.int64), (key[heads] >> np.uint64(24)).astype(np.int64)
+    place = (key[heads] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return at[heads], at[tails], place, (mix(h[place]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Parcel:
