@@ -46,7 +46,7 @@ K, BITS, CHOICE = 20, 48, 40
 #: Bytes of text in a parcel; a longer text is cut, with an overlap that keeps every window.
 PARCEL = 3_000_000
 #: Minimizers of one owner (of at most so many owners) and bytes of text in one group to sort, on average.
-OWNER_ENTRIES, MOST_OWNERS, GROUP_BYTES = 1_000_000, 10_000, 3_000_000
+OWNER_ENTRIES, MOST_OWNERS, GROUP_BYTES = 1_000_000, 100_000, 3_000_000
 #: A minimizer at so many places is dealt by windows.
 HOT = 5000
 
@@ -229,8 +229,9 @@ def _announce(owners: int):
                 base = -(-(o << BITS) // owners)
                 code, low = golomb_encode(h[heads[i:j]] - base, (1 << BITS) // owners + 1)
                 a, b = heads[i], heads[j] if j < len(heads) else len(h)
-                used, local = np.unique(doc[a:b], return_inverse=True)
-                rows.append((p.number, o, base, j - i, b - a, low, code, _narrow(members[i:j]), p.ids[used].tobytes(), p.names[used].tobytes(), _narrow(local), _narrow(ordinal[a:b])))
+                # One of the owners hands the parcel's ids and names back.
+                whose = (b"", b"") if rows else (p.ids.tobytes(), p.names.tobytes())
+                rows.append((p.number, o, base, j - i, b - a, low, code, _narrow(members[i:j]), *whose, _narrow(doc[a:b]), _narrow(ordinal[a:b])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANNOUNCED.values(), strict=True)], list(ANNOUNCED))
 
@@ -256,25 +257,20 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = np.cumsum(m) - m
         several = np.maximum.reduceat(doc, heads) != np.minimum.reduceat(doc, heads)
         shared, hot = np.repeat((sent[own] > 1) | several, m), np.repeat(total[own] >= HOT, m)
-        if shared.any():
+        if shared.any() or len(r.ids):
             rows.append((r.parcel, r.ids, r.names, doc[shared].astype(np.uint32).tobytes(), ordinal[shared].astype(np.uint32).tobytes(), np.packbits(hot[shared]).tobytes()))
     return pd.DataFrame(rows, columns=["parcel", "ids", "names", "doc", "ordinal", "hot"])
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     """All answers to one parcel -> (id, name, number and ordinals of shared minimizers, those of hot ones) of its documents."""
-    ids, names, ordinal, hot = [], [], [], []
-    for r in pdf.itertuples():
-        doc = np.frombuffer(r.doc, np.uint32)
-        ids.append(np.frombuffer(r.ids, np.int64)[doc])
-        names.append(np.frombuffer(r.names, np.int64)[doc])
-        ordinal.append(np.frombuffer(r.ordinal, np.uint32))
-        hot.append(np.unpackbits(np.frombuffer(r.hot, np.uint8), count=len(doc)).astype(bool))
-    ids, names, ordinal, hot = (np.concatenate(x) for x in (ids, names, ordinal, hot))
-    order = np.lexsort((ordinal, names, ids))
-    ids, names, ordinal, hot = ids[order], names[order], ordinal[order], hot[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]), len(ids)]
-    rows = [(ids[i], names[i], j - i, ordinal[i:j].tobytes(), ordinal[i:j][hot[i:j]].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    doc, ordinal = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("doc", "ordinal"))
+    hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(d) // 4) for x, d in zip(pdf["hot"], pdf["doc"], strict=True)]).astype(bool)
+    ids, names = (np.frombuffer(max(pdf[c], key=len), np.int64) for c in ("ids", "names"))
+    order = np.lexsort((ordinal, doc))
+    doc, ordinal, hot = doc[order], ordinal[order], hot[order]
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, np.int64)
+    rows = [(ids[doc[i]], names[doc[i]], j - i, ordinal[i:j].tobytes(), ordinal[i:j][hot[i:j]].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     return pd.DataFrame(rows, columns=["doc_id", "name", "n", "shared", "hot"])
 
 
