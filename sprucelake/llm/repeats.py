@@ -43,6 +43,9 @@ from sprucelake.llm.exact_dedup import golomb_decode, golomb_encode
 LENGTH = 50
 #: Bytes of a minimizer, bits of its name, and bits that it is chosen by: the chosen are the least, so these don't spread evenly.
 K, BITS, CHOICE = 20, 48, 40
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
+#: Windows whose minimizers are found at once.
+STEP = 1 << 15
 #: Bytes of text in a parcel; a longer text is cut, with an overlap that keeps every window.
 PARCEL = 3_000_000
 #: Minimizers of one owner (of at most so many owners) and bytes of text in one group to sort, on average.
@@ -73,7 +76,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     at = np.arange(n + (n % 3 == 1))  # with the empty suffix, if the class of 1 would not end in a 0 else
     sample = np.concatenate([at[at % 3 == 1], at[at % 3 == 2]])
     triple = _key(t[sample], t[sample + 1], t[sample + 2])
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     new = np.r_[True, triple[order][1:] != triple[order][:-1]]
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
@@ -87,7 +90,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     # The rest: by their own symbol and the rank behind it.
     single = _key(t[:n], rank[1 : n + 1])
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(single[rest], kind="stable")]
+    rest = rest[np.argsort(single[rest])]
     # Merged: how many suffixes of either class of the sample come before each of the rest.
     double = _key(t[:n], t[1 : n + 1], rank[2 : n + 2])
     one, two = first[first % 3 == 1], first[first % 3 == 2]
@@ -114,16 +117,9 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np
     return np.r_[False, same] if len(at) else same
 
 
-def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, minimizer's place, its name) of texts side by side, where texts end at `ends`.
-
-    Neighbouring windows with one minimizer are one run; windows that cross an end have none.
-    """
-    n = len(text) - LENGTH + 1
-    none = np.empty(0, np.int64)
-    if n <= 0:
-        return none, none, none, none
-    h = mix(text.astype(np.uint64) + np.uint64(1))
+def _keys(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the K-byte string at each place, and for each window its minimizer's hash (CHOICE bits) and place."""
+    h = BYTE_HASH[text]
     width = 1
     while width * 2 <= K:
         h = mix(h[:-width] * np.uint64(0x9E3779B97F4A7C15) + h[width:])
@@ -137,6 +133,22 @@ def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         width *= 2
     if width < wide:
         key = np.minimum(key[: len(key) - (wide - width)], key[wide - width :])
+    return h, key
+
+
+def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, minimizer's place, its name) of texts side by side, where texts end at `ends`.
+
+    Neighbouring windows with one minimizer are one run; windows that cross an end have none.
+    """
+    n = len(text) - LENGTH + 1
+    none = np.empty(0, np.int64)
+    if n <= 0:
+        return none, none, none, none
+    h, key = np.empty(n + LENGTH - K, np.uint64), np.empty(n, np.uint64)
+    for c in range(0, n, STEP):  # a stretch at a time stays in the processor's cache
+        x, y = _keys(text[c : c + STEP + LENGTH - 1])
+        h[c : c + len(x)], key[c : c + len(y)] = x, y + np.uint64(c)
     inside = np.ones(n, bool)
     for e in ends[:-1].tolist():
         inside[max(0, e - LENGTH + 1) : e] = False
@@ -217,7 +229,7 @@ def _announce(owners: int):
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, p in parcels(batches):
-            order = np.argsort(p.hash, kind="stable")
+            order = np.argsort(p.hash)
             h, doc, ordinal = p.hash[order], p.doc[order], p.ordinal[order]
             heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else order
             members = np.diff(np.r_[heads, len(h)])
