@@ -80,7 +80,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     new = np.r_[True, triple[order][1:] != triple[order][:-1]]
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
-    if not new.all():
+    again = not new.all()
+    del at, triple, new
+    if again:
+        del order  # as little as possible stays while the names are sorted
         order = suffix_array(names)  # names are the symbols of a shorter text
         names[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 3, np.int64)
@@ -339,12 +342,15 @@ def _sorted_runs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, blob: b
     inner[ends - 1] = False
     text[inner] = np.frombuffer(blob, np.uint8).astype(np.int64) + 1
     text[ends - 1] = 257 + np.arange(len(sizes))  # each stretch ends unlike any other
+    del inner
+    order = suffix_array(text)
+    text = (text - 1).astype(np.uint8)
     stretch = np.repeat(np.arange(len(sizes)), sizes + 1)
     place = np.arange(len(text)) - (ends - sizes - 1)[stretch]
     windows = place <= (sizes - LENGTH)[stretch]
-    order = suffix_array(text)
-    same = equal_windows((text - 1).astype(np.uint8), windows, order)
+    same = equal_windows(text, windows, order)
     at = order[windows[order]]
+    del order
     heads = np.flatnonzero(~same)
     least = np.repeat(np.minimum.reduceat(ids[stretch[at]], heads), np.diff(np.r_[heads, len(at)]))
     gone = at[ids[stretch[at]] > least]
