@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sprucelake.session import written
+
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, numbered. Catalyst limits groups before the shuffle."""
@@ -37,3 +39,17 @@ def gap_filled(df: DataFrame, by: list[str], time: str, step: str, values: list[
     w = W.partitionBy(*by).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
     filled = grid.join(df, [*by, time], "left")
     return filled.select(*by, time, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
+
+
+def numbered(df: DataFrame, name: str = "number") -> DataFrame:
+    """Rows numbered from 0 in their order: places inside a partition, offset by the counts of those before it.
+
+    The rows are written to the shared folder, so that numbers and counts are of the same pass.
+    """
+    own = written(df.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    offsets, total = [], 0
+    for part, n in sorted(tuple(r) for r in own.groupBy("_part").count().collect()):
+        offsets.append((part, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(offsets, "_part long, _start long")
+    return own.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_at")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.operators.groups import top_per_group
+from sprucelake.operators.groups import numbered, top_per_group
+from sprucelake.session import shared_folder
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,6 +17,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
     """(query_id, vec_id, cosine, rank): the k nearest of each query among all vectors, exact.
 
     The query set is a stated one and is counted before it is broadcast; vectors are read once.
+    For sets of any size there is nearest_in_blocks.
     """
     if queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"at most {most_queries} queries at a time: split them in blocks")
@@ -24,3 +26,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
     scored = vectors.select(id_col, vec_col).join(q, F.col(id_col) != F.col("query_id"))
     scored = scored.select("query_id", id_col, (dot(F.col(vec_col), F.col("_q")) / (norm(vec_col) * norm("_q"))).alias("cosine"))
     return top_per_group(scored, ["query_id"], [F.col("cosine").desc(), F.col(id_col)], k)
+
+
+def nearest_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 10_000) -> DataFrame:
+    """nearest() for a query set of any size: `block` queries at a time, each block's k nearest appended to a shared folder."""
+    own = numbered(queries.select(id_col, vec_col), "_number")
+    blocks = (own.agg(F.max("_number")).first()[0] or 0) // block + 1
+    path = shared_folder(queries.sparkSession, "nearest")
+    for b in range(blocks):
+        found = nearest(own.where(F.col("_number").between(b * block, (b + 1) * block - 1)).drop("_number"), vectors, k, id_col, vec_col, block)
+        found.write.mode("append").parquet(path)
+    return queries.sparkSession.read.schema(found.schema).parquet(path)

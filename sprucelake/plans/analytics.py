@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from sprucelake.functions import udfs
 from sprucelake.operators.groups import gap_filled, sessions, top_per_group
-from sprucelake.operators.vectors import nearest
+from sprucelake.operators.vectors import nearest, nearest_in_blocks
 from sprucelake.plans.registry import query
 from sprucelake.session import table
 
@@ -113,6 +113,16 @@ def nearest_vectors(spark, d):
     return nearest(v.where("vec_id < 10"), v, 5).withColumn("cosine", F.round("cosine", 5))
 
 
+@query("""
+SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS cosine,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id)::INT AS rank
+FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5""")
+def nearest_vectors_every_50th(spark, d):
+    """The job's query set: the vectors with ids divisible by 50."""
+    v = table(spark, d, "embeddings")
+    return nearest_in_blocks(v.where("vec_id % 50 = 0"), v, 5).withColumn("cosine", F.round("cosine", 5))
+
+
 @query("SELECT c_custkey, (length(c_mktsegment) - length(regexp_replace(c_mktsegment, '[aeiouAEIOU]', '', 'g')))::BIGINT AS n FROM customer")
 def udf_arrow(spark, d):
     return table(spark, d, "customer").select("c_custkey", udfs.vowels("c_mktsegment").alias("n"))

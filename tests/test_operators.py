@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from sprucelake.operators.groups import gap_filled, sessions, top_per_group, two_step
 from sprucelake.operators.joins import asof_join, band_join, join_small, salted_join
-from sprucelake.operators.vectors import nearest
+from sprucelake.operators.vectors import nearest, nearest_in_blocks
 from sprucelake.streaming import events as E
 
 T0 = dt.datetime(2024, 1, 1)
@@ -70,6 +71,19 @@ def test_nearest_refuses_unbounded_queries(spark):
         nearest(v, v, 2, most_queries=3)
 
 
+def test_nearest_in_blocks_equals_one_block(spark):
+    rng = random.Random(5)
+    v = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(40)], "vec_id long, embedding array<float>").repartition(3)
+    rows = lambda df: sorted((r.query_id, r.vec_id, r.cosine, r["rank"]) for r in df.collect())
+    assert rows(nearest_in_blocks(v, v, 3, block=7)) == rows(nearest(v, v, 3)) and len(rows(nearest(v, v, 3))) == 120
+    assert nearest_in_blocks(v.where("false"), v, 3).count() == 0
+
+
+def test_nearest_query_set(spark, sf):
+    asked = {r.query_id for r in queries()["nearest_vectors_every_50th"](spark, sf).collect()}
+    assert asked == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     row = lambda i, h: (i, at(h), 1, "click", 1.0, "{}")
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
