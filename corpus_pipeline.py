@@ -57,8 +57,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's best segmentations, and whether decoding gives its text back."""
-    return encoded(docs, public_tokenizers.path(MODEL), n=4)
+    """Each document's best segmentations with their ids, and whether decoding gives its text back."""
+    return encoded(docs, public_tokenizers.path(MODEL), n=4, keep_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -323,27 +323,29 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id"
     """(doc_id, n_pieces, score, ids_sha256, n_best, back) for each row of docs.
 
     n_best: of each of the n best segmentations score, pieces and the digest of its ids (little-endian
-    int32) and, with keep_ids, the ids of the best in a column `ids`. back: decoding the best gives the text.
+    int32) and, with keep_ids, its ids, those of the best also in a column `ids`. back: decoding the best gives the text.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    each = pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string())])
-
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
         own_encoder = encoder(model_path, n)
         for batch in small_batches(batches, "text", 2_000_000):
             texts = batch.column("text").to_pylist()
-            lists, back, ids = [], [], []
+            back, ends, scores, codes = [], [0], [], []
             for text, found in zip(texts, own_encoder.encode(texts), strict=True):
-                lists.append([{"score": s, "n_pieces": len(code) // 4, "ids_sha256": hashlib.sha256(code).hexdigest()} for s, code in found])
-                own = np.frombuffer(found[0][1], np.int32).tolist()
-                back.append(decode(own, model) == (text or ""))
-                if keep_ids:
-                    ids.append(own)
-            columns = {"doc_id": batch.column("doc_id"), "n_best": pa.array(lists, pa.list_(each)), "back": pa.array(back)} | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if keep_ids else {})
+                back.append(decode(np.frombuffer(found[0][1], np.int32).tolist(), model) == (text or ""))
+                scores += [s for s, _ in found]
+                codes += [code for _, code in found]
+                ends.append(len(codes))
+            sizes = [len(code) // 4 for code in codes]
+            each = {"score": pa.array(scores, pa.float64()), "n_pieces": pa.array(sizes, pa.int64()), "ids_sha256": pa.array([hashlib.sha256(code).hexdigest() for code in codes], pa.string())}
+            if keep_ids:
+                each["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(codes), np.int32)))
+            columns = {"doc_id": batch.column("doc_id"), "n_best": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(each.values()), list(each))), "back": pa.array(back, pa.bool_())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, n_best array<struct<score: double, n_pieces: bigint, ids_sha256: string>>, back boolean" + ", ids array<int>" * keep_ids)
+    each_type = "struct<score: double, n_pieces: bigint, ids_sha256: string" + ", ids: array<int>" * keep_ids + ">"
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, n_best array<{each_type}>, back boolean")
     best = F.col("n_best")[0]
-    return out.select("doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("score"), best["ids_sha256"].alias("ids_sha256"), "n_best", "back", *["ids"] * keep_ids)
+    return out.select("doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("score"), best["ids_sha256"].alias("ids_sha256"), "n_best", "back", *[best["ids"].alias("ids")] * keep_ids)

@@ -43,8 +43,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its best segmentation, the four best with score, size and digest, and whether decoding gives the text back."""
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL), n=4)
+    """Per document its best segmentation, the four best with ids, score, size and digest, and whether decoding gives the text back."""
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL), n=4, keep_ids=True)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

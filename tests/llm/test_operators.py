@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
@@ -13,7 +14,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from sprucelake.llm import decontaminate, exact_dedup, html_text, minhash, pieces, repeats, sharding, token_counts, toxicity, warc
+from sprucelake.llm import decontaminate, exact_dedup, html_text, minhash, pieces, queries, repeats, sharding, token_counts, toxicity, warc
 from sprucelake.llm.common import WordHashes, components, lower_words, shingles
 
 MODEL = P.path("piece_bpe_32k.model")
@@ -157,6 +158,14 @@ def test_encoding_brings_texts_back(spark, sf_docs):
     assert pieces.encoded(frame(spark, []), MODEL).count() == 0
 
 
+def test_encoding_gives_the_ids_of_each(spark, sf):
+    for out in (queries.QUERIES["op4_sentencepiece"](spark, sf), dict(corpus_pipeline.STAGES)["sentencepiece"](spark, frame(spark, odd_rows()), sf)):
+        for r in out.collect():
+            assert r["ids"] == r["n_best"][0]["ids"] and (not r["back"] or r["n_pieces"] == len(r["ids"]))
+            for x in r["n_best"]:
+                assert len(x["ids"]) == x["n_pieces"] and hashlib.sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() == x["ids_sha256"]
+
+
 # 5 suffix array
 
 
