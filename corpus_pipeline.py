@@ -52,7 +52,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item stay."""
-    gone = written(overlaps(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct(), "leaks")
+    gone = written(overlaps(docs, table(spark, sf_dir, "benchmark"), short_items=True).where("doc_id is not null").select("doc_id").distinct(), "leaks")
     return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -5,20 +5,26 @@ words. The two masks in SEEDS are such that each window of WINDOW words with at
 substituted words keeps one of them whole at some place (a test goes through all patterns), so
 none is missed. Seed hashes of benchmark and documents are joined, and around each hit the
 document is laid beside the item, shifted by the hit: windows of WINDOW words of which at least
-80 % agree count as copied. Items of fewer than WINDOW words count only as a whole and unchanged,
-and below MIN_WORDS words not at all.
+80 % agree count as copied. With short_items, an item of fewer than WINDOW words counts as a whole if at
+least 80 % of its words agree: it is cut into one piece more than words may be substituted, so
+that one piece stays whole, and each piece is a seed of its own length. Below MIN_WORDS words it
+counts verbatim. Without short_items, items of MIN_WORDS to WINDOW - 1 words count unchanged only
+and shorter ones not at all.
 
 The benchmark goes to the executors in blocks of bounded size, one pass over the documents for
 each block; documents are never shuffled, and each row is read whole.
 
-Defined results: null and empty texts hold nothing; words are runs of ASCII letters, digits and
-non-ASCII bytes after lower-casing A-Z; repeated rows give one row for each (doc_id, item_id);
+Defined results: null and empty texts hold nothing; words are runs of letters, digits and marks by
+Unicode class after lower-casing, and in scripts written without spaces each letter with its marks
+is a word; repeated rows give one row for each (doc_id, item_id);
 rows with a null id are kept apart from all others as id null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,11 +42,47 @@ BLOCK_BYTES = 8_000_000
 #: Hits laid side by side at a time.
 HITS = 200_000
 
-APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+APART = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes([32]) * 128
+#: Code points of scripts written without spaces: Thai and Lao, Myanmar, Khmer, Tai Le to New Tai Lue, kana, Han.
+UNSPACED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+def _ranges(codes: Iterable[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+def _words_pattern() -> re.Pattern[str]:
+    alone = {c for a, b in UNSPACED for c in range(a, b + 1) if unicodedata.category(chr(c))[0] in "LN"}
+    marks = [c for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M"] + list(range(0xE0100, 0xE01F0))
+    others = [c for c in range(0x20000) if c not in alone and unicodedata.category(chr(c))[0] in "LN"]
+    alone_class, mark_class = _ranges(sorted(alone)), _ranges(marks)
+    return re.compile(f"[{alone_class}][{mark_class}]*|[{_ranges(others)}][{_ranges(sorted([*others, *marks]))}]*")
+
+
+WORDS = _words_pattern()
 
 
 def plain_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().translate(APART).split() if text else []
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().lower().translate(APART).split()
+    text = unicodedata.normalize("NFC", text).lower()
+    return [w.encode("utf-8", "surrogatepass") for w in WORDS.findall(text)]
+
+
+def short_pieces(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of an item of n < WINDOW words, one more than it may have substitutions."""
+    pieces = n - math.ceil(AGREE * n) + 1 if n >= MIN_WORDS else 1
+    cuts = [n * i // pieces for i in range(pieces + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def seed_hashes(h: np.ndarray, seed: str) -> np.ndarray:
@@ -56,7 +98,8 @@ def seed_hashes(h: np.ndarray, seed: str) -> np.ndarray:
 class Block:
     """Some benchmark items, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], short_items: bool = False) -> None:
+        self.short_items = short_items
         memo = WordHashes()
         hashes = [memo.of(plain_words(t)) for _, t in items]
         self.ids = np.array([i for i, _ in items], np.int64)
@@ -64,19 +107,27 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.words = np.concatenate([*hashes, np.empty(0, np.uint64)])
         keys, owner, place = [], [], []
+        lengths: set[int] = set()
         for i, h in enumerate(hashes):
-            # A short item is one seed of its own length.
-            for seed in SEEDS if len(h) >= WINDOW else ("1" * len(h),) if len(h) >= MIN_WORDS else ():
-                s = seed_hashes(h, seed)
-                keys.append(s)
-                owner.append(np.full(len(s), i))
-                place.append(np.arange(len(s)))
+            if len(h) >= WINDOW:
+                for seed in SEEDS:
+                    s = seed_hashes(h, seed)
+                    keys.append(s)
+                    owner.append(np.full(len(s), i))
+                    place.append(np.arange(len(s)))
+                continue
+            # A short item is seeds of its pieces, or else one of its own length.
+            for start, n in (short_pieces(len(h)) if short_items else [(0, len(h))] if len(h) >= MIN_WORDS else []) if len(h) else []:
+                lengths.add(n)
+                keys.append(seed_hashes(h[start : start + n], "1" * n))
+                owner.append(np.full(1, i))
+                place.append(np.full(1, start))
         self.keys = np.concatenate([*keys, np.empty(0, np.uint64)])
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
         self.owner = np.concatenate([*owner, np.empty(0, np.int64)])[order]
         self.place = np.concatenate([*place, np.empty(0, np.int64)])[order]
-        self.seeds = [*SEEDS, *("1" * n for n in sorted(set(self.sizes[(self.sizes >= MIN_WORDS) & (self.sizes < WINDOW)].tolist())))]
+        self.seeds = [*SEEDS, *("1" * n for n in sorted(lengths))]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
@@ -95,6 +146,22 @@ class Block:
                 yield np.repeat(at[a:b], m), self.owner[k], self.place[k]
 
 
+def _short_copied(block: Block, h: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray, found: dict[tuple[int, int], np.ndarray]) -> None:
+    """Add the short items that lie whole in a document at their shift and agree there."""
+    size = block.sizes[item]
+    whole = (shift >= 0) & (shift + size <= len(h))
+    item, shift, size = item[whole], shift[whole], size[whole]
+    inside = doc[shift] == doc[shift + size - 1]
+    item, shift, size = item[inside], shift[inside], size[inside]
+    same = np.zeros(len(item), np.int64)
+    for j in range(WINDOW - 1):
+        on = np.flatnonzero(size > j)
+        same[on] += h[shift[on] + j] == block.words[block.starts[item[on]] + j]
+    good = same >= np.where(size >= MIN_WORDS, AGREE * size, size)
+    for d, i in np.unique(np.stack([doc[shift[good]], item[good]], axis=1), axis=0).tolist():
+        found[d, i] = np.ones(int(block.sizes[i]), bool)
+
+
 def _copied(block: Block, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], int]:
     """(document, item) -> words of the item that copied windows cover, for documents side by side in h."""
     doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
@@ -103,6 +170,10 @@ def _copied(block: Block, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, in
     if not len(h) or not len(block.keys):
         return {}
     for at, item, place in block.hits(h, doc):
+        if block.short_items:
+            short = block.sizes[item] < WINDOW
+            _short_copied(block, h, doc, item[short], (at - place)[short], found)
+            at, item, place = at[~short], item[~short], place[~short]
         shifts = np.unique(np.stack([item, at - place], axis=1), axis=0)
         for i, shift in shifts.tolist():
             # One shift of an item can lie in two documents: they are told apart by where it overlaps them.
@@ -125,7 +196,7 @@ def _copied(block: Block, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, in
     return {k: int(v.sum()) for k, v in found.items()}
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, item_words, copied_words, share): documents that hold a passage of an item, and how much of it."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -140,7 +211,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         shared = spark.sparkContext.broadcast(sorted(own))
 
         def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, memo = Block(shared.value), WordHashes()
+            block, memo = Block(shared.value, short_items), WordHashes()
             for batch in small_batches(batches, "text"):
                 hashes = [memo.of(plain_words(t)) for t in batch.column("text").to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int64)

@@ -369,6 +369,32 @@ def test_overlaps(spark, monkeypatch):
     assert decontaminate.overlaps(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_words_by_unicode_class():
+    assert decontaminate.plain_words("Don’t—stop\u00a0HERE, Élan") == decontaminate.plain_words("don t stop here élan")
+    assert [w.decode() for w in decontaminate.plain_words("梦は、x2 ok。हिन्दी e\u0301t")] == ["梦", "は", "x2", "ok", "हिन्दी", "ét"]
+
+
+def test_overlaps_of_short_items(spark):
+    rng = random.Random(6)
+    items, docs, expected = [], [], {}
+    for n in range(1, 13):
+        own = [f"i{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(own)))
+        for gone in range(4):
+            d = 10 * n + gone
+            text = list(own)
+            for x in rng.sample(range(n), min(gone, n)):
+                text[x] = "other"
+            docs.append((d, " ".join(["a", "b", *text, "c"])))
+            if n - min(gone, n) >= (0.8 * n if n >= 5 else n):
+                expected[d, n] = n
+    items.append((20, "梦想成真之夜晚"))
+    docs += [(500, "他说：梦想成真之夜晚。"), (501, "梦想成真之早晨"), (502, "i3x0 i3x1"), (503, "i3x2 i3x0 i3x1")]
+    expected[500, 20] = 7
+    out = decontaminate.overlaps(frame(spark, docs, 1), spark.createDataFrame(items, "item_id long, text string"), short_items=True).collect()
+    assert {(r["doc_id"], r["item_id"]): r["copied_words"] for r in out} == expected
+
+
 # 10 HTML
 
 
