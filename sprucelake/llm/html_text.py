@@ -51,6 +51,12 @@ NAMES_OUT = set(
 )
 NAMES_MILD = set("header head byline meta author date dateline caption credit timestamp info tools".split())
 NAMES_IN = set("article content post entry story main body text maintext articlebody prose blog".split())
+#: A token that begins with one of these and goes on says what an element has or is filed under, not what it is.
+MODIFIERS = {"has", "no", "not", "with", "without", "tag", "category", "cat", "term"}
+#: What an article of its own is when a whole token says so and no token says that it is content.
+NAMES_ARTICLE_OUT = set("ad ads advert adverts advertisement advertising comment comments commentlist reply replies respond".split())
+#: Landmarks that make an article inside them part of themselves.
+LANDMARK_OVER = {"nav", "aside", "footer", "menu", "dialog"}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 STOP = re.compile(r"[.!?;:,…。](?:\s|$)")
 #: Smoothness: blocks that follow each other, divided by their distance in the DOM; children of one element.
@@ -79,8 +85,15 @@ class Element:
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 self.name = -1.0
             elif key in ("class", "id") and self.name > -1:
-                words = {w.lower() for w in WORD.findall(value)}
-                self.name = -1.0 if words & NAMES_OUT else -0.3 if words & NAMES_MILD else max(self.name, 1.0 if words & NAMES_IN else 0.0)
+                tokens = [[w.lower() for w in WORD.findall(t)] for t in value.split()]
+                tokens = [t for t in tokens if not (len(t) > 1 and t[0] in MODIFIERS)]
+                words = {w for t in tokens for w in t}
+                if words & NAMES_OUT:
+                    # The name of an article, main or body is weak evidence: it often tells of the page around it.
+                    own = tag == "article" and not words & NAMES_IN and any(set(t) <= NAMES_ARTICLE_OUT for t in tokens if t)
+                    self.name = -1.0 if own or tag not in ("article", "main", "body") else -0.3
+                else:
+                    self.name = -0.3 if words & NAMES_MILD else max(self.name, 1.0 if words & NAMES_IN else 0.0)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -160,10 +173,27 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def content_score(b: Block, landmarks: bool) -> float:
+def overridden(b: Block, holders: set[int]) -> bool:
+    """Whether an element around the block's innermost article makes that part of comments, a sidebar or navigation.
+
+    holders: the elements around a main or an h1; names of these are those of the page's layout.
+    """
+    article = False
+    for e in reversed(b.path):
+        if e.landmark == "main":
+            return False
+        if article and id(e) not in holders and (e.name <= -1.0 or e.landmark in LANDMARK_OVER):
+            return True
+        article = article or e.landmark == "article"
+    return False
+
+
+def content_score(b: Block, landmarks: bool, holders: set[int]) -> float:
     """Log odds that a block is content."""
     score, inside = -0.5, False
-    for e in reversed(b.path):
+    out = overridden(b, holders)
+    score -= 9.0 * out
+    for e in () if out else reversed(b.path):
         if e.name <= -1.0:
             score -= 9.0
             break
@@ -280,8 +310,9 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    landmarks = any(e.landmark in ("article", "main") for b in blocks for e in b.path)
-    scores = [content_score(b, landmarks) for b in blocks]
+    holders = {id(e) for b in blocks for i, e in enumerate(b.path) if b.path[-1].tag == "h1" or any(x.landmark == "main" for x in b.path[i + 1 :])}
+    landmarks = any(e.landmark in ("article", "main") for b in blocks if not overridden(b, holders) for e in b.path)
+    scores = [content_score(b, landmarks, holders) for b in blocks]
     keep = [int(SCALE * (math.log1p(math.exp(min(x, 30.0))))) for x in scores]  # the cost of calling it boilerplate
     drop = [int(SCALE * (math.log1p(math.exp(min(-x, 30.0))))) for x in scores]
     edges = smoothness(blocks)

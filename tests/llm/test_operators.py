@@ -423,6 +423,23 @@ def test_main_text():
     assert html_text.main_text("<div><p>Plain words without any landmark, but a whole sentence all the same.</p></div>") != ""
 
 
+SAID = "Words of the story, which are long enough to be taken for what they are, in one sentence."
+READER = "What a nice article this is, I have read it twice, said a reader of it, and so did others."
+
+
+@pytest.mark.parametrize("start, end", [('<article class="post tag-social">', "</article>"), ('<article class="hentry category-legal">', "</article>"), ('<article class="story popular">', "</article>"), ('<main class="site-main has-sidebar">', "</main>"), ('<body class="right-sidebar">', "</body>"), ('<div class="content-sidebar-wrap"><main>', "</main></div>"), ('<div class="right-sidebar"><article>', "</article></div>")])
+def test_main_text_of_modified_names(start, end):
+    assert html_text.main_text(f"{start}<h1>Title of it</h1><p>{SAID}</p><p>{SAID}</p>{end}") == f"Title of it\n\n{SAID}\n\n{SAID}"
+
+
+@pytest.mark.parametrize("start, end", [('<section class="comments"><article>', "</article></section>"), ("<aside><article>", "</article></aside>"), ('<nav><article class="post">', "</article></nav>"), ('<div class="comments-area"><div><article><div>', "</div></article></div></div>")])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_main_text_without_nested_articles(around, start, end):
+    outer = f"{start}<p>{READER}</p><p>{READER}</p>{end}"
+    for page in (f"<{around}><h1>Title of it</h1><p>{SAID}</p></{around}>{outer}", f"<{around}><h1>Title of it</h1><p>{SAID}</p>{outer}</{around}>"):
+        assert html_text.main_text(page) == f"Title of it\n\n{SAID}"
+
+
 def test_main_texts_odd(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>cut off in the middle of a sentence that is long enough, <b"), (1, "u", PAGE), (None, "u", "<" * 2000), (6, "u", "<article>" + "<p>word word, word.</p>" * 5000 + "</article>"), (7, "u", "<script>never ends")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
