@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sprucelake.operators.groups import latest, top_per_group, two_step
+from sprucelake.operators.groups import latest, numbered, top_per_group, two_step
 from sprucelake.operators.joins import asof_join, band_join, join_small, salted_join
 from sprucelake.plans.registry import query
 from sprucelake.session import shared_folder, table
@@ -52,6 +52,12 @@ def null_logic(spark, d):
     return table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.coalesce(status, F.lit("none")).alias("status"), status.eqNullSafe(F.lit(None)).alias("was_f"))
 
 
+@query("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS status, nullif(o_orderstatus, 'F') IS NOT DISTINCT FROM NULL AS was_f FROM orders")
+def null_logic_whole(spark, d):
+    status = F.nullif("o_orderstatus", F.lit("F"))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(status, F.lit("none")).alias("status"), status.eqNullSafe(F.lit(None)).alias("was_f"))
+
+
 @query("SELECT s_suppkey, s_name AS name, round(s_acctbal / 10, 3) AS tenth FROM supplier")
 def struct_fields(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.struct(F.col("s_name").alias("name"), F.round(F.col("s_acctbal") / 10, 3).alias("tenth")).alias("s")).select("s_suppkey", "s.name", "s.tenth")
@@ -132,6 +138,11 @@ def join_cross_small(spark, d):
     return table(spark, d, "region").select("r_name").crossJoin(F.broadcast(table(spark, d, "nation").where("n_nationkey < 3").select("n_name")))
 
 
+@query("SELECT r_name, n_name FROM region, nation")
+def join_cross_small_whole(spark, d):
+    return table(spark, d, "region").select("r_name").crossJoin(F.broadcast(table(spark, d, "nation").select("n_name")))
+
+
 @query("SELECT s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def join_checked_broadcast(spark, d):
     return join_small(table(spark, d, "supplier"), table(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), ["s_nationkey"]).groupBy("s_nationkey").agg(F.count("*").alias("n"))
@@ -191,6 +202,14 @@ def join_lateral(spark, d):
     return table(spark, d, "customer").where("c_custkey % 10 = 0").join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
+@query("""
+SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey FROM customer),
+LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)""")
+def join_lateral_whole(spark, d):
+    best = top_per_group(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 2)
+    return table(spark, d, "customer").join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
 @query("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders i WHERE i.o_custkey = o.o_custkey)")
 def correlated_subquery(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -298,6 +317,12 @@ def order_nulls_last(spark, d):
     return first.union(last).withColumn("i", w).select("o_orderkey", F.when(F.col("up"), F.col("i")).otherwise(F.col("i") + n - 20).cast("int").alias("place"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '1-URGENT') DESC NULLS LAST, o_orderkey)::BIGINT AS place FROM orders")
+def order_nulls_last_whole(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p"))
+    return numbered(o.orderBy(F.desc_nulls_last("p"), "o_orderkey")).select("o_orderkey", (F.col("number") + 1).alias("place"))
+
+
 SETS = {"union_distinct": "UNION", "union_all": "UNION ALL", "intersect_distinct": "INTERSECT", "intersect_all": "INTERSECT ALL", "except_distinct": "EXCEPT", "except_all": "EXCEPT ALL"}
 
 

@@ -28,6 +28,11 @@ def regex_functions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring(t, 1, 40), "[aeiou]", "_").alias("masked"), F.regexp_extract(t, "([A-Z][a-z]+)", 1).alias("first_cap"), F.regexp_count(t, F.lit("[0-9]+")).alias("numbers"), F.size(F.split(t, "\n")).alias("lines"), F.levenshtein("source", "lang").alias("dist"))
 
 
+@query("SELECT doc_id, regexp_replace(text, '[aeiou]', '_', 'g') AS masked FROM documents")
+def regex_replace_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[aeiou]", "_").alias("masked"))
+
+
 @query("""
 SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS dd, dayofyear(o_orderdate)::INT AS dy, dayofweek(o_orderdate)::INT AS dw, weekofyear(o_orderdate)::INT AS wk,
   last_day(o_orderdate) AS eom, date_trunc('month', o_orderdate)::TIMESTAMP AS bom, (o_orderdate::DATE + 10)::DATE AS plus, (o_orderdate::DATE + INTERVAL 2 MONTH)::DATE AS months, strftime(o_orderdate, '%Y/%m/%d') AS fmt,
