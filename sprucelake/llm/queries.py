@@ -13,7 +13,7 @@ from sprucelake.llm.html_text import main_texts
 from sprucelake.llm.minhash import near_groups
 from sprucelake.llm.pieces import encoded
 from sprucelake.llm.repeats import without_repeats
-from sprucelake.llm.sharding import shards_by_key
+from sprucelake.llm.sharding import sharding_sql, shards_by_key
 from sprucelake.llm.token_counts import token_counts
 from sprucelake.llm.toxicity import toxicity_scores
 from sprucelake.llm.warc import WARC_SQL, archived
@@ -71,3 +71,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_warc, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination, op10_html_text)}
 ORACLE["op6_exact_dedup"] = EXACT_SQL
 ORACLE["op3_warc"] = WARC_SQL
+ORACLE["op7_sharding"] = sharding_sql(40)

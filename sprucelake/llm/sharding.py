@@ -5,28 +5,36 @@ shard counts at which the key jumps; the last jump below the shard count is its
 more takes rows only into itself. The generator's 64-bit product is made of 32-bit halves, so
 that it is the same under ANSI arithmetic.
 
-Slots. Ids are cut into ranges; rows of a shard and range are numbered by one task, and ranges
-start where the counts of those before end. So no task gets a shard as a whole.
-
-Defined results: a null text has the size of its row alone and the checksum of no bytes; a null
-id is hashed as 0 and stands in the first range; repeated rows are combined before the shuffle
-and get slots of their own, one after another; of an empty table nothing comes. Columns other
-than id and text are ignored.
+Slots. Rows are dealt to lots by the checksums of id and text, about LOT_ROWS to each, so neither
+far ids nor many rows without id nor copies of one text make a lot large. Rows of a shard and lot
+are numbered by one task, and a lot starts where the counts of those before it in its shard end:
+no task gets a shard as a whole.
+
+Defined results: ids are any 64-bit numbers; a null text has the size of its row alone and the
+checksum of no bytes; a null id is hashed as 0; rows that repeat id and text are combined before
+the shuffle and get slots of their own, one after another, written by several tasks if they are
+more than COPIES; of an empty table nothing comes. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sprucelake.llm.common import written
+
 #: Fixed values of the published algorithm.
 MULTIPLIER = 2862933555777941757
 SCALE = 1 << 31
 #: Jumps tried before the whole range is walked: enough for all but about one key in a million.
 JUMPS = 32
-#: Rows that a range of ids has on average.
-RANGE_ROWS = 200_000
+#: Rows of a lot, on average over all shards.
+LOT_ROWS = 200_000
+#: Copies of one row that a task numbers at most.
+COPIES = 10_000
 
 MASK = 0xFFFFFFFF
 
@@ -72,15 +80,38 @@ def shards_by_key(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + row_bytes).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    # Range width from the ids' span and count: three numbers for the driver.
-    n, low, high = docs.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low) * RANGE_ROWS // max(n, 1) + 1)
+    lots = max(1, math.ceil(docs.count() / LOT_ROWS))
+    lot = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) + F.col("text_crc32"), F.lit(lots))
     once = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    put = once.withColumn("jump", jump_shards(F.col("doc_id"), shards)).select("doc_id", "size", "text_crc32", "copies", F.col("jump.at").cast("int").alias("shard"), F.col("jump.grown").cast("int").alias("grown_shard"), F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long").alias("range"))
-    starts = put.groupBy("shard", "range").agg(F.sum("copies").alias("n"))
-    starts = starts.select("shard", "range", (F.sum("n").over(W.partitionBy("shard").orderBy("range")) - F.col("n")).alias("start"))
-    inside = W.partitionBy("shard", "range").orderBy("doc_id", "size", "text_crc32")
-    placed = put.withColumn("before", F.sum("copies").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("copies")).join(starts, ["shard", "range"])
-    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("before") + F.col("copy")).alias("slot"), "grown_shard")
+    put = once.withColumn("jump", jump_shards(F.col("doc_id"), shards)).select("doc_id", "size", "text_crc32", "copies", F.col("jump.at").cast("int").alias("shard"), F.col("jump.grown").cast("int").alias("grown_shard"), lot.alias("lot"))
+    starts = put.groupBy("shard", "lot").agg(F.sum("copies").alias("n"))
+    starts = starts.select("shard", "lot", (F.sum("n").over(W.partitionBy("shard").orderBy("lot")) - F.col("n")).alias("start"))
+    inside = W.partitionBy("shard", "lot").orderBy("doc_id", "size", "text_crc32")
+    placed = put.withColumn("before", F.sum("copies").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("copies")).join(starts, ["shard", "lot"])
+    placed = written(placed.select("doc_id", "size", "text_crc32", "copies", "shard", "grown_shard", (F.col("start") + F.col("before")).alias("first")), "placed")
+    few, many = placed.where(F.col("copies") <= COPIES), placed.where(F.col("copies") > COPIES)
+    each = few.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    if many.limit(1).count():
+        blocks = many.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("doc_id", "size", "text_crc32", "block")
+        last = F.least(F.col("copies"), (F.col("block") + 1) * COPIES) - 1
+        each = each.unionByName(blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, last))).drop("block"))
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("copy")).alias("slot"), "grown_shard")
+
+
+def sharding_sql(shards: int, row_bytes: int = 16) -> str:
+    """DuckDB SQL for shards_by_key over documents: CRC-32 byte by byte, the generator in 128 bits."""
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, {}), lambda c, b: xor(c >> 8, t.v[(xor(c, b) & 255) + 1]))"
+    octets = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    checksum = lambda text: f"xor({crc.format(octets.format(text))}, 4294967295)"
+    entry = "list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"""
+WITH RECURSIVE t AS (SELECT list({entry} ORDER BY i) AS v FROM range(256) r(i)),
+d AS (SELECT doc_id, (strlen(coalesce(text, '')) + {row_bytes})::BIGINT AS size, {checksum("coalesce(text, '')")} AS text_crc32,
+  {checksum("coalesce(doc_id::VARCHAR, '')")} AS id_crc32, greatest(1, ceil(count(*) OVER () / {LOT_ROWS}))::BIGINT AS lots FROM documents, t),
+j AS (SELECT DISTINCT doc_id, ((coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616)::UHUGEINT AS k, -1::BIGINT AS was, 0::BIGINT AS nxt FROM documents
+  UNION ALL SELECT doc_id, n AS k, nxt AS was, floor((nxt + 1) * ({float(SCALE)} / ((n >> 33)::DOUBLE + 1)))::BIGINT AS nxt
+  FROM (SELECT *, (k * {MULTIPLIER}::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS n FROM j WHERE nxt <= {shards}) s),
+h AS (SELECT doc_id, max(was) FILTER (was < {shards}) AS shard, max(was) AS grown FROM j GROUP BY doc_id)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY (id_crc32 + text_crc32) % lots, d.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM d JOIN h ON d.doc_id IS NOT DISTINCT FROM h.doc_id"""

@@ -246,10 +246,13 @@ def jump(key, shards):
     return b
 
 
-@pytest.mark.parametrize("shards", [1, 7, 40, 500])
-def test_shards(spark, shards, monkeypatch):
-    monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
-    rows = odd_rows() + [(-5, "minus"), (2**62, "far")]
+@pytest.mark.parametrize("shards", [1, 40, 500])
+@pytest.mark.parametrize("lot", [None, 10])
+def test_shards(spark, shards, lot, monkeypatch):
+    if lot:
+        monkeypatch.setattr(sharding, "LOT_ROWS", lot)
+        monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = odd_rows() + [(-5, "minus"), (2**62, "far"), (-(2**63), "least"), (2**63 - 1, "most")] + [(77, "again")] * 30 + [(None, f"no id {i}") for i in range(40)]
     out = sharding.shards_by_key(frame(spark, rows), shards).collect()
     size = lambda t: len((t or "").encode()) + 16
     expected = sorted((i or 0, size(t), zlib.crc32((t or "").encode()), jump(i or 0, shards), jump(i or 0, shards + 1)) for i, t in rows)
@@ -262,6 +265,13 @@ def test_shards(spark, shards, monkeypatch):
     assert sharding.shards_by_key(frame(spark, []), shards).count() == 0
 
 
+def test_shards_of_far_ids_and_copies_lie_in_even_lots(spark):
+    n = 3 * sharding.LOT_ROWS
+    docs = spark.range(n, numPartitions=4).selectExpr("case when id = 0 then 9000000000000000000 when id % 3 = 1 then null else id end as doc_id", "case when id % 3 = 2 then 'one text' else string(id) end as text")
+    slots = sharding.shards_by_key(docs, 4).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in slots) == n and all(r["max(slot)"] + 1 == r["count(1)"] for r in slots)
+
+
 # 8 MinHash
 
 
