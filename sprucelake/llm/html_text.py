@@ -1,225 +1,330 @@
 """Main text of web pages by minimum-cut labelling.
 
 Method. A page is cut into blocks: runs of text between block-level tags. A logistic classifier
-with fixed weights looks at a block's enclosing elements (the innermost landmark, names in class
-and id), its length, punctuation and links. What it would cost to call the block content and what
-to call it boilerplate become its capacities to the two terminals. Smoothness edges join blocks
-that follow each other, the stronger the nearer they are in the DOM, and neighbours among the
-children of one element. A maximum flow separates the two sides at least cost. Before the flow,
-blocks whose own costs outweigh all their smoothness edges are settled, which leaves the minimum
-unchanged, so the flow runs over short stretches of undecided blocks.
+looks at a block's enclosing elements (landmarks, names in class and id), its length, punctuation
+and links; each of these is a number from 0 to 1, so that no single one decides. Its weights are
+fitted on SAMPLE_PAGES labelled pages that page_samples composes. What it would cost to call the
+block content and what to call it boilerplate become its capacities to the two terminals.
+Smoothness edges join blocks that follow each other, the stronger the nearer they are in the DOM,
+and neighbours among the children of one element. A maximum flow separates the two sides at least
+cost. Before the flow, blocks whose own costs outweigh all their smoothness edges are settled, which
+leaves the minimum unchanged, so the flow runs over short stretches of undecided blocks.
+
+Names. A token of class or id speaks against an element if all its words do or mean nothing
+(`comment-list`); with other words (`comments-closed`) it says little, and after a modifier
+(`no-sidebar`) nothing. Evidence against an element that holds the main element, or a heading of first rank
+with sentences or much of the page's text, counts for a quarter: it tells of the page around.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks are
-trimmed and joined in page order by two newlines. Nothing else is dropped or cut.
+trimmed and joined in page order by two newlines. Text in scripts, styles, templates, frames, titles,
+lists of choices and fields of forms is no text of the page; all other text is judged.
+
+Scanning goes forward only and takes time in proportion to the page, whatever its markup.
 
 Defined results: null or empty html gives the empty text, as does a page without content blocks;
-unclosed tags, comments and scripts end with the page; repeated rows give a row each; other
-columns are ignored.
+unclosed comments, tags and scripts end with the page, an unclosed title or field doesn't; repeated
+rows give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sprucelake.llm.common import small_batches
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "object", "canvas", "math"}
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+from sprucelake.llm.page_samples import sample_pages
+
+#: Composed pages that the classifier is fitted on, and its L2 term.
+SAMPLE_PAGES, RIDGE = 400, 0.5
+
+#: What follows `<`: a name and all up to `>`; a value in quotes may hold `>`. Nothing is gone over twice.
+TAG = re.compile(r"([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?>\"[^\"]*\"|'[^']*')?)*)>")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements whose inside is no text of the page; without an end tag those in the first set end with it.
+TO_THE_END = {"script", "style", "iframe"}
+RAW = TO_THE_END | {"noscript", "template", "textarea", "select", "title"}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+INLINE = set(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark object picture q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr"
+    " math mi mn mo mrow ms mtext msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle semantics annotation svg g path text tspan circle rect line polygon use defs desc".split()
+)
 #: A start tag of the first closes an open element of the second.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements over whose borders a missing end tag is not looked for.
-SCOPES = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "div", "main", "nav", "aside", "footer", "header"}
+SCOPES = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "div", "main", "nav", "aside", "footer", "header", "form"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-LANDMARK = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "header": -7.0, "form": -9.0, "button": -9.0, "dialog": -9.0, "menu": -9.0, "address": -3.0, "figure": -0.5, "fieldset": -9.0}
+MAIN, OUT, FORM = {"article", "main"}, {"nav", "footer", "aside", "menu", "dialog"}, {"form", "button", "fieldset"}
 ROLE = {"main": "main", "article": "article", "navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "dialog": "dialog", "alert": "dialog", "form": "form", "menu": "menu"}
 NAMES_OUT = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login register"
     " comment comments commentlist reply replies respond disqus discussion sidebar side widget widgets related recommended recommendations trending popular share sharing social follow breadcrumb breadcrumbs crumbs menu nav navbar navigation"
-    " footer foot copyright legal masthead topbar toolbar search pagination pager paging tags tagcloud skip print hidden feedback".split()
+    " footer foot copyright legal masthead topbar toolbar search pagination pager paging tags tagcloud skip print hidden feedback toc".split()
 )
 NAMES_MILD = set("header head byline meta author date dateline caption credit timestamp info tools".split())
 NAMES_IN = set("article content post entry story main body text maintext articlebody prose blog".split())
+#: Words that change nothing about what a token says.
+NEUTRAL = set("list box boxes wrapper wrap area section block container inner outer top bottom left right site page global primary secondary col column panel bar item items link links button btn group row slot unit title form icon icons posts articles stories news us me now policy thread mobile desktop sticky fixed large small".split())
 #: A token that begins with one of these and goes on says what an element has or is filed under, not what it is.
-MODIFIERS = {"has", "no", "not", "with", "without", "tag", "category", "cat", "term"}
+MODIFIERS = {"has", "no", "not", "with", "without", "tag", "category", "cat", "term", "is"}
 #: What an article of its own is when a whole token says so and no token says that it is content.
 NAMES_ARTICLE_OUT = set("ad ads advert adverts advertisement advertising comment comments commentlist reply replies respond".split())
-#: Landmarks that make an article inside them part of themselves.
-LANDMARK_OVER = {"nav", "aside", "footer", "menu", "dialog"}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-STOP = re.compile(r"[.!?;:,…。](?:\s|$)")
+STOP = re.compile(r"[.!?;:,…。！？](?:\s|[\"'”’»)]|$)")
 #: Smoothness: blocks that follow each other, divided by their distance in the DOM; children of one element.
 FOLLOW, SIBLING = 1.6, 0.6
 SCALE = 1000
+FEATURES = ("always", "in main", "outside of main", "landmark against", "page header", "header in main", "form", "names against", "names a little against", "mild names", "names for", "links", "length", "stops", "heading", "paragraph", "item")
 
 
-class Block:
-    __slots__ = ("chars", "linked", "path", "text")
+def token_says(token: str) -> float:
+    """How much a token of class or id speaks against its element: 1, a little, or not at all."""
+    words = [w.lower() for w in WORD.findall(token)]
+    if not words or len(words) > 4 or (len(words) > 1 and words[0] in MODIFIERS) or not NAMES_OUT.intersection(words):
+        return 0.0
+    return 1.0 if all(w in NAMES_OUT or w in NEUTRAL or w in NAMES_IN or w.isdigit() for w in words) else 0.25
 
-    def __init__(self, text: str, linked: int, path: tuple) -> None:
-        self.text, self.linked, self.path, self.chars = text, linked, path, len(text)
 
+class Page:
+    """A page's elements (0 is the page itself, parents come before children) and its blocks, in order."""
 
-class Element:
-    """An open element: tag and what its attributes say (-1 out, -0.3 mildly, 0, 1 in)."""
+    def __init__(self, page: str) -> None:
+        self.tag, self.parent, self.landmark, self.against, self.mild, self.names_for = ["#page"], [-1], [""], [0.0], [0.0], [0.0]
+        self.text: list[str] = []
+        self.linked: list[int] = []
+        self.element: list[int] = []
+        self.far: list[int] = []
+        self._scan(page)
 
-    __slots__ = ("landmark", "name", "tag")
-
-    def __init__(self, tag: str, attributes: str) -> None:
-        self.tag, self.name, self.landmark = tag, 0.0, tag if tag in LANDMARK else ""
+    def _new(self, tag: str, attributes: str, parent: int) -> int:
+        against, mild, names_for, landmark = 0.0, 0.0, 0.0, tag
         for m in ATTRIBUTE.finditer(attributes) if attributes and not attributes.isspace() else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
-                self.landmark = ROLE.get(value.strip().lower(), self.landmark)
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                self.name = -1.0
-            elif key in ("class", "id") and self.name > -1:
-                tokens = [[w.lower() for w in WORD.findall(t)] for t in value.split()]
-                tokens = [t for t in tokens if not (len(t) > 1 and t[0] in MODIFIERS)]
-                words = {w for t in tokens for w in t}
-                if words & NAMES_OUT:
-                    # The name of an article, main or body is weak evidence: it often tells of the page around it.
-                    own = tag == "article" and not words & NAMES_IN and any(set(t) <= NAMES_ARTICLE_OUT for t in tokens if t)
-                    self.name = -1.0 if own or tag not in ("article", "main", "body") else -0.3
+                landmark = ROLE.get(value.strip().lower(), landmark)
+            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and UNSEEN.search(value)):
+                against = 1.0
+            elif key == "class" or (key == "id" and tag != "p" and tag not in HEADINGS):  # those have ids made from what they say
+                tokens = value.split()[:50]
+                words = {w.lower() for t in tokens for w in WORD.findall(t)}
+                names_for = max(names_for, float(not words.isdisjoint(NAMES_IN)))
+                mild = max(mild, float(not words.isdisjoint(NAMES_MILD)))
+                said = max(map(token_says, tokens), default=0.0)
+                if tag == "article" and not (words.isdisjoint(NAMES_IN) and any(NAMES_ARTICLE_OUT.issuperset(w.lower() for w in WORD.findall(t)) for t in tokens if WORD.search(t))):
+                    said *= 0.25
+                against = max(against, said)
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.landmark.append(landmark)
+        self.against.append(against)
+        self.mild.append(mild)
+        self.names_for.append(names_for)
+        return len(self.tag) - 1
+
+    def _scan(self, page: str) -> None:
+        stack, at, scopes = [0], {}, [0]  # open elements; by tag where it stands open; where scopes stand
+        text: list[str] = []
+        spans: list[int] = []  # open spans and labels: where the stack has them if they are blocks, else 0
+        linked, link, place, lowest, last_depth, size = 0, 0, 0, 1, 1, len(page)
+        missing: set[str] = set()
+
+        def flush() -> None:
+            nonlocal linked, lowest, last_depth
+            if text:
+                words = " ".join("".join(text).split())
+                if words:
+                    self.text.append(words)
+                    self.linked.append(min(linked, len(words)))
+                    self.element.append(stack[-1])
+                    self.far.append(last_depth + len(stack) - 2 * min(lowest, len(stack)))
+                    lowest = last_depth = len(stack)
+                text.clear()
+            linked = 0
+
+        def add(part: str) -> None:
+            nonlocal linked
+            part = html.unescape(part) if "&" in part else part
+            text.append(part)
+            if link:
+                linked += len(part.strip())
+
+        def push(tag: str, attributes: str) -> None:
+            at.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+            stack.append(self._new(tag, attributes, stack[-1]))
+
+        def pop(to: int) -> None:
+            nonlocal lowest, link
+            while len(stack) > to:
+                at[self.tag[stack.pop()]].pop()
+                if scopes[-1] == len(stack):
+                    scopes.pop()
+            lowest = min(lowest, to)
+            link = link if link <= to else 0
+
+        def where(tag: str) -> int:
+            found = at.get(tag)
+            return found[-1] if found else 0
+
+        while place < size:
+            m = page.find("<", place)
+            if m < 0:
+                add(page[place:])
+                break
+            if m > place:
+                add(page[place:m])
+            follows = page[m + 1 : m + 2]
+            if follows in ("!", "?"):
+                if page.startswith("--", m + 2):
+                    place = m + 4 if page.startswith((">", "->"), m + 4) else page.find("-->", m + 4)
                 else:
-                    self.name = -0.3 if words & NAMES_MILD else max(self.name, 1.0 if words & NAMES_IN else 0.0)
-
-
-def blocks_of(page: str) -> list[Block]:
-    """A page's blocks in order, each with the path of its enclosing elements."""
-    out: list[Block] = []
-    stack: list[Element] = []
-    text: list[str] = []
-    linked, links, place = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            words = " ".join("".join(text).split())
-            if words:
-                out.append(Block(words, min(linked, len(words)), tuple(e for e in stack if e.tag not in INLINE)))
-            text.clear()
-        linked = 0
-
-    def add(part: str) -> None:
-        nonlocal linked
-        part = html.unescape(part) if "&" in part else part
-        text.append(part)
-        if links:
-            linked += len(part.strip())
-
-    while True:
-        m = TOKEN.search(page, place)
-        if m is None:
-            add(page[place:])
-            break
-        if m.start() > place:
-            add(page[place : m.start()])
-        place = m.end()
-        if not (tag := m[2]):
-            continue
-        tag = tag.lower()
-        if tag in INLINE:
-            if tag == "br":
-                text.append("\n")
-            elif tag == "a":
-                links = 0 if m[1] else 1
-            elif tag in ("span", "label") and not m[1] and Element(tag, m[3]).name == -1.0:
-                # An inline element that is out by its name stands as a block of its own.
-                flush()
-                stack.append(Element("x-" + tag, m[3]))
-            elif tag in ("span", "label") and m[1] and stack and stack[-1].tag == "x-" + tag:
-                flush()
-                stack.pop()
-            continue
-        if tag in RAW and not m[1]:
-            if not m[3].rstrip().endswith("/"):
-                end = RAW_END[tag].search(page, place)
-                place = end.end() if end else len(page)
-            if tag not in ("svg", "math", "object", "canvas"):
-                flush()
-            continue
-        flush()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    links = 0
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES and tag not in SCOPES:
+                    place = m
+                place = page.find(">", place) + 1 if place >= 0 else 0
+                if not place:
                     break
-        elif tag not in VOID:
-            links = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in SCOPES or stack[i].tag == "td":
-                    break
-                if stack[i].tag == "p" or stack[i].tag in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-            if not m[3].endswith("/"):
-                stack.append(Element(tag, m[3]))
-    flush()
-    return out
-
-
-def overridden(b: Block, holders: set[int]) -> bool:
-    """Whether an element around the block's innermost article makes that part of comments, a sidebar or navigation.
-
-    holders: the elements around a main or an h1; names of these are those of the page's layout.
-    """
-    article = False
-    for e in reversed(b.path):
-        if e.landmark == "main":
-            return False
-        if article and id(e) not in holders and (e.name <= -1.0 or e.landmark in LANDMARK_OVER):
-            return True
-        article = article or e.landmark == "article"
-    return False
-
-
-def content_score(b: Block, landmarks: bool, holders: set[int]) -> float:
-    """Log odds that a block is content."""
-    score, inside = -0.5, False
-    out = overridden(b, holders)
-    score -= 9.0 * out
-    for e in () if out else reversed(b.path):
-        if e.name <= -1.0:
-            score -= 9.0
-            break
-        if e.name < 0:
-            score -= 1.5
-        elif e.name > 0 and not inside:
-            score, inside = score + 2.5, True
-        if e.landmark:
-            # A header inside an article holds its heading.
-            in_article = e.landmark == "header" and any(x.landmark in ("article", "main") for x in b.path)
-            score += -1.0 if in_article else LANDMARK[e.landmark]
-            if not in_article and e.landmark not in ("figure", "address"):
+                continue
+            close = follows == "/"
+            if not (page[m + 1 + close : m + 2 + close].isascii() and page[m + 1 + close : m + 2 + close].isalpha()):
+                add("<")
+                place = m + 1
+                continue
+            found = TAG.match(page, m + 1 + close)
+            if not found:
                 break
-    else:
-        if landmarks:
-            score -= 3.0
-    share = b.linked / max(b.chars, 1)
-    score -= 5.0 * max(0.0, share - 0.4)
-    score += min(b.chars, 200) / 100
-    if STOP.search(b.text):
-        score += 0.7
-    if b.path and b.path[-1].tag in HEADINGS:
-        score += 2.0
-    elif b.path and b.path[-1].tag == "p":
-        score += 0.8
-    return score
+            place, tag, attributes = found.end(), found[1].lower(), found[2]
+            if tag in INLINE:
+                if tag == "br":
+                    text.append("\n")
+                elif tag == "a":
+                    link = 0 if close else len(stack)
+                elif tag in ("span", "label"):
+                    if close:
+                        if spans and (own := spans.pop()) and own < len(stack) and self.tag[stack[own]] == "x-span":
+                            flush()
+                            pop(own)
+                    else:
+                        # An inline element that is out by its name stands as a block of its own.
+                        apart = bool(attributes.strip()) and self.against[self._new("x-span", attributes, 0)] == 1.0
+                        if attributes.strip():
+                            for column in (self.tag, self.parent, self.landmark, self.against, self.mild, self.names_for):
+                                column.pop()
+                        spans.append(len(stack) if apart else 0)
+                        if apart:
+                            flush()
+                            push("x-span", attributes)
+                continue
+            if tag in RAW and not close:
+                end = None if tag in missing else RAW_END[tag].search(page, place)
+                if end:
+                    place = end.end()
+                elif tag in TO_THE_END:
+                    break
+                else:
+                    missing.add(tag)
+                if tag not in ("script", "style", "template", "title"):
+                    flush()
+                continue
+            flush()
+            if close:
+                own = where(tag)
+                if own and (tag in SCOPES or own > scopes[-1]):
+                    pop(own)
+            elif tag not in VOID:
+                if (own := where("p")) > max(scopes[-1], where("td"), where("th")):
+                    pop(own)
+                if tag in CLOSES and (own := max(map(where, CLOSES[tag]))) > scopes[-1]:
+                    pop(own)
+                if not (attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\"'")):
+                    push(tag, attributes)
+        flush()
+
+    def features(self) -> np.ndarray:
+        """A row of FEATURES for each block."""
+        n = len(self.tag)
+        stops = [bool(STOP.search(t)) for t in self.text]
+        chars, sentences, head, marked = [0] * n, [0] * n, [t == "h1" for t in self.tag], [x in MAIN and a < 1 for x, a in zip(self.landmark, self.against, strict=True)]
+        for t, e, stop in zip(self.text, self.element, stops, strict=True):
+            chars[e] += len(t)
+            sentences[e] += stop and len(t) > 40
+        for e in range(n - 1, 0, -1):
+            up = self.parent[e]
+            chars[up] += chars[e]
+            sentences[up] += sentences[e]
+            head[up] |= head[e]
+            marked[up] |= marked[e] and (self.landmark[e] == "main" or head[e])
+        # Whether an element holds the main element, an article with its heading, or a heading and sentences below it.
+        holds = [(m and x not in MAIN) or (h and (s > 1 or c > 0.3 * chars[0])) for m, x, h, s, c in zip(marked, self.landmark, head, sentences, chars, strict=True)]
+        rows = np.zeros((n, 10))  # in main, against: landmark, page header, header in main, form, names, a little, mild, names for; open header
+        for e in range(1, n):
+            own, up = rows[e], rows[self.parent[e]]
+            own[:] = up
+            mark, weight = self.landmark[e], 0.25 if holds[e] or (head[e] and self.landmark[e] in FORM) else 1.0
+            if mark in MAIN:
+                own[0] = 1
+            elif mark in OUT:
+                own[1] = max(own[1], weight)
+            elif mark == "header":
+                own[3 if own[0] else 2] = weight
+            elif mark in FORM:
+                own[4] = max(own[4], weight)
+            against = self.against[e] * (0.25 if mark == "main" or self.tag[e] in ("body", "html") else weight)
+            if against == 1.0:
+                own[5] = 1
+            elif against:
+                own[6] = max(own[6], against)
+            own[7] = max(own[7], self.mild[e] * weight)
+            own[8] = max(own[8], self.names_for[e])
+        at = np.array(self.element, np.int64)
+        around = rows[at] if len(at) else np.empty((0, 10))
+        marks = bool(((around[:, 0] == 1) & (around[:, 1] < 1) & (around[:, 5] < 1)).any())
+        size = np.array([len(t) for t in self.text], float)
+        links = np.maximum(0, np.array(self.linked) / np.maximum(size, 1) - 0.4) / 0.6
+        tags = [self.tag[e] for e in self.element]
+        out = np.column_stack([
+            np.ones(len(at)), around[:, 0], marks * (1 - around[:, 0]), around[:, 1:9], links, np.minimum(size, 200) / 200,
+            stops, [t in HEADINGS for t in tags], [t == "p" for t in tags], [t in ("li", "td", "th", "dd", "dt") for t in tags],
+        ])
+        return out.astype(float)
+
+    def edges(self) -> list[tuple[int, int, int]]:
+        """Smoothness edges (a, b, capacity) between blocks."""
+        found, last = [], {}
+        for i, e in enumerate(self.element):
+            if i:
+                found.append((i - 1, i, int(SCALE * FOLLOW / (1 + self.far[i]))))
+            parent = self.parent[e]
+            if parent > 0:
+                if parent in last and last[parent] != i - 1:
+                    found.append((last[parent], i, int(SCALE * SIBLING)))
+                last[parent] = i
+        return found
+
+
+@lru_cache(1)
+def fitted() -> np.ndarray:
+    """The classifier's weights: ridge logistic regression, by Newton's steps, on the blocks of the composed pages."""
+    xs, ys = [], []
+    for page, content in sample_pages(SAMPLE_PAGES):
+        own = Page(page)
+        xs.append(own.features())
+        ys += [float(t in content) for t in own.text]
+    x, y = np.concatenate(xs), np.array(ys)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * w)
+        w += step
+    return w
 
 
 def max_flow_sides(n: int, source: list[int], sink: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -285,38 +390,15 @@ def max_flow_sides(n: int, source: list[int], sink: list[int], edges: list[tuple
                 x = to[path.pop() ^ 1]
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
-    """Edges (a, b, capacity) between blocks."""
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
-        if i:
-            a = blocks[i - 1].path
-            same = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x is not y:
-                    break
-                same += 1
-            far = len(a) + len(b.path) - 2 * same
-            edges.append((i - 1, i, int(SCALE * FOLLOW / (1 + far))))
-        parent = id(b.path[-2]) if len(b.path) > 1 else 0
-        if parent and parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, int(SCALE * SIBLING)))
-        last[parent] = i
-    return edges
-
-
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: np.ndarray | None = None) -> str:
     """The main text of one page."""
-    blocks = blocks_of(page) if page else []
-    if not blocks:
+    own = Page(page) if page else None
+    if not own or not own.text:
         return ""
-    holders = {id(e) for b in blocks for i, e in enumerate(b.path) if b.path[-1].tag == "h1" or any(x.landmark == "main" for x in b.path[i + 1 :])}
-    landmarks = any(e.landmark in ("article", "main") for b in blocks if not overridden(b, holders) for e in b.path)
-    scores = [content_score(b, landmarks, holders) for b in blocks]
-    keep = [int(SCALE * (math.log1p(math.exp(min(x, 30.0))))) for x in scores]  # the cost of calling it boilerplate
-    drop = [int(SCALE * (math.log1p(math.exp(min(-x, 30.0))))) for x in scores]
-    edges = smoothness(blocks)
-    weight = [0] * len(blocks)
+    scores = np.clip(own.features() @ (fitted() if weights is None else weights), -30, 30)
+    keep, drop = ((SCALE * np.log1p(np.exp(x))).astype(int).tolist() for x in (scores, -scores))  # the costs of calling it boilerplate, and content
+    edges = own.edges()
+    weight = [0] * len(keep)
     for a, b, c in edges:
         weight[a] += c
         weight[b] += c
@@ -334,18 +416,28 @@ def main_text(page: str | None) -> str:
                 (source if side[other] else sink)[place[free]] += c
         for i, content in zip(place, max_flow_sides(len(place), source, sink, inner), strict=True):
             side[i] = content
-    return "\n\n".join(b.text for b, content in zip(blocks, side, strict=True) if content)
+    return "\n\n".join(t for t, content in zip(own.text, side, strict=True) if content)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages."""
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    weights = fitted()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
-            texts = [main_text(p) for p in batch.column("html").to_pylist()]
+            texts = [main_text(p, weights) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(work, f"page_id {kind}, url string, text string, n_chars long")
+
+
+#: The same for pages as the tables have them: one article that holds h1, p and inline elements, and references to & and ".
+HTML_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*(?:>|$)', '', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sprucelake.llm.decontaminate import overlaps
 from sprucelake.llm.exact_dedup import EXACT_SQL, exact_groups
-from sprucelake.llm.html_text import main_texts
+from sprucelake.llm.html_text import HTML_SQL, main_texts
 from sprucelake.llm.minhash import near_groups
 from sprucelake.llm.pieces import encoded
 from sprucelake.llm.repeats import without_repeats
@@ -72,3 +72,4 @@ QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_warc, op
 ORACLE["op6_exact_dedup"] = EXACT_SQL
 ORACLE["op3_warc"] = WARC_SQL
 ORACLE["op7_sharding"] = sharding_sql(40)
+ORACLE["op10_html_text"] = HTML_SQL

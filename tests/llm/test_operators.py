@@ -3,8 +3,9 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -14,6 +15,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from tests.llm.gold_pages import gold_pages
 from sprucelake.llm import decontaminate, exact_dedup, html_text, minhash, pieces, queries, repeats, sharding, token_counts, toxicity, warc
 from sprucelake.llm.common import WordHashes, components, lower_words, shingles
 
@@ -450,6 +452,32 @@ def test_main_text_without_nested_articles(around, start, end):
         assert html_text.main_text(page) == f"Title of it\n\n{SAID}"
 
 
+@pytest.mark.parametrize("start, end", [('<article class="post comments-closed">', "</article>"), ('<body class="no-sidebar">', "</body>"), ('<div class="social-science">', "</div>"), ('<article class="related-rates article">', "</article>"), ("<form>", "</form>")])
+def test_main_text_of_compound_names(start, end):
+    page = f'{start}<h1>Title of it</h1><p>{SAID}</p><h2 id="comment-on-tags">On tags</h2><p id="hidden-costs">{SAID}</p>{end}'
+    assert html_text.main_text(page) == f"Title of it\n\n{SAID}\n\nOn tags\n\n{SAID}"
+
+
+def test_main_text_drops_no_other_text():
+    page = f"<article><h1>Title</h1><p>E = <math><mi>m</mi><mo>c</mo></math> holds, of course.</p><object><p>{SAID}</p></object><script src=/a/>leak, leak.</script><svg><text>{SAID}</text></svg><title>open<p>{SAID}</article>"
+    assert html_text.main_text(page) == f"Title\n\nE = mc holds, of course.\n\n{SAID}\n\n{SAID}open\n\n{SAID}"
+
+
+def test_main_text_of_gold_pages():
+    got = wanted = both = 0
+    for _, page, text in gold_pages():
+        a, b = Counter(html_text.main_text(page).split()), Counter(text.split())
+        got, wanted, both = got + a.total(), wanted + b.total(), both + (a & b).total()
+    assert both >= 0.98 * got and both >= 0.99 * wanted
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 170_000, "<p>" + "a<b " * 250_000, '<a "x ' * 170_000 + ">", '<a b="' * 170_001 + ">", "<!-- " * 200_000, "<x>" * 100_000 + "</p>" * 100_000 + "</x>a" * 50_000, "<title>" * 150_000, "&am" * 300_000], ids=range(9))
+def test_main_text_takes_time_in_proportion(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20  # what goes over a page again and again takes hours here
+
+
 def test_main_texts_odd(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>cut off in the middle of a sentence that is long enough, <b"), (1, "u", PAGE), (None, "u", "<" * 2000), (6, "u", "<article>" + "<p>word word, word.</p>" * 5000 + "</article>"), (7, "u", "<script>never ends")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
