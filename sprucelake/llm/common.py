@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sprucelake.session import delete_folder, shared_folder, written
 
-__all__ = ["WordHashes", "components", "discard", "lower_words", "mix", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
+__all__ = ["WordHashes", "components", "discard", "fresh", "lower_words", "mix", "quoted", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
 
 #: A worker's memo of words is emptied at this size.
 MEMO_WORDS = 300_000
@@ -80,6 +80,19 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_
             yield batch.slice(a, b - a)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """name, with marks behind it if it is among the names taken (whatever their case)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df (ids, written already) with a broadcast hint if it is counted and has `most` rows at most; else as it is, for a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

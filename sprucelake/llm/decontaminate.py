@@ -5,14 +5,14 @@ words. The two masks in SEEDS are such that each window of WINDOW words with at
 substituted words keeps one of them whole at some place (a test goes through all patterns), so
 none is missed. Seed hashes of benchmark and documents are joined, and around each hit the
 document is laid beside the item, shifted by the hit: windows of WINDOW words of which at least
-80 % agree count as copied. With short_items, an item of fewer than WINDOW words counts as a whole if at
-least 80 % of its words agree: it is cut into one piece more than words may be substituted, so
-that one piece stays whole, and each piece is a seed of its own length. Below MIN_WORDS words it
-counts verbatim. Without short_items, items of MIN_WORDS to WINDOW - 1 words count unchanged only
-and shorter ones not at all.
+80 % agree count as copied. An item of fewer than WINDOW words counts as a whole if at least 80 %
+of its words agree (so one of less than five words must be there unchanged): it is cut into one piece
+more than words may be substituted, so that one piece stays whole, and each piece is a seed of its
+own length.
 
-The benchmark goes to the executors in blocks of bounded size, one pass over the documents for
-each block; documents are never shuffled, and each row is read whole.
+The benchmark is written to the shared folder in blocks of bounded size. One block at a time goes
+to the executors, and what it finds is written before the next one goes: one pass over the
+documents for each block. Documents are never shuffled, and each row is read whole.
 
 Defined results: null and empty texts hold nothing; words are runs of letters, digits and marks by
 Unicode class after lower-casing, and in scripts written without spaces each letter with its marks
@@ -26,17 +26,18 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, mix, slices, small_batches
+from sprucelake.llm.common import WordHashes, mix, slices, small_batches, written
 
 #: Fixed masks: 1 takes the word at that place.
 SEEDS = ("11101011", "11001111")
-WINDOW, AGREE, MIN_WORDS = 13, 0.8, 5
+WINDOW, AGREE = 13, 0.8
 #: UTF-8 bytes of benchmark text in a block.
 BLOCK_BYTES = 8_000_000
 #: Hits laid side by side at a time.
@@ -80,7 +81,7 @@ def plain_words(text: str | None) -> list[bytes]:
 
 def short_pieces(n: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of an item of n < WINDOW words, one more than it may have substitutions."""
-    pieces = n - math.ceil(AGREE * n) + 1 if n >= MIN_WORDS else 1
+    pieces = n - math.ceil(AGREE * n) + 1
     cuts = [n * i // pieces for i in range(pieces + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -98,8 +99,7 @@ def seed_hashes(h: np.ndarray, seed: str) -> np.ndarray:
 class Block:
     """Some benchmark items, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str | None]], short_items: bool = False) -> None:
-        self.short_items = short_items
+    def __init__(self, items: list[tuple[int, str | None]]) -> None:
         memo = WordHashes()
         hashes = [memo.of(plain_words(t)) for _, t in items]
         self.ids = np.array([i for i, _ in items], np.int64)
@@ -116,8 +116,8 @@ class Block:
                     owner.append(np.full(len(s), i))
                     place.append(np.arange(len(s)))
                 continue
-            # A short item is seeds of its pieces, or else one of its own length.
-            for start, n in (short_pieces(len(h)) if short_items else [(0, len(h))] if len(h) >= MIN_WORDS else []) if len(h) else []:
+            # A short item is seeds of its pieces.
+            for start, n in short_pieces(len(h)) if len(h) else []:
                 lengths.add(n)
                 keys.append(seed_hashes(h[start : start + n], "1" * n))
                 owner.append(np.full(1, i))
@@ -157,7 +157,7 @@ def _short_copied(block: Block, h: np.ndarray, doc: np.ndarray, item: np.ndarray
     for j in range(WINDOW - 1):
         on = np.flatnonzero(size > j)
         same[on] += h[shift[on] + j] == block.words[block.starts[item[on]] + j]
-    good = same >= np.where(size >= MIN_WORDS, AGREE * size, size)
+    good = same >= AGREE * size
     for d, i in np.unique(np.stack([doc[shift[good]], item[good]], axis=1), axis=0).tolist():
         found[d, i] = np.ones(int(block.sizes[i]), bool)
 
@@ -170,10 +170,9 @@ def _copied(block: Block, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, in
     if not len(h) or not len(block.keys):
         return {}
     for at, item, place in block.hits(h, doc):
-        if block.short_items:
-            short = block.sizes[item] < WINDOW
-            _short_copied(block, h, doc, item[short], (at - place)[short], found)
-            at, item, place = at[~short], item[~short], place[~short]
+        short = block.sizes[item] < WINDOW
+        _short_copied(block, h, doc, item[short], (at - place)[short], found)
+        at, item, place = at[~short], item[~short], place[~short]
         shifts = np.unique(np.stack([item, at - place], axis=1), axis=0)
         for i, shift in shifts.tolist():
             # One shift of an item can lie in two documents: they are told apart by where it overlaps them.
@@ -183,35 +182,34 @@ def _copied(block: Block, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, in
                     continue
                 tried.add((i, shift * len(ends) + d))
                 a, b = max(shift, int(ends[d])), min(shift + size, int(ends[d + 1]))
-                width = min(WINDOW, size)
-                if b - a < width:
+                if b - a < WINDOW:
                     continue
                 same = h[a:b] == block.words[start + a - shift : start + b - shift]
                 sums = np.concatenate([[0], np.cumsum(same)])
-                good = np.flatnonzero(sums[width:] - sums[:-width] >= (AGREE * width if size >= WINDOW else width))
+                good = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= AGREE * WINDOW)
                 if len(good):
                     cover = found.setdefault((d, i), np.zeros(size, bool))
                     for g in good.tolist():
-                        cover[a - shift + g : a - shift + g + width] = True
+                        cover[a - shift + g : a - shift + g + WINDOW] = True
     return {k: int(v.sum()) for k, v in found.items()}
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", short_items: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, copied_words, share): documents that hold a passage of an item, and how much of it."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
+    items = written(items.withColumn("bytes", F.octet_length("text")), "benchmark")
+    blocks = max(1, math.ceil((items.agg(F.sum("bytes")).first()[0] or 0) / BLOCK_BYTES))
     schema = "doc_id long, item_id long, item_words long, copied_words long"
-    found = None
+    parts = []
     for b in range(blocks):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast(sorted(own))
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()
+        shared = spark.sparkContext.broadcast(sorted(map(tuple, own)))
 
         def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, memo = Block(shared.value, short_items), WordHashes()
+            block, memo = Block(shared.value), WordHashes()
             for batch in small_batches(batches, "text"):
                 hashes = [memo.of(plain_words(t)) for t in batch.column("text").to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int64)
@@ -220,6 +218,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "item_words", "copied_words"])
 
-        part = docs.mapInArrow(work, schema)
-        found = part if found is None else found.union(part)
+        parts.append(docs.mapInArrow(work, schema))
+        if blocks > 1:  # this block leaves the executors before the next one comes
+            parts[-1] = written(parts[-1], "overlaps")
+            shared.destroy()
+    found = reduce(DataFrame.union, parts)
     return found.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("copied_words").alias("copied_words")).withColumn("share", F.round(F.col("copied_words") / F.col("item_words"), 6))

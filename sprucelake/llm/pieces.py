@@ -31,10 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from sprucelake.llm.common import small_batches
+from sprucelake.llm.common import fresh, quoted, small_batches
 
 MARK = "▁"
 #: Parts of texts that a worker remembers; it starts afresh beyond.
@@ -265,8 +266,8 @@ class Encoder:
         self.start = np.r_[self.start, self.start[-1] + np.cumsum([len(c) // 4 for c in codes])]
         self.ids = np.r_[self.ids, np.frombuffer(b"".join(codes), np.int32)]
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[float, bytes]]]:
-        """For each text (score, ids as int32), best first."""
+    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[float, bytes, list]]]:
+        """For each text (score, ids as int32, changes), best first; changes (start, end, ids as int32) make it from the best, in bytes of its ids."""
         if len(self.number) > MEMO or len(self.ids) > 20 * MEMO or len(self.lists) > MEMO // 20:
             self._forget()
         parts, counts = self.model.parts([MARK + t.replace(" ", MARK) if t else "" for t in texts])
@@ -282,8 +283,8 @@ class Encoder:
             yield self._text(parts[own], float(scores[own].sum()), losses[own], ends[a : a + n + 1] - ends[a], ids[ends[a] : ends[a + n]].tobytes())
             a += n
 
-    def _text(self, parts: list[str], total: float, loss: np.ndarray, ends: np.ndarray, best: bytes) -> list[tuple[float, bytes]]:
-        out = [(total, best)]
+    def _text(self, parts: list[str], total: float, loss: np.ndarray, ends: np.ndarray, best: bytes) -> list[tuple[float, bytes, list]]:
+        out: list[tuple[float, bytes, list]] = [(total, best, [])]
         if self.n < 2 or not parts:
             return out
         # The n best of all choices of loss, over the parts that lose least.
@@ -300,10 +301,11 @@ class Encoder:
             choices = heapq.nsmallest(self.n, [*choices, *((lost + more, (*did, swap)) for lost, did in choices for more, swap in others)], key=lambda c: (c[0], len(c[1])))
         for lost, did in choices[1:]:
             made, place = [], 0
-            for x, y, code in sorted(did):
+            changes = sorted(did)
+            for x, y, code in changes:
                 made += [best[place:x], code]
                 place = y
-            out.append((total - lost, b"".join([*made, best[place:]])))
+            out.append((total - lost, b"".join([*made, best[place:]]), changes))
         return out
 
 
@@ -319,33 +321,61 @@ def decode(ids: Iterable[int], model: Lattice) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encoded(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, score, ids_sha256, n_best, back) for each row of docs.
+RESULT = "ids array<int>, n_pieces long, score double, ids_sha256 string, n_best array<struct<score: double, n_pieces: bigint, ids_sha256: string, changes: array<struct<at: int, n: int, ids: array<int>>>>>, back boolean"
 
-    n_best: of each of the n best segmentations score, pieces and the digest of its ids (little-endian
-    int32) and, with keep_ids, its ids, those of the best also in a column `ids`. back: decoding the best gives the text.
+
+def changed(ids: Column, changes: Column) -> Column:
+    """The ids of one of n_best: those of the best with its changes made."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("place"))
+    done = F.aggregate(changes, start, lambda a, c: F.struct(F.concat(a["out"], F.slice(ids, a["place"] + 1, c["at"] - a["place"]), c["ids"]).alias("out"), (c["at"] + c["n"]).alias("place")))
+    return F.concat(done["out"], F.slice(ids, done["place"] + 1, F.size(ids) - done["place"]))
+
+
+def _lists(codes: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(c) // 4 for c in codes])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), np.int32)))
+
+
+def _structs(columns: dict[str, pa.Array]) -> pa.StructArray:
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
+def _nested(rows: list[list], inner: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), inner)
+
+
+def encoded(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, ids, n_pieces, score, ids_sha256, n_best, back) for each row of docs.
+
+    ids: the best segmentation. n_best: of each of the n best, the best first, its score, pieces,
+    the digest of its ids (little-endian int32) and the changes that make it from the best: at
+    place `at` of ids, `n` ids give way to `ids` (see changed()). back: decoding the best gives the text.
+    With carry, all columns of docs and these in one struct `pieces` (with a mark behind its name if that is taken).
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    fields = docs.schema.fields if carry else [docs.schema[id_col]]
+    own = fresh([f.name for f in fields], "pieces")
+    # Positions stand for names on the way, so that none can clash.
+    rows = docs.select(quoted(text_col).cast("string").alias("text"), *[quoted(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
+    result = StructType([*[StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)], StructField("pieces", StructType.fromDDL(RESULT))])
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
         own_encoder = encoder(model_path, n)
         for batch in small_batches(batches, "text", 2_000_000):
             texts = batch.column("text").to_pylist()
-            back, ends, scores, codes = [], [0], [], []
-            for text, found in zip(texts, own_encoder.encode(texts), strict=True):
-                back.append(decode(np.frombuffer(found[0][1], np.int32).tolist(), model) == (text or ""))
-                scores += [s for s, _ in found]
-                codes += [code for _, code in found]
-                ends.append(len(codes))
-            sizes = [len(code) // 4 for code in codes]
-            each = {"score": pa.array(scores, pa.float64()), "n_pieces": pa.array(sizes, pa.int64()), "ids_sha256": pa.array([hashlib.sha256(code).hexdigest() for code in codes], pa.string())}
-            if keep_ids:
-                each["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(codes), np.int32)))
-            columns = {"doc_id": batch.column("doc_id"), "n_best": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(each.values()), list(each))), "back": pa.array(back, pa.bool_())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    each_type = "struct<score: double, n_pieces: bigint, ids_sha256: string" + ", ids: array<int>" * keep_ids + ">"
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, n_best array<{each_type}>, back boolean")
-    best = F.col("n_best")[0]
-    return out.select("doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("score"), best["ids_sha256"].alias("ids_sha256"), "n_best", "back", *[best["ids"].alias("ids")] * keep_ids)
+            found = list(own_encoder.encode(texts))
+            back = [decode(np.frombuffer(f[0][1], np.int32).tolist(), model) == (text or "") for text, f in zip(texts, found, strict=True)]
+            each = [x for f in found for x in f]
+            changes = [c for _, _, x in each for c in x]
+            scores, sizes, digests = pa.array([s for s, _, _ in each], pa.float64()), pa.array([len(c) // 4 for _, c, _ in each], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for _, c, _ in each], pa.string())
+            swaps = _structs({"at": pa.array([x // 4 for x, _, _ in changes], pa.int32()), "n": pa.array([(y - x) // 4 for x, y, _ in changes], pa.int32()), "ids": _lists([c for *_, c in changes])})
+            best = pa.array(np.cumsum([0] + [len(f) for f in found])[:-1], pa.int64())
+            n_best = _nested(found, _structs({"score": scores, "n_pieces": sizes, "ids_sha256": digests, "changes": _nested([x for *_, x in each], swaps)}))
+            pieces = {"ids": _lists([f[0][1] for f in found]), "n_pieces": sizes.take(best), "score": scores.take(best), "ids_sha256": digests.take(best), "n_best": n_best, "back": pa.array(back, pa.bool_())}
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], _structs(pieces)], [f.name for f in result])
+
+    out = rows.mapInArrow(work, result)
+    if carry:
+        return out.toDF(*[f.name for f in fields], own)
+    return out.select(F.col("c0").alias("doc_id"), "pieces.*")

@@ -43,8 +43,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its best segmentation, the four best with ids, score, size and digest, and whether decoding gives the text back."""
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL), n=4, keep_ids=True)
+    """Per document the ids of its best segmentation, the four best by score, size, digest and changes to the best, and whether decoding gives the text back."""
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL), n=4)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds a passage."""
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

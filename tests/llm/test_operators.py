@@ -13,6 +13,7 @@ import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from tests.llm.gold_pages import gold_pages
@@ -142,30 +143,53 @@ def test_n_best_scores_equal_the_library():
         text = " ".join("".join(rng.choice("abcdeinrst") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 3)))
         got = next(pieces.Encoder(model, 4).encode([text]))
         expected = [sum(model.scores[i] for i in ids) for ids in library.nbest_encode(text, nbest_size=4)]
-        assert [s for s, _ in got] == pytest.approx(expected)
-        assert len({code for _, code in got}) == len(got)
-        assert all(pieces.decode(np.frombuffer(c, np.int32), model) == text for _, c in got)
+        assert [s for s, *_ in got] == pytest.approx(expected)
+        assert len({code for _, code, _ in got}) == len(got)
+        assert all(pieces.decode(np.frombuffer(c, np.int32), model) == text for _, c, _ in got)
+
+
+def test_n_best_scores_by_force():
+    """All segmentations of short strings with characters that are no pieces, and of Chinese."""
+    model, rng = pieces.Lattice(MODEL), random.Random(8)
+
+    def scores(text):
+        out = [0.0] if not text else []
+        for k in range(1, len(text) + 1):
+            own = model.ids.get(text[:k])
+            cost = model.score_list[own] if own is not None else model.unknown if k == 1 else None
+            out += [] if cost is None else [cost + x for x in scores(text[k:])]
+        return out
+
+    for _ in range(150):
+        text = "".join(rng.choice("eintrs 梦想中国的一éß😀\u1234\x00") for _ in range(rng.randint(1, 9)))
+        got = next(pieces.Encoder(model, 4).encode([text]))
+        assert [s for s, *_ in got] == pytest.approx(sorted(scores(pieces.MARK + text.replace(" ", pieces.MARK)), reverse=True)[:4])
+        assert len({code for _, code, _ in got}) == len(got)
 
 
 def test_encoding_brings_texts_back(spark, sf_docs):
     rows = sf_docs[:60] + odd_rows()
-    out = pieces.encoded(frame(spark, rows), MODEL, n=3, keep_ids=True).collect()
+    found = pieces.encoded(frame(spark, rows), MODEL, n=3)
+    out = found.withColumn("each", F.transform("n_best", lambda x: pieces.changed(F.col("ids"), x["changes"]))).collect()
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert len(out) == len(rows)
     assert [r["doc_id"] for r in out if not r["back"]] == [208]  # the text with a literal mark
     for r in out:
-        scores = [x["score"] for x in r["n_best"]]
-        assert scores == sorted(scores, reverse=True) and r["n_pieces"] == len(r["ids"])
-        assert library.decode(r["ids"]) == pieces.decode(r["ids"], pieces.lattice(MODEL))
+        best, scores = r["n_best"][0], [x["score"] for x in r["n_best"]]
+        assert scores == sorted(scores, reverse=True) and (r["score"], r["n_pieces"], r["ids_sha256"]) == (best["score"], len(r["ids"]), best["ids_sha256"])
+        assert r["each"][0] == r["ids"] and len(set(map(tuple, r["each"]))) == len(r["n_best"])
+        for x, ids in zip(r["n_best"], r["each"], strict=True):
+            assert x["n_pieces"] == len(ids) and hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() == x["ids_sha256"]
+            assert library.decode(ids) == pieces.decode(ids, pieces.lattice(MODEL))
     assert pieces.encoded(frame(spark, []), MODEL).count() == 0
 
 
-def test_encoding_gives_the_ids_of_each(spark, sf):
-    for out in (queries.QUERIES["op4_sentencepiece"](spark, sf), dict(corpus_pipeline.STAGES)["sentencepiece"](spark, frame(spark, odd_rows()), sf)):
-        for r in out.collect():
-            assert r["ids"] == r["n_best"][0]["ids"] and (not r["back"] or r["n_pieces"] == len(r["ids"]))
-            for x in r["n_best"]:
-                assert len(x["ids"]) == x["n_pieces"] and hashlib.sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() == x["ids_sha256"]
+def test_encoding_carries_all_columns(spark):
+    docs = frame(spark, odd_rows()).withColumnRenamed("key", "Pieces").withColumnRenamed("name", "a.b").withColumn("when", F.expr("timestamp_seconds(1e9)"))
+    out = pieces.encoded(docs, MODEL, carry=True)
+    assert out.columns == [*docs.columns, "pieces_"]
+    assert sorted(map(repr, out.drop("pieces_").collect())) == sorted(map(repr, docs.collect()))
+    assert sorted((r["text"] or "") for r in out.collect() if r["pieces_"]["back"]) == sorted(t or "" for i, t in odd_rows() if i != 208)
 
 
 # 5 suffix array
@@ -348,15 +372,13 @@ def overlaps_by_force(docs, items):
     out = {}
     for (d, t), (i, s) in itertools.product(docs, items):
         a, b = decontaminate.plain_words(t), decontaminate.plain_words(s)
-        if len(b) < decontaminate.MIN_WORDS:
-            continue
         width, cover = min(decontaminate.WINDOW, len(b)), set()
-        least = 0.8 * width if len(b) >= decontaminate.WINDOW else width
+        least = 0.8 * width
         for p in range(len(a) - width + 1):
             for q in range(len(b) - width + 1):
                 if sum(x == y for x, y in zip(a[p : p + width], b[q : q + width], strict=True)) >= least:
                     cover |= {(p - q, q + x) for x in range(width)}
-        if cover:
+        if b and cover:
             out[d, i] = max(out.get((d, i), 0), len({x for _, x in cover}))
     return out
 
@@ -366,9 +388,9 @@ def test_overlaps(spark, monkeypatch):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(300)]
     say = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(i, say(rng.choice([3, 6, 12, 13, 20, 40]))) for i in range(25)]
+    items = [(i, say(rng.choice([*range(1, 14), 13, 20, 20, 40]))) for i in range(50)]
     docs = []
-    for d in range(60):
+    for d in range(150):
         own = list(rng.choice(items)[1])
         for x in rng.sample(range(len(own)), min(len(own), rng.choice([0, 0, 1, 2, 4]))):
             own[x] = "other"
@@ -403,7 +425,7 @@ def test_overlaps_of_short_items(spark):
     items.append((20, "梦想成真之夜晚"))
     docs += [(500, "他说：梦想成真之夜晚。"), (501, "梦想成真之早晨"), (502, "i3x0 i3x1"), (503, "i3x2 i3x0 i3x1")]
     expected[500, 20] = 7
-    out = decontaminate.overlaps(frame(spark, docs, 1), spark.createDataFrame(items, "item_id long, text string"), short_items=True).collect()
+    out = decontaminate.overlaps(frame(spark, docs, 1), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): r["copied_words"] for r in out} == expected
 
 
