@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from sprucelake.session import delete_folder, shared_folder, written
 
-__all__ = ["WordHashes", "components", "discard", "fresh", "lower_words", "mix", "quoted", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
+__all__ = ["WordHashes", "components", "discard", "fresh", "join_groups", "lower_words", "mix", "quoted", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
 
+#: Keys that more than one of so many rows have are at most so many: they are broadcast in join_groups.
+HOT_SHARE = 10_000
 #: A worker's memo of words is emptied at this size.
 MEMO_WORDS = 300_000
 
@@ -98,6 +100,18 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of groups (one row for each value of keys that `size` of the `total` rows have), inner or left.
+
+    Keys that more than one of HOT_SHARE rows have are fewer than HOT_SHARE, however large the
+    table: their groups are broadcast and their rows stay where they are. Rows of other keys are
+    shuffled, and no task gets more than that share for one key. Keys are not null. rows and groups are read twice.
+    """
+    hot = F.col(size) * HOT_SHARE > total
+    many, few = F.broadcast(groups.where(hot)), groups.where(~hot)
+    return rows.join(many, keys).unionByName(rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti").join(few, keys, how))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the folders of written tables that nothing reads any more."""
     for df in tables:

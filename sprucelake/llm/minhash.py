@@ -7,11 +7,17 @@ a document stops as soon as all its slots hold a value of the current level. Ban
 the signature send documents to buckets.
 
 Documents with equal sets form a class; only one document of a class goes on. In each bucket
-all members are compared with its smallest member, on full sets. Links give components.
-Buckets that still hold several components are compared in blocks: pairs of blocks of members,
-of which only members of different components are compared, again on full sets, and a pair of
-blocks returns spanning links only. So a large group costs rows in proportion to its size, and
-no link between different components is lost to a cap.
+all members are compared with its smallest member (the hub), on full sets. Links give components.
+
+A bucket that still holds several components is left with its rest: the members outside the hub's
+component. If the rest is small, it is compared with all members: these are cut into blocks, each
+once, and the rest goes to every block, so the rows grow with the bucket and not with its square.
+A bucket with a large rest (pages with much common text, just below the threshold) goes through a
+prefix filter first: its members' shingles are ordered from rare to frequent in the bucket, and of two sets
+as alike as the threshold asks the first few of either have one in common. So the members are dealt
+anew by these first shingles, in smaller buckets, and the same two steps follow. All this is exact: no link
+between different components inside a bucket is lost. The hub's set is copied for every BLOCK
+members, and what many rows have in common is joined by join_groups, so no task grows with a bucket.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; fewer than
 k words are one shingle; rows that share an id are one document, linked by any of their texts,
@@ -32,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, components, discard, lower_words, mix, shingles, small, small_batches, written
+from sprucelake.llm.common import WordHashes, components, discard, join_groups, lower_words, mix, shingles, small, small_batches, written
 
-#: Members of a block in what remains after the first comparison of a bucket.
-BLOCK = 1000
+#: Members of a block: of a bucket's members that meet one copy of its hub's set, or its rest.
+BLOCK = 500
+#: A shingle is frequent if more than one of so many members of a bucket have it.
+FREQUENT = 20
 #: A pair of documents is missed by all bands with at most this probability at the threshold.
 MISS = 1e-5
 LEVEL = np.uint64(32)
@@ -114,35 +122,98 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _block_links(percent: int):
-    """Spanning links between members of different components in one pair of blocks.
+    """Spanning links between the members of different components in a block (side 0) and a rest (side 1).
 
-    A member of any but the largest component is held against all others at once: its
-    shingles' posting lists give the sizes of all its intersections.
+    A member of the rest is held against the whole block at once: its shingles' posting lists give
+    the sizes of all its intersections.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, ids = len(pdf), pdf["rep"].to_numpy()
-        sizes = pdf["s"].map(len).to_numpy()
-        names, element = np.unique(np.concatenate(pdf["s"].to_list()), return_inverse=True)
-        owner = np.repeat(np.arange(n), sizes)[np.argsort(element, kind="stable")]
-        starts = np.concatenate([[0], np.cumsum(np.bincount(element, minlength=len(names)))])
-        own = np.split(element, np.cumsum(sizes)[:-1])
-        comp, out = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1], []
-        main = np.bincount(comp).argmax()
-        for x in range(n):
-            if comp[x] == main or (comp == comp[x]).all():
-                continue
-            both = np.bincount(np.concatenate([owner[starts[e] : starts[e + 1]] for e in own[x]]), minlength=n)
-            for y in np.flatnonzero((100 * both >= percent * (sizes[x] + sizes - both)) & (comp != comp[x])):
-                if comp[y] != comp[x]:
-                    out.append((ids[x], ids[y]))
-                    gone, stays = (comp[x], comp[y]) if comp[y] == main else (comp[y], comp[x])
-                    comp[comp == gone] = stays
+        sides = pdf["side"].to_numpy()
+        block, rest = pdf[sides == 0], pdf[sides == 1]
+        n, ids, out = len(block), block["rep"].to_numpy(), []
+        if n and len(rest):
+            sizes = block["s"].map(len).to_numpy()
+            names, element = np.unique(np.concatenate(block["s"].to_list()), return_inverse=True)
+            owner = np.repeat(np.arange(n), sizes)[np.argsort(element, kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(element, minlength=len(names)))])
+            comp = np.unique(np.concatenate([block["component"], rest["component"]]), return_inverse=True)[1]
+            for k, (x, s) in enumerate(zip(rest["rep"].tolist(), rest["s"], strict=True)):
+                if (comp[:n] == comp[n + k]).all():
+                    continue
+                at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                at = at[names[at] == s]
+                both = np.bincount(np.concatenate([owner[starts[e] : starts[e + 1]] for e in at]), minlength=n) if len(at) else np.zeros(n, np.int64)
+                for y in np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (comp[:n] != comp[n + k])):
+                    if comp[y] != comp[n + k]:
+                        out.append((ids[y], x))
+                        comp[comp == comp[n + k]] = comp[y]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return work
 
 
+class Linker:
+    """Links between members (bucket, rep, n) that share a bucket, by their full sets (doc_id, s)."""
+
+    def __init__(self, sets: DataFrame, percent: int) -> None:
+        self.percent = percent
+        self.one, self.two = sets.select(F.col("doc_id").alias("rep"), "s"), sets.select(F.col("doc_id").alias("hub"), F.col("s").alias("t"))
+
+    def stars(self, inside: DataFrame) -> DataFrame:
+        """Links (a, b) of the members inside buckets (bucket, rep, n, hub, hub_n, size) with the hubs."""
+        chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+        pairs = inside.where(f"rep <> hub and least(n, hub_n) * 100 >= {self.percent} * greatest(n, hub_n)").groupBy("hub", "rep").agg(F.max(chunks).alias("chunks"))
+        pairs = written(pairs, "pairs")
+        hubs = pairs.select("hub", "chunks").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(self.two, "hub")
+        met = pairs.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(self.one, "rep").join(hubs, ["hub", "chunks", "chunk"])
+        both = F.size(F.array_intersect("s", "t"))
+        return written(met.where(100 * both >= self.percent * (F.size("s") + F.size("t") - both)).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "links")
+
+    def still_open(self, inside: DataFrame, found: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components of found, with component, main (the hub's) and rest (members of others)."""
+        marked = inside.where("size > 2").select("bucket", "rep", "n", "size").join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        marked = written(marked, "marked")
+        tops = marked.groupBy("bucket").agg(F.min(F.struct("rep", "component"))["component"].alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+        tops = written(tops.where("low <> high").select("bucket", "main", "members"), "tops")
+        total = marked.count()
+        own = written(join_groups(marked, tops, ["bucket"], "members", total), "open")
+        rests = written(own.where("component <> main").groupBy("bucket").agg(F.count("*").alias("rest"), F.max("members").alias("all")), "rests")
+        return join_groups(own, rests, ["bucket"], "all", total).drop("all")
+
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between the rest of each bucket and all its members."""
+        many, few = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
+        deal = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
+        to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        block = members.select("bucket", "rep", "component", F.lit(0).alias("side"), deal(0, many).alias("i"), to(few).alias("j"))
+        rest = members.where("component <> main").select("bucket", "rep", "component", F.lit(1).alias("side"), deal(1, few).alias("j"), to(many).alias("i"))
+        return written(block.unionByName(rest).join(self.one, "rep").groupBy("bucket", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "links")
+
+    def by_prefix(self, members: DataFrame) -> DataFrame:
+        """The members (bucket, rep, n) of large buckets dealt anew by their first shingles, in the order of frequency in the bucket."""
+        chunks = F.ceil(F.col("members") / BLOCK).cast("int")
+        own = written(members.select("bucket", "rep", "n", "members", chunks.alias("chunks"), F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk")).join(self.one, "rep"), "prefix")
+        often = own.select("bucket", "chunks", "members", F.explode("s").alias("e")).groupBy("bucket", "chunks", "members", "e").agg(F.count("*").alias("c")).where(F.col("c") * FREQUENT > F.col("members"))
+        often = often.groupBy("bucket", "chunks").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("often"))
+        often = often.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        both = own.join(often, ["bucket", "chunks", "chunk"], "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
+        order = F.concat(F.array_except("s", "often"), F.array_intersect("often", "s"))
+        # |x & y| >= t |x| for either of two linked sets, and >= 2t / (1 + t) |y| for the smaller one.
+        probe, index = (F.col("n") - F.ceil(F.col("n") * a / b) + 1 for a, b in ((self.percent, 100), (2 * self.percent, 100 + self.percent)))
+        each = both.select("bucket", "rep", "n", index.alias("index"), F.posexplode(F.slice(order, 1, probe.cast("int"))).alias("at", "e"))
+        dealt = written(each.select(F.xxhash64("bucket", "e").alias("bucket"), "rep", "n", (F.col("at") < F.col("index")).alias("index")), "dealt")
+        useful = dealt.groupBy("bucket").agg(F.max("index").alias("index"), F.count("*").alias("members")).where("index and members > 1")
+        return join_groups(dealt.drop("index"), useful.select("bucket", "members"), ["bucket"], "members", dealt.count()).drop("members")
+
+
+def with_hubs(members: DataFrame, total: int) -> DataFrame:
+    """The members (bucket, rep, n), `total` of them, of buckets that several share, with the bucket's size and its smallest member."""
+    heads = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    heads = written(heads.select("bucket", "size", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "heads")
+    return written(join_groups(members, heads, ["bucket"], "size", total), "inside")
+
+
 def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs, linked at Jaccard >= threshold on k-word shingles."""
     spark, percent = docs.sparkSession, round(100 * threshold)
@@ -152,34 +223,27 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     signed = written(signatures(docs, k, bands, rows), "signed")
 
     # One document of each class of equal sets goes on.
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    inside = written(members.join(heads, "bucket"), "inside")
-    pairs = inside.join(classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").where(f"rep <> hub and least(n, hub_n) * 100 >= {percent} * greatest(n, hub_n)").select("hub", "rep").distinct()
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+    classes = written(classes, "classes")
+    inside = with_hubs(classes.select("rep", "n", F.explode("bands").alias("bucket")), bands * classes.count())
     wanted = written(inside.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     sets = written(shingle_sets(docs.join(small(wanted), "doc_id", "left_semi").distinct(), k), "sets")
 
-    def same(joined: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("s", "t"))
-        return joined.where(100 * both >= percent * (F.size("s") + F.size("t") - both))
-
-    one, two = sets.select(F.col("doc_id").alias("rep"), "s"), sets.select(F.col("doc_id").alias("hub"), F.col("s").alias("t"))
-    links = written(same(pairs.join(one, "rep").join(two, "hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "links")
+    linker = Linker(sets, percent)
+    links = linker.stars(inside)
     first = components(links, "first")
-
-    # Buckets that hold several components yet: blocks of their members, by hash.
-    marked = inside.join(first.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    left = marked.where("size > 2").join(open_, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # Every member goes to each pair of blocks that holds its own.
-    placed = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = placed.join(one, "rep").groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
-    all_links = links.union(more).distinct()
-    final = components(all_links, "final")
-    discard(inside, wanted, sets, links, first)
-
-    tops = classes.select("key", "rep").join(final.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(tops, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    left = written(linker.still_open(inside, first), "left")
+    links = links.union(linker.blocks(left.where(F.col("rest") <= BLOCK)))
+    large = left.where(F.col("rest") > BLOCK)
+    if large.limit(1).count():
+        dealt = written(linker.by_prefix(large), "dealt")
+        again = with_hubs(dealt, dealt.count())
+        links = links.union(linker.stars(again))
+        links = links.union(linker.blocks(written(linker.still_open(again, components(links, "second")), "left")))
+    final = components(links.distinct(), "final")
+    discard(inside, wanted, sets, first)
+
+    tops = classes.select("key", "rep", "rows").join(final.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rows", F.coalesce("component", "rep").alias("component"))
+    out = join_groups(signed.select("doc_id", "n", "key"), written(tops, "tops"), ["key"], "rows", signed.count(), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

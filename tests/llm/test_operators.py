@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from tests.llm.gold_pages import gold_pages
-from sprucelake.llm import decontaminate, exact_dedup, html_text, minhash, pieces, queries, repeats, sharding, token_counts, toxicity, warc
+from sprucelake.llm import common, decontaminate, exact_dedup, html_text, minhash, pieces, queries, repeats, sharding, token_counts, toxicity, warc
 from sprucelake.llm.common import WordHashes, components, lower_words, shingles
 
 MODEL = P.path("piece_bpe_32k.model")
@@ -347,6 +347,38 @@ def test_near_groups(spark, k, threshold, monkeypatch):
     assert minhash.near_groups(frame(spark, []), k, threshold).count() == 0
 
 
+def test_near_groups_in_a_large_bucket_of_unlike_members(spark, monkeypatch):
+    """Pages that have three quarters in common share buckets without being linked: rows grow with them, not with their square."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    counted, plain = defaultdict(int), minhash.written
+
+    def count(df, purpose):
+        out = plain(df, purpose)
+        counted[purpose] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", count)
+    rows_of = {}
+    for n in (200, 400):
+        rng, counted = random.Random(5), defaultdict(int)
+        common = [f"c{j}" for j in range(204)]
+        rows = [(i, " ".join([*common, *(f"u{i}x{j}" for j in range(33))])) for i in range(n)]
+        rows += [(1000 + i, f"{t} and{i}") for i, t in rng.sample(rows, 10)]  # linked, but not by the hub
+        out = minhash.near_groups(frame(spark, rows, 4)).collect()
+        assert sorted((r[0], r[1], r[2], r[3]) for r in out) == groups_by_force(rows, 5, 80)
+        assert counted["prefix"] > 0
+        rows_of[n] = sum(counted.values())
+    assert rows_of[400] < 2.6 * rows_of[200]
+
+
+def test_joined_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    rows = spark.range(100).selectExpr("id", "case when id < 60 then 7 else id end as k")
+    groups = spark.createDataFrame([(7, 60, "many"), (70, 1, "one"), (200, 0, "none")], "k long, n long, word string")
+    assert {(r["id"], r["word"]) for r in common.join_groups(rows, groups, ["k"], "n", 100, "left").collect()} == {(i, "many" if i < 60 else "one" if i == 70 else None) for i in range(100)}
+    assert common.join_groups(rows, groups, ["k"], "n", 100).count() == 61
+
+
 def test_bands_leave_little_out():
     for threshold in (0.7, 0.8, 0.85, 0.95):
         bands, rows = minhash.bands_for(threshold)
