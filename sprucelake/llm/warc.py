@@ -4,13 +4,16 @@ Method. A Zstandard dictionary is trained on a bounded sample of records. Every
 with a skippable frame that holds the dictionary; each record that follows is a frame of its own,
 so a reader takes the dictionary from the head and any record by its offset. A payload of
 REVISIT_BYTES or more that several pages have is stored once, with the page of largest id; the
-other pages get revisit records that refer to it. Who refers to whom is decided on digests and
-lengths, with counts combined before the shuffle; payloads move once, to the task that writes them.
+other pages get revisit records that refer to it. Who refers to whom is decided on SHA-256 digests,
+with counts combined before the shuffle (a record's own digest is SHA-1, as its header says, and
+equal ones alone make no revisit); payloads move once, to the task that writes them.
 
 Archives are written below a folder in the shared place by tasks: an archive has at most
 ARCHIVE_BYTES (unless one record is larger) and gets its name only when it is whole, so a task
-that is run again writes the same files anew. Reading goes over the archives with Spark's binary
-file source, record by record, and checks each payload against its digest.
+that is run again writes the same files anew, in place of those that stand there. Tasks are as many
+as the payloads' bytes ask for. Reading goes over the archives with Spark's binary file source, record
+by record; it checks each payload against its digest, and each revisit's length and digest against
+those of the response that it refers to.
 
 Defined results: null html is an empty payload; a null url is written as `about:blank`; repeated
 rows get a record each, of which one with a large payload is the response and the others revisit
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,10 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import shared_folder, small, small_batches, written
+from sprucelake.llm.common import discard, join_groups, shared_folder, small, small_batches, written
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16_000_000
+#: Payload bytes that a task writes, on average.
+TASK_BYTES = 128_000_000
 #: The dictionary's training: so many records, so many bytes of each, and its own size at most.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16_384, 112_640
 LEVEL = 3
@@ -127,11 +133,22 @@ class _Writer:
             part = f"{self.root}/.{uuid.uuid4().hex}"
             with self.files.open_output_stream(part) as out:
                 out.write(self.open.getbuffer())
-            self.files.move(part, f"{self.root}/{self.name()}")
+            self._put(part, f"{self.root}/{self.name()}")
             self.number += 1
             self.open = io.BytesIO()
 
 
+    def _put(self, part: str, name: str) -> None:
+        """Give a whole file its name. An attempt before this one may have left the same file there; some stores refuse to move over it."""
+        try:
+            self.files.move(part, name)
+        except OSError:
+            if self.files.get_file_info(name).type != pyarrow.fs.FileType.File:
+                raise
+            self.files.delete_file(name)
+            self.files.move(part, name)
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages as archives into folder; returns the index (page_id, archive, offset, length), written already."""
     spark = pages.sparkSession
@@ -139,14 +156,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     html = F.coalesce(F.col(html_col), F.lit(""))
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     dictionary = spark.sparkContext.broadcast(train(pages))
-    named = pages.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("bytes")).where(f"bytes >= {REVISIT_BYTES}")
+    named = pages.select("page_id", F.unhex(F.sha2("html", 256)).alias("digest"), F.octet_length("html").alias("bytes"))
     # One row for each page and payload, then the largest page of each payload that several have.
     once = written(named.groupBy("page_id", "digest", "bytes").agg(F.count("*").alias("n")), "payloads")
-    first = once.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.sum("n").alias("all")).where("all > 1")
-    plan = written(once.join(first.drop("all"), ["digest", "bytes"]).select(F.col("page_id").alias("id"), F.col("digest").alias("own"), F.struct("first").alias("plan")), "revisits")
+    first = written(once.where(f"bytes >= {REVISIT_BYTES}").groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("n").alias("all")).where("all > 1"), "first")
+    plan = written(join_groups(once, first, ["digest"], "all", once.count()).select(F.col("page_id").alias("id"), F.col("digest").alias("own"), F.struct("first").alias("plan")), "revisits")
     # Of a page's rows with one payload the first is numbered 0; the same task gets them all.
-    placed = pages.withColumn("digest", F.unhex(F.sha1("html"))).join(small(plan), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left")
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = pages.withColumn("digest", F.unhex(F.sha2("html", 256))).join(small(plan), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left")
+    size = once.agg(F.sum(F.col("bytes").cast("long") * F.col("n"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    discard(once, first)
     dealt = placed.select("page_id", "url", "digest", "plan", "html").repartition(tasks, F.coalesce("page_id", F.lit(-1)), "digest").sortWithinPartitions("page_id", "digest")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 refers = None
                 if r["plan"] is not None and (r["plan"]["first"] != r["page_id"] or copy):
                     refers = (r["plan"]["first"], 0)
-                rows.append((r["page_id"], *writer.add(record(r["page_id"], copy, r["url"], payload, r["digest"].hex(), refers))))
+                rows.append((r["page_id"], *writer.add(record(r["page_id"], copy, r["url"], payload, hashlib.sha1(payload).hexdigest(), refers))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["page_id", "archive", "offset", "length"])
         writer.close()
 
@@ -171,7 +190,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record of the archives in folder, its digest computed from the payload or, for a revisit, as stated."""
+    """A row for each record of the archives in folder; a revisit's length and digest are those of the response that it refers to."""
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -182,11 +201,19 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != stated:
                         raise ValueError(f"damaged payload in {head['WARC-Record-ID']}")
                     number = lambda key, head=head: int(head[key]) if head.get(key) else None
-                    rows.append((number("X-Page-ID"), head["WARC-Target-URI"], len(payload) if kind == "response" else int(head["X-Payload-Length"]), stated, kind, number("X-Refers-To-Page")))
-                yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((number("X-Page-ID"), head["WARC-Target-URI"], len(payload) if kind == "response" else int(head["X-Payload-Length"]), stated, kind, number("X-Refers-To-Page"), head["WARC-Record-ID"], head.get("WARC-Refers-To")))
+                yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record", "response"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(work, RESULT)
+    records = written(files.mapInPandas(work, RESULT + ", record string, response string"), "records")
+    revisits = records.where("response is not null")
+    # Responses that are referred to, with what revisits say of their payload: one row for each, whatever the number of revisits.
+    said = revisits.groupBy("response").agg(F.min("payload_bytes").alias("least"), F.max("payload_bytes").alias("most"), F.min("payload_digest").alias("first"), F.max("payload_digest").alias("last"))
+    answer = records.where("record_type = 'response'").select(F.col("record").alias("response"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))
+    wrong = said.join(answer, "response", "left").where("digest is null or least <> bytes or most <> bytes or first <> digest or last <> digest").limit(1).collect()
+    if wrong:
+        raise ValueError(f"revisits that don't fit {wrong[0]['response']}")
+    return records.drop("record", "response")
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -128,6 +128,44 @@ def test_warc_dictionary_and_single_records(spark, sf, tmp_path):
         assert payload.decode() == html[int(head["X-Page-ID"])]
 
 
+def test_warc_attempts_again_and_damage(spark, tmp_path, monkeypatch):
+    big = "<p>" + "same " * 300
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", "x" * 5000)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(pages, folder)
+    before = {p.name: p.read_bytes() for p in tmp_path.glob("w/*.zst")}
+    warc.write_archives(pages, folder)  # as a task does that is run again
+    assert {p.name: p.read_bytes() for p in tmp_path.glob("w/*.zst")} == before
+    assert warc.read_archives(spark, folder).count() == 3
+
+    class Strict(warc._Writer):  # a store that doesn't move over a file
+        def __init__(self, *args):
+            super().__init__(*args)
+            files = self.files
+
+            class Files:
+                def __getattr__(self, name):
+                    return getattr(files, name)
+
+                def move(self, part, name):
+                    if files.get_file_info(name).type == warc.pyarrow.fs.FileType.File:
+                        raise FileExistsError(name)
+                    files.move(part, name)
+
+            self.files = Files()
+
+    for _ in range(2):
+        writer = Strict(f"{tmp_path}/s", 0, b"")
+        writer.add(warc.record(1, 0, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None))
+        writer.close()
+    assert [h["X-Page-ID"] for h, _ in warc.read_records((tmp_path / "s/part-000000-00000.warc.zst").read_bytes())] == ["1"]
+    assert not list(tmp_path.glob("s/.[0-9a-f]*"))
+    writer.add(warc.record(9, 0, "u", b"other", hashlib.sha1(b"other").hexdigest(), (1, 0)))
+    writer.close()
+    with pytest.raises(ValueError, match="don't fit"):
+        warc.read_archives(spark, f"{tmp_path}/s")
+
+
 # 4 SentencePiece
 
 
