@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import discard, mix, small, small_batches, written
+from sprucelake.llm.common import discard, join_groups, mix, small, small_batches, written
 from sprucelake.llm.exact_dedup import golomb_decode, golomb_encode
 
 LENGTH = 50
@@ -432,8 +432,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal texts: only the one of smallest id goes on; the others go whole.
     print_ = F.unhex(F.sha2("text", 256))
     prints = written(long.select("doc_id", "name", print_.alias("print"), F.octet_length("text").alias("n")), "prints")
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("print", "first")
-    copies = written(prints.join(first, "print").where("doc_id > first").select(F.col("doc_id").alias("id"), "name", F.lit(0).cast("long").alias("a"), (F.col("n") - LENGTH).cast("long").alias("b")).distinct(), "copies")
+    first = written(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1"), "first")
+    copies = written(join_groups(prints, first, ["print"], "rows", prints.count()).where("doc_id > first").select(F.col("doc_id").alias("id"), "name", F.lit(0).cast("long").alias("a"), (F.col("n") - LENGTH).cast("long").alias("b")).distinct(), "copies")
     once = long.join(small(copies.select(F.col("id").alias("doc_id"), "name")), ["doc_id", "name"], "left_anti")
     size = prints.agg(F.sum("n")).first()[0] or 0
 
@@ -443,7 +443,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = written(answers.groupBy("parcel").applyInPandas(_by_document, "doc_id long, name long, n long, shared binary, hot binary"), "told")
     by_doc = told.groupBy("doc_id", "name").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
     shared = told.agg(F.sum("n")).first()[0] or 0
-    discard(prints)
+    discard(prints, first)
 
     groups = max(1, int(shared * (LENGTH + 20) / GROUP_BYTES) + 1)
     # Both joins have all rows on their left side, so that Spark shuffles the texts once for both.
