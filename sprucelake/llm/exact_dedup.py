@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import discard, small, written
+from sprucelake.llm.common import discard, join_groups, small, written
 
 FINGERPRINT_BITS = 48
 #: Documents in a block, and the fingerprints that an owner gets, on average; every block writes to
@@ -53,8 +53,10 @@ def golomb_decode(code: bytes, n: int, low: int) -> np.ndarray:
     ends = np.flatnonzero(bits)[:n]
     high = np.diff(ends, prepend=-1) - 1
     first = int(ends[-1]) + 1 if n else 0
-    plain = bits[first : first + n * low].reshape(n, low).astype(np.int64)
-    gaps = (high.astype(np.int64) << low) + (plain << np.arange(low)).sum(axis=1)
+    plain = bits[first : first + n * low].reshape(n, low)
+    gaps = high.astype(np.int64) << low
+    for i in range(low):
+        gaps += plain[:, i].astype(np.int64) << i
     return np.cumsum(gaps + 1) - 1
 
 
@@ -120,8 +122,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = written(seen.where("suspect").select(F.col("doc_id").alias("id")).distinct(), "suspect-ids")
     texts = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     groups = texts.groupBy(F.xxhash64("text").alias("print"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.where("group_size > 1").select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
-    out = seen.join(groups, "sha", "left")
+    groups = written(groups.where("group_size > 1").select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"), "groups")
+    out = join_groups(seen, groups, ["sha"], "group_size", seen.count(), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 0)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
