@@ -84,17 +84,19 @@ def shards_by_key(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     lot = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) + F.col("text_crc32"), F.lit(lots))
     once = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     put = once.withColumn("jump", jump_shards(F.col("doc_id"), shards)).select("doc_id", "size", "text_crc32", "copies", F.col("jump.at").cast("int").alias("shard"), F.col("jump.grown").cast("int").alias("grown_shard"), lot.alias("lot"))
+    put = written(put, "put")  # read twice; the jumps are worked out once
     starts = put.groupBy("shard", "lot").agg(F.sum("copies").alias("n"))
     starts = starts.select("shard", "lot", (F.sum("n").over(W.partitionBy("shard").orderBy("lot")) - F.col("n")).alias("start"))
     inside = W.partitionBy("shard", "lot").orderBy("doc_id", "size", "text_crc32")
     placed = put.withColumn("before", F.sum("copies").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("copies")).join(starts, ["shard", "lot"])
-    placed = written(placed.select("doc_id", "size", "text_crc32", "copies", "shard", "grown_shard", (F.col("start") + F.col("before")).alias("first")), "placed")
-    few, many = placed.where(F.col("copies") <= COPIES), placed.where(F.col("copies") > COPIES)
-    each = few.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    if many.limit(1).count():
-        blocks = many.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("doc_id", "size", "text_crc32", "block")
-        last = F.least(F.col("copies"), (F.col("block") + 1) * COPIES) - 1
-        each = each.unionByName(blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, last))).drop("block"))
+    placed = placed.select("doc_id", "size", "text_crc32", "copies", "shard", "grown_shard", (F.col("start") + F.col("before")).alias("first"))
+    first = F.lit(0).cast("long")
+    if put.where(F.col("copies") > COPIES).limit(1).count():
+        # Rows with very many copies are cut into blocks of copies before these are made.
+        blocks = placed.withColumn("block", F.explode(F.sequence(first, F.floor((F.col("copies") - 1) / COPIES)))).repartition("doc_id", "size", "text_crc32", "block")
+        each = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("copies"), (F.col("block") + 1) * COPIES) - 1)))
+    else:
+        each = placed.withColumn("copy", F.explode(F.sequence(first, F.col("copies") - 1)))
     return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("copy")).alias("slot"), "grown_shard")
 
 
