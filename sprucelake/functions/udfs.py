@@ -15,6 +15,18 @@ def vowels(s: pd.Series) -> pd.Series:
     return s.str.count("[aeiouAEIOU]").astype("Int64")
 
 
+@F.udf(T.StringType())
+def initials(s: str | None) -> str | None:
+    """The first letters of a string's words, a row at a time."""
+    return None if s is None else "".join(w[0] for w in s.split())
+
+
+@F.udf(T.StringType(), useArrow=True)
+def initials_by_arrow(s: str | None) -> str | None:
+    """The same function, its rows sent in Arrow batches."""
+    return None if s is None else "".join(w[0] for w in s.split())
+
+
 @F.pandas_udf(T.DoubleType())
 def weighted_mean(value: pd.Series, weight: pd.Series) -> float:
     """An aggregate of two columns."""

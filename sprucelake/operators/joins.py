@@ -13,19 +13,21 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     One pass instead of a join: both sides are put together, sorted once by key and time (right
     rows before left rows of the same time), and the last right row is carried forward. Of right
     rows that tie in time the one with the largest values counts. `tolerance`: an interval string;
-    older matches become null. Columns of the left side keep their names.
+    older matches become null. As in a left join, left rows with a null in key or time stay and have
+    null values, and right rows with one match nothing. Columns of the left side keep their names,
+    whatever these are; none of `values` may be among them.
     """
-    nothing = F.lit(None)
-    carried = F.struct(F.col(right_on).alias("at"), *values)
-    kind = right.select(carried.alias("r")).schema["r"].dataType
-    tags = [F.col(b) for b in by]
-    lefts = left.select(*tags, F.col(left_on).alias("_time"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), nothing.cast(kind).alias("_right"))
-    rights = right.select(*tags, F.col(right_on).alias("_time"), F.lit(0).alias("_side"), nothing.cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_left"), carried.alias("_right"))
-    w = W.partitionBy(*by).orderBy("_time", "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
-    both = lefts.unionByName(rights).where(F.col("_time").isNotNull()).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    if taken := {v.lower() for v in values} & {c.lower() for c in left.columns}:
+        raise ValueError(f"both sides have {sorted(taken)}: rename the right side's")
+    keys = [f"k{i}" for i in range(len(by))]
+    own = F.struct(F.col(right_on).alias("at"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    lefts = left.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(left_on).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("l"))
+    rights = right.dropna(subset=[*by, right_on]).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(right_on).alias("t"), F.lit(0).alias("side"), own.alias("r"))
+    w = W.partitionBy(*keys).orderBy(F.asc_nulls_first("t"), "side", "r").rowsBetween(W.unboundedPreceding, 0)
+    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("last", F.last("r", ignorenulls=True).over(w)).where("side = 1")
     if tolerance:
-        both = both.withColumn("_last", F.when(F.col("_last.at") >= F.col("_time") - F.expr(f"interval {tolerance}"), F.col("_last")))
-    return both.select("_left.*", *[F.col(f"_last.{v}").alias(v) for v in values])
+        both = both.withColumn("last", F.when(F.col("last.at") >= F.col("t") - F.expr(f"interval {tolerance}"), F.col("last")))
+    return both.select("l.*", *[F.col(f"last.v{i}").alias(v) for i, v in enumerate(values)])
 
 
 def band_join(points: DataFrame, bands: DataFrame, point: str, low: str, high: str, width: float, by: list[str] | None = None) -> DataFrame:

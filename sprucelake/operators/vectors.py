@@ -21,10 +21,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
     """
     if queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"at most {most_queries} queries at a time: split them in blocks")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q")))
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    scored = vectors.select(id_col, vec_col).join(q, F.col(id_col) != F.col("query_id"))
-    scored = scored.select("query_id", id_col, (dot(F.col(vec_col), F.col("_q")) / (norm(vec_col) * norm("_q"))).alias("cosine"))
+    norm = F.sqrt(dot(F.col(vec_col), F.col(vec_col)))  # once for each vector, below the join
+    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"), norm.alias("_q_norm")))
+    scored = vectors.select(id_col, vec_col, norm.alias("_norm")).join(q, F.col(id_col) != F.col("query_id"))
+    scored = scored.select("query_id", id_col, (dot(F.col(vec_col), F.col("_q")) / (F.col("_norm") * F.col("_q_norm"))).alias("cosine"))
     return top_per_group(scored, ["query_id"], [F.col("cosine").desc(), F.col(id_col)], k)
 
 

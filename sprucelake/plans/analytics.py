@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from sprucelake.functions import udfs
 from sprucelake.operators.groups import gap_filled, sessions, top_per_group
-from sprucelake.operators.vectors import nearest, nearest_in_blocks
+from sprucelake.operators.vectors import nearest_in_blocks
 from sprucelake.plans.registry import query
 from sprucelake.session import table
 
@@ -103,21 +103,11 @@ def gaps_filled(spark, d):
     return gap_filled(hours, ["event_type"], "hour", "1 hour", ["n"])
 
 
-@query("""
-SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS cosine,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id)::INT AS rank
-FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 10 QUALIFY rank <= 5""")
-def nearest_vectors(spark, d):
-    """The stated queries are the vectors with ids below 10."""
-    v = table(spark, d, "embeddings")
-    return nearest(v.where("vec_id < 10"), v, 5).withColumn("cosine", F.round("cosine", 5))
-
-
 @query("""
 SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS cosine,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id)::INT AS rank
 FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5""")
-def nearest_vectors_every_50th(spark, d):
+def nearest_vectors(spark, d):
     """The job's query set: the vectors with ids divisible by 50."""
     v = table(spark, d, "embeddings")
     return nearest_in_blocks(v.where("vec_id % 50 = 0"), v, 5).withColumn("cosine", F.round("cosine", 5))
@@ -128,6 +118,19 @@ def udf_arrow(spark, d):
     return table(spark, d, "customer").select("c_custkey", udfs.vowels("c_mktsegment").alias("n"))
 
 
+INITIALS_SQL = "SELECT p_partkey, list_reduce(list_transform(regexp_split_to_array(p_name, '\\s+'), lambda w: w[1]), lambda a, b: a || b) AS letters FROM part"
+
+
+@query(INITIALS_SQL)
+def udf_row(spark, d):
+    return table(spark, d, "part").select("p_partkey", udfs.initials("p_name").alias("letters"))
+
+
+@query(INITIALS_SQL)
+def udf_row_arrow(spark, d):
+    return table(spark, d, "part").select("p_partkey", udfs.initials_by_arrow("p_name").alias("letters"))
+
+
 @query("SELECT event_type, round(sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1), 5) AS mean FROM events GROUP BY 1")
 def udf_aggregate(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(udfs.weighted_mean("value", (F.col("event_id") % 7 + 1).cast("double")), 5).alias("mean"))

@@ -15,6 +15,10 @@ from sprucelake.sources.calendar import Calendar
 from sprucelake.sources.files import read, round_trip, write
 
 
+#: In microseconds.
+SIX_HOURS = 6 * 3600 * 1_000_000
+
+
 def discounted() -> Column:
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
@@ -45,15 +49,8 @@ def filter_like_in_case(spark, d):
     return table(spark, d, "part").where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#23") & F.col("p_type").like("%A%")).select("p_partkey", size.alias("size_class"))
 
 
-@query("""
-SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS status, nullif(o_orderstatus, 'F') IS NOT DISTINCT FROM NULL AS was_f FROM orders WHERE o_orderkey % 10 = 0""")
-def null_logic(spark, d):
-    status = F.nullif("o_orderstatus", F.lit("F"))
-    return table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.coalesce(status, F.lit("none")).alias("status"), status.eqNullSafe(F.lit(None)).alias("was_f"))
-
-
 @query("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS status, nullif(o_orderstatus, 'F') IS NOT DISTINCT FROM NULL AS was_f FROM orders")
-def null_logic_whole(spark, d):
+def null_logic(spark, d):
     status = F.nullif("o_orderstatus", F.lit("F"))
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(status, F.lit("none")).alias("status"), status.eqNullSafe(F.lit(None)).alias("was_f"))
 
@@ -132,14 +129,9 @@ def join_theta(spark, d):
     return o.join(i, (o.o_orderkey == i.l_orderkey) & (i.l_shipdate < o.o_orderdate)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT r_name, n_name FROM region, nation WHERE n_nationkey < 3")
+@query("SELECT r_name, n_name FROM region, nation")
 def join_cross_small(spark, d):
     """Two tables of fixed size."""
-    return table(spark, d, "region").select("r_name").crossJoin(F.broadcast(table(spark, d, "nation").where("n_nationkey < 3").select("n_name")))
-
-
-@query("SELECT r_name, n_name FROM region, nation")
-def join_cross_small_whole(spark, d):
     return table(spark, d, "region").select("r_name").crossJoin(F.broadcast(table(spark, d, "nation").select("n_name")))
 
 
@@ -175,7 +167,10 @@ def join_time_band(spark, d):
     e = table(spark, d, "events")
     a = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("at"), "user_id")
     b = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("ts").alias("click_at"), "user_id")
-    return a.join(b, "user_id").where("click_at BETWEEN at - interval 6 hours AND at").select("error_id", "click_id")
+    # A click and the errors up to six hours behind it lie in one or two buckets of a user's time.
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    errors = a.select("error_id", "user_id", (micros("at") - F.lit(SIX_HOURS)).alias("low"), micros("at").alias("high"))
+    return band_join(b.select("click_id", "user_id", micros("click_at").alias("t")), errors, "t", "low", "high", SIX_HOURS, ["user_id"]).select("error_id", "click_id")
 
 
 @query("""
@@ -185,6 +180,17 @@ def join_bands(spark, d):
     return band_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "lo", "hi", 25000.0).select("o_orderkey", "lo")
 
 
+@query("""
+WITH e AS (SELECT event_id, ts, nullif(user_id, 7) AS k, CASE WHEN event_id % 11 > 0 THEN ts END AS t, event_type, value FROM events)
+SELECT p.event_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM e WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view' AND k IS NOT NULL AND t IS NOT NULL) v ON p.k = v.k AND p.t >= v.t""")
+def join_asof_nulls(spark, d):
+    """Keys and times with nulls on both sides: every left row comes back."""
+    e = table(spark, d, "events").withColumn("k", F.nullif("user_id", F.lit(7))).withColumn("t", F.when(F.col("event_id") % 11 > 0, F.col("ts")))
+    views = e.where("event_type = 'view'").select("k", F.col("t").alias("seen"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return asof_join(e.where("event_type = 'purchase'").select("event_id", "k", "t"), views, ["k"], "t", "seen", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
+
+
 @query("""
 SELECT e.event_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') e
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts >= v.ts""")
@@ -194,18 +200,28 @@ def join_asof(spark, d):
     return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "seen", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
 
 
-@query("""
-SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0),
-LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)""")
+LATERAL_SQL = """
+SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey FROM customer),
+LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)"""
+
+
+@query(LATERAL_SQL)
 def join_lateral(spark, d):
-    best = top_per_group(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 2)
-    return table(spark, d, "customer").where("c_custkey % 10 = 0").join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
+    """A lateral join, which Spark plans as a window with a limit for each group."""
+    best = table(spark, d, "orders").where(F.col("o_custkey") == F.col("c_custkey").outer()).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(2)
+    return table(spark, d, "customer").select("c_custkey").lateralJoin(best.select("o_orderkey", "o_totalprice"))
 
 
-@query("""
-SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey FROM customer),
-LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)""")
-def join_lateral_whole(spark, d):
+@query(LATERAL_SQL)
+def join_lateral_sql(spark, d):
+    for name in ("customer", "orders"):
+        table(spark, d, name).createOrReplaceTempView(f"{name}_v")
+    return spark.sql(LATERAL_SQL.replace("FROM customer", "FROM customer_v").replace("FROM orders", "FROM orders_v"))
+
+
+@query(LATERAL_SQL)
+def join_best_per_group(spark, d):
+    """The same rows by top_per_group and a join."""
     best = top_per_group(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 2)
     return table(spark, d, "customer").join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
 
@@ -295,6 +311,30 @@ def sketches(spark, d):
     return rows.agg(F.approx_count_distinct("l_partkey").alias("parts"), F.approx_percentile("l_extendedprice", 0.5, 10000).alias("mid"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("orders"), F.theta_sketch_estimate(F.theta_sketch_agg("l_suppkey")).alias("suppliers"))
 
 
+@query("SELECT l_returnflag, true AS parts, true AS hll, true AS theta, true AS mid, true AS kll, true AS kll_rank FROM lineitem GROUP BY 1")
+def sketch_bounds(spark, d):
+    """Whether each sketch is within its bound of the exact figure: 3 % of counts, 1 % of ranks."""
+    rows, price = table(spark, d, "lineitem").groupBy("l_returnflag"), F.col("l_extendedprice")
+    found = rows.agg(
+        F.countDistinct("l_partkey").alias("n_parts"), F.countDistinct("l_orderkey").alias("n_orders"), F.countDistinct("l_suppkey").alias("n_suppliers"), F.percentile(price, F.array(F.lit(0.49), F.lit(0.51))).alias("around"), F.avg((price <= 50000).cast("double")).alias("below"),
+        F.approx_count_distinct("l_partkey", 0.01).alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", F.lit(14))).alias("hll"), F.theta_sketch_estimate(F.theta_sketch_agg("l_suppkey")).alias("theta"),
+        F.approx_percentile("l_extendedprice", 0.5, 10000).alias("mid"), F.kll_sketch_agg_double("l_extendedprice", F.lit(400)).alias("kll"))
+    near = lambda a, b: F.abs(F.col(a) / F.col(b) - 1) <= 0.03
+    between = lambda c: (c >= F.col("around")[0]) & (c <= F.col("around")[1])
+    quantile = F.kll_sketch_get_quantile_double("kll", F.lit(0.5))
+    return found.select("l_returnflag", near("parts", "n_parts").alias("parts"), near("hll", "n_orders").alias("hll"), near("theta", "n_suppliers").alias("theta"), between(F.col("mid")).alias("mid"), between(quantile).alias("kll"), (F.abs(F.kll_sketch_get_rank_double("kll", F.lit(50000.0)) - F.col("below")) <= 0.01).alias("kll_rank"))
+
+
+@query("SELECT true AS share, true AS subset")
+def sample_bounds(spark, d):
+    """Whether a tenth of the rows is sampled, within five standard deviations, and no row that isn't there."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    sampled = o.sample(0.1, seed=7)
+    n, k, own = (F.col(c) for c in ("n", "k", "own"))
+    counts = o.agg(F.count("*").alias("n")).crossJoin(sampled.agg(F.count("*").alias("k"))).crossJoin(sampled.distinct().join(o, "o_orderkey").agg(F.count("*").alias("own")))
+    return counts.select((F.abs(k - n * 0.1) <= 5 * F.sqrt(n * 0.09)).alias("share"), (own == k).alias("subset"))
+
+
 @query("SELECT least(floor(l_extendedprice / 10000), 10)::BIGINT AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
 def group_histogram(spark, d):
     return table(spark, d, "lineitem").groupBy((F.width_bucket("l_extendedprice", F.lit(0.0), F.lit(100000.0), F.lit(10)) - 1).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
@@ -305,20 +345,8 @@ def top_with_offset(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(15).select("o_orderkey", "o_totalprice")
 
 
-@query("""
-SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '1-URGENT') DESC NULLS LAST, o_orderkey)::INT AS place FROM orders
-QUALIFY place <= 20 OR place > (SELECT count(*) - 20 FROM orders)""")
-def order_nulls_last(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p"))
-    n = o.count()
-    first = o.orderBy(F.desc_nulls_last("p"), "o_orderkey").limit(20).withColumn("up", F.lit(True))
-    last = o.orderBy(F.asc_nulls_first("p"), F.desc("o_orderkey")).limit(20).withColumn("up", F.lit(False))
-    w = F.row_number().over(W.partitionBy("up").orderBy(F.desc_nulls_last("p"), "o_orderkey"))
-    return first.union(last).withColumn("i", w).select("o_orderkey", F.when(F.col("up"), F.col("i")).otherwise(F.col("i") + n - 20).cast("int").alias("place"))
-
-
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '1-URGENT') DESC NULLS LAST, o_orderkey)::BIGINT AS place FROM orders")
-def order_nulls_last_whole(spark, d):
+def order_nulls_last(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p"))
     return numbered(o.orderBy(F.desc_nulls_last("p"), "o_orderkey")).select("o_orderkey", (F.col("number") + 1).alias("place"))
 
@@ -328,8 +356,8 @@ SETS = {"union_distinct": "UNION", "union_all": "UNION ALL", "intersect_distinct
 
 def _set_query(name: str):
     def run(spark, d):
-        a = table(spark, d, "lineitem").where("l_quantity < 20").select("l_suppkey", "l_linenumber")
-        b = table(spark, d, "lineitem").where("l_quantity > 40").select("l_suppkey", "l_linenumber")
+        a = table(spark, d, "lineitem").where("l_quantity < 20").select("l_partkey", "l_linenumber")
+        b = table(spark, d, "lineitem").where("l_quantity > 40").select("l_partkey", "l_linenumber")
         return {"union_distinct": lambda: a.union(b).distinct(), "union_all": lambda: a.union(b), "intersect_distinct": lambda: a.intersect(b), "intersect_all": lambda: a.intersectAll(b), "except_distinct": lambda: a.subtract(b), "except_all": lambda: a.exceptAll(b)}[name]()
 
     run.__name__ = f"set_{name}"
@@ -337,7 +365,7 @@ def _set_query(name: str):
 
 
 for _name, _op in SETS.items():
-    query(f"SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_quantity < 20 {_op} SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_quantity > 40")(_set_query(_name))
+    query(f"SELECT l_partkey, l_linenumber FROM lineitem WHERE l_quantity < 20 {_op} SELECT l_partkey, l_linenumber FROM lineitem WHERE l_quantity > 40")(_set_query(_name))
 
 
 @query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")

@@ -21,16 +21,11 @@ def string_functions(spark, d):
 
 
 @query("""
-SELECT doc_id, regexp_replace(substring(text, 1, 40), '[aeiou]', '_', 'g') AS masked, regexp_extract(text, '([A-Z][a-z]+)', 1) AS first_cap, len(regexp_extract_all(text, '[0-9]+'))::INT AS numbers,
+SELECT doc_id, regexp_replace(text, '[aeiou]', '_', 'g') AS masked, regexp_extract(text, '([A-Z][a-z]+)', 1) AS first_cap, len(regexp_extract_all(text, '[0-9]+'))::INT AS numbers,
   len(string_split_regex(text, '\\n'))::INT AS lines, levenshtein(source, lang)::INT AS dist FROM documents""")
 def regex_functions(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring(t, 1, 40), "[aeiou]", "_").alias("masked"), F.regexp_extract(t, "([A-Z][a-z]+)", 1).alias("first_cap"), F.regexp_count(t, F.lit("[0-9]+")).alias("numbers"), F.size(F.split(t, "\n")).alias("lines"), F.levenshtein("source", "lang").alias("dist"))
-
-
-@query("SELECT doc_id, regexp_replace(text, '[aeiou]', '_', 'g') AS masked FROM documents")
-def regex_replace_whole(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[aeiou]", "_").alias("masked"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(t, "[aeiou]", "_").alias("masked"), F.regexp_extract(t, "([A-Z][a-z]+)", 1).alias("first_cap"), F.regexp_count(t, F.lit("[0-9]+")).alias("numbers"), F.size(F.split(t, "\n")).alias("lines"), F.levenshtein("source", "lang").alias("dist"))
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from sprucelake.plans.registry import query
@@ -58,11 +60,41 @@ def stream_static_join(spark, d):
     return E.run(E.event_stream(spark, d).join(customers, "user_id").select("event_id", "c_name"), "static")
 
 
-@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
-def stream_state(spark, d):
+@contextmanager
+def rocks_db(spark):
+    """The state store that arbitrary state needs, for the time of a run."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        counts = E.running_counts(E.event_stream(spark, d))
-        return E.run_batches(counts, "state", "update")
+        yield
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_state(spark, d):
+    with rocks_db(spark):
+        return E.run_batches(E.running_counts(E.event_stream(spark, d)), "state", "update", ["user_id"])
+
+
+@query(f"""
+WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM events),
+g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM f)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, session
+HAVING max(ts) + INTERVAL 2 HOUR <= {CLOSED} OR session < (SELECT max(session) FROM g AS last WHERE last.user_id = g.user_id)""")
+def stream_timers(spark, d):
+    """Sessions that the next event or a timer has closed."""
+    with rocks_db(spark):
+        return E.run(E.idle_sessions(E.event_stream(spark, d)), "timers").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
+def stream_time_to_live(spark, d):
+    with rocks_db(spark):
+        return E.run(E.first_seen(E.event_stream(spark, d)), "seen", single_batch=True)
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_memory(spark, d):
+    """A handful of rows in a table in memory."""
+    totals = E.event_stream(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return E.run_in_memory(totals, "stream_memory_totals")

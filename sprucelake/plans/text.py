@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sprucelake.operators.joins import join_small
 from sprucelake.plans.registry import query
 from sprucelake.session import table
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
 def repeated_texts(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
+    """Hashes first: only texts whose hash occurs again are shuffled and compared."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.xxhash64("text").alias("print"))
+    again = docs.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    return join_small(docs, again, ["print"], "left_semi").groupBy("print", "text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
 
 
 @query("""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -58,11 +57,6 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tables_exist(sf_dir: str, names: list[str]) -> bool:
-    """Whether all of these tables are in a local folder (for tests)."""
-    return all(os.path.exists(f"{sf_dir}/{n}.parquet") for n in names)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that Python functions find it there."""
     import shutil

@@ -6,7 +6,7 @@ test or a batch can read what the stream wrote.
 
 from __future__ import annotations
 
-import json
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sprucelake.operators.groups import latest
 from sprucelake.session import shared_folder
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -25,17 +26,34 @@ def event_stream(spark: SparkSession, sf_dir: str, delay: str = "30 minutes") ->
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote."""
+def run(stream: DataFrame, name: str, mode: str = "append", single_batch: bool = False) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote.
+
+    State that depends on the time of processing asks for batch after batch, so such a stream never
+    ends by availableNow: single_batch takes all that is there in one and stops.
+    """
     spark = stream.sparkSession
     out = shared_folder(spark, f"stream-{name}")
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(**({"once": True} if single_batch else {"availableNow": True})).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def run_batches(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream with foreachBatch; of a complete or update stream the last batch's rows are what is returned."""
+def run_in_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a stream into a table in the driver's memory: for small results only."""
+    out = shared_folder(stream.sparkSession, f"stream-{name}")
+    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def run_batches(stream: DataFrame, name: str, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Run a stream with foreachBatch.
+
+    What is returned: of a complete stream the rows of its last batch, of an update stream the last
+    row of each key over all batches, of an append stream all rows.
+    """
+    if (mode == "update") != bool(key):
+        raise ValueError("an update stream has a key, and no other has")
     spark = stream.sparkSession
     out = shared_folder(spark, f"stream-{name}")
 
@@ -44,9 +62,12 @@ def run_batches(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    written = spark.read.parquet(f"{out}/data")
-    last = written.agg(F.max("batch")).first()[0]
-    return written.where(F.col("batch") == last).drop("batch")
+    written = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{out}/data")
+    if mode == "update":
+        return latest(written, key, [F.desc("batch")]).drop("batch")
+    if mode == "complete":
+        written = written.where(F.col("batch") == written.agg(F.max("batch")).first()[0])
+    return written.drop("batch")
 
 
 def tumbling(events: DataFrame, size: str = "6 hours") -> DataFrame:
@@ -95,6 +116,66 @@ def running_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(RunningCount(), "user_id long, n long, total double", "Update", "None")
 
 
-def progress(query) -> dict:
-    """The last progress of a running query as a dict."""
-    return json.loads(query.lastProgress.json) if query.lastProgress else {}
+class IdleSessions(StatefulProcessor):
+    """A user's sessions: a row when the next event comes `gap` or more after the last, or when a timer says that none came."""
+
+    def __init__(self, gap: str) -> None:
+        self.gap = pd.Timedelta(gap)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "start timestamp, last timestamp, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start, last, n = self.state.get() if self.state.exists() else (None, None, 0)
+        closed = []
+        for t in sorted(t for pdf in rows for t in pdf["ts"].dt.to_pydatetime()):
+            if last is not None and t - last >= self.gap:
+                closed.append((start, n))
+                start, n = None, 0
+            start, last, n = start or t, t, n + 1
+        self.state.update((start, last, n))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((last + self.gap).replace(tzinfo=datetime.timezone.utc).timestamp() * 1000))
+        yield self._rows(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start, _, n = self.state.get()
+        self.state.clear()
+        yield self._rows(key, [(start, n)])
+
+    def _rows(self, key, closed: list) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]] * len(closed), "start": pd.Series([s for s, _ in closed], dtype="datetime64[us]"), "n": [n for _, n in closed]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle_sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
+    """Sessions by state and event-time timers (needs the RocksDB state store)."""
+    return events.groupBy("user_id").transformWithStateInPandas(IdleSessions(gap), "user_id long, start timestamp, n long", "Append", "EventTime")
+
+
+class FirstSeen(StatefulProcessor):
+    """A user's first event; a user who isn't seen for the time to live is new again."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "yes boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = min(pdf["event_id"].min() for pdf in rows)
+        new = not self.seen.exists()
+        self.seen.update((True,))
+        yield pd.DataFrame({"user_id": [key[0]] * new, "event_id": [first] * new})
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen(events: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
+    """Users when they are first seen, by state that is forgotten after a time (needs the RocksDB state store)."""
+    return events.groupBy("user_id").transformWithStateInPandas(FirstSeen(keep_ms), "user_id long, event_id long", "Append", "ProcessingTime")

@@ -20,14 +20,23 @@ def at(hours):
 
 
 def test_asof_ties_nulls_tolerance(spark):
-    left = spark.createDataFrame([(1, "a", at(5)), (2, "a", at(1)), (3, "b", at(9)), (4, None, at(5)), (5, "a", at(30))], "i int, k string, t timestamp_ntz")
+    left = spark.createDataFrame([(1, "a", at(5)), (2, "a", at(1)), (3, "b", at(9)), (4, None, at(5)), (5, "a", at(30)), (6, "a", None), (7, None, None)], "i int, k string, t timestamp_ntz")
     right = spark.createDataFrame([("a", at(5), 7), ("a", at(5), 9), ("a", at(2), 1), ("b", at(10), 3), ("a", None, 4), (None, at(1), 8)], "k string, u timestamp_ntz, v int")
     rows = {r.i: r.v for r in asof_join(left, right, ["k"], "t", "u", ["v"]).collect()}
-    assert rows == {1: 9, 2: None, 3: None, 4: 8, 5: 9}
+    assert rows == {1: 9, 2: None, 3: None, 4: None, 5: 9, 6: None, 7: None}
     near = {r.i: r.v for r in asof_join(left, right, ["k"], "t", "u", ["v"], tolerance="3 hours").collect()}
     assert near[1] == 9 and near[5] is None
 
 
+def test_asof_of_clashing_names(spark):
+    left = spark.createDataFrame([(1, "a", at(5), 3)], "l int, k0 string, t timestamp_ntz, side int")
+    right = spark.createDataFrame([("a", at(4), 7)], "k0 string, t timestamp_ntz, r int")
+    out = asof_join(left, right, ["k0"], "t", "t", ["r"])
+    assert out.columns == ["l", "k0", "t", "side", "r"] and [tuple(r) for r in out.collect()] == [(1, "a", at(5), 3, 7)]
+    with pytest.raises(ValueError):
+        asof_join(left, right.withColumn("side", F.lit(1)), ["k0"], "t", "t", ["side"])
+
+
 def test_asof_keeps_every_left_row(spark):
     rng = random.Random(1)
     left = [(i, rng.randint(0, 3), at(rng.randint(0, 50))) for i in range(200)]
@@ -80,7 +89,7 @@ def test_nearest_in_blocks_equals_one_block(spark):
 
 
 def test_nearest_query_set(spark, sf):
-    asked = {r.query_id for r in queries()["nearest_vectors_every_50th"](spark, sf).collect()}
+    asked = {r.query_id for r in queries()["nearest_vectors"](spark, sf).collect()}
     assert asked == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
 
 
@@ -96,3 +105,29 @@ def test_late_rows_are_dropped(spark, tmp_path):
     out()
     rows = {r.start: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert rows[at(0)] == 1 and rows[at(12)] == 2 and at(36) not in rows
+
+
+@pytest.fixture
+def event_files(spark, tmp_path):
+    """Two files of events, read one a batch, with users in both, in one, and two sessions over both."""
+    schema = E.SCHEMA
+    rows = [(1, at(0), 1), (2, at(1), 1), (3, at(0), 2), (4, at(2), 1), (5, at(9), 1), (6, at(10), 3), (7, at(30), 3)]
+    for n, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame([(i, t, u, "click", 1.0, "{}") for i, t, u in part], schema).coalesce(1).write.parquet(f"{tmp_path}/events-{n}.parquet")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events-*.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 minutes")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_update_stream_over_several_batches(event_files):
+    out = E.run_batches(E.running_counts(event_files), "two", "update", ["user_id"])
+    assert {r.user_id: r.n for r in out.collect()} == {1: 4, 2: 1, 3: 2}
+
+
+def test_timers_over_several_batches(event_files):
+    out = E.run(E.idle_sessions(event_files), "timers")
+    assert sorted((r.user_id, r.start, r.n) for r in out.collect()) == [(1, at(0), 3), (1, at(9), 1), (2, at(0), 1), (3, at(10), 1)]
+
+
+def test_time_to_live(event_files):
+    assert {r.user_id: r.event_id for r in E.run(E.first_seen(event_files), "seen", single_batch=True).collect()} == {1: 1, 2: 3, 3: 6}

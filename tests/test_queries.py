@@ -23,11 +23,11 @@ def test_without_sql(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name, source", [("null_logic_whole", "orders"), ("order_nulls_last_whole", "orders"), ("regex_replace_whole", "documents")])
+@pytest.mark.parametrize("name, source", [("null_logic", "orders"), ("order_nulls_last", "orders"), ("regex_functions", "documents")])
 def test_whole_tables(spark, sf, name, source):
     assert catalog.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{source}.parquet").count()
 
 
 def test_lateral_of_every_customer(spark, sf):
-    asked = {r[0] for r in catalog.QUERIES["join_lateral_whole"](spark, sf).select("c_custkey").collect()}
+    asked = {r[0] for r in catalog.QUERIES["join_lateral"](spark, sf).select("c_custkey").collect()}
     assert asked == {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey").collect()}
