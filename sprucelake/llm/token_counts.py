@@ -3,10 +3,12 @@
 Method. Texts are cut into pre-tokens (a run of word marks and what follows it), across which
 no piece of the model reaches; this is checked when the model is loaded. The pre-tokens of a
 batch that are new to the worker stand as ragged numpy arrays of symbols: one flat array,
-one row of it for each. In each round every row merges the leftmost of its lowest-rank pairs,
-all rows at once; rows without a pair that is a piece leave. What survives is counted, a
-symbol that is no piece as its UTF-8 bytes. Pre-tokens beyond LONG characters take the same
-merges from a heap instead, as a round over a row costs its length.
+one row of it for each. In each round every row merges its lowest-rank pair, all rows at once; rows
+without a pair that is a piece leave. A row merges all places of that pair at once (from the left,
+without overlap) if the piece that it makes is in no pair of lower or equal rank, so that nothing could
+come between these merges; else the leftmost place only. What survives is counted, a symbol that is no
+piece as its UTF-8 bytes. A pre-token of more than LONG characters, as in scripts without spaces,
+is first cut between characters that no piece has side by side, as no merge crosses these.
 
 Defined results: null and empty texts have no tokens; special strings inside texts are ordinary
 text; repeated rows are counted each; other columns are ignored.
@@ -14,7 +16,7 @@ text; repeated rows are counted each; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import small_batches
+from sprucelake.llm.common import slices, small_batches
 
 MARK = "▁"
 PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Pre-tokens of more characters merge by a heap.
+#: Pre-tokens of more characters are cut where no piece can cross.
 LONG = 64
+#: Characters that a series of rounds goes over.
+ROUND_CHARS = 500_000
 #: A worker's memo of pre-tokens is emptied at this size.
 MEMO = 400_000
 NONE = np.int64(1 << 60)
@@ -68,6 +72,19 @@ class PieceModel:
         self.keys = keys[order]
         self.ranks = np.array([r for *_, r, _ in pairs], np.int64)[order]
         self.merged = np.array([s for *_, s in pairs], np.int64)[order]
+        # A piece is apart if all pairs that it is in have a higher rank than itself.
+        lowest = np.full(len(self.symbols), NONE)
+        for side in (0, 1):
+            np.minimum.at(lowest, np.array([x[side] for x in pairs], np.int64), np.array([x[2] for x in pairs], np.int64))
+        self.apart = lowest > np.array([self.rank[p] for p in self.symbols], np.int64)
+        # Which characters stand side by side in some piece, by numbers of theirs (0: in no piece of several).
+        letters = sorted({c for p in self.rank if len(p) > 1 for c in p})
+        self.letter = np.zeros(0x110000, np.int16)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.together = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for piece in self.rank:
+            at = self.letter[[ord(c) for c in piece]]
+            self.together[at[:-1], at[1:]] = True
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of each pair; rank NONE where it forms no piece."""
@@ -78,15 +95,18 @@ class PieceModel:
 
     def counts(self, words: list[str]) -> list[int]:
         """Tokens of each pre-token."""
-        out = [0] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i in set(range(len(words))) - set(short):
-            out[i] = self._heap(words[i])
-        for a in range(0, len(short), 50_000):
-            part = short[a : a + 50_000]
-            for i, n in zip(part, self._rounds([words[i] for i in part]), strict=True):
-                out[i] = n
-        return out
+        cut = [[w] if len(w) <= LONG else self._parts(w) for w in words]
+        parts = list(dict.fromkeys(p for c in cut for p in c))
+        parts.sort(key=len)  # rows of like length leave the rounds together
+        tokens = {}
+        for a, b in slices([len(p) for p in parts], ROUND_CHARS) if parts else ():
+            tokens.update(zip(parts[a:b], self._rounds(parts[a:b]).tolist(), strict=True))
+        return [sum(map(tokens.__getitem__, c)) for c in cut]
+
+    def _parts(self, word: str) -> list[str]:
+        at = self.letter[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = [0, *(np.flatnonzero(~self.together[at[:-1], at[1:]]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in itertools.pairwise(cuts)]
 
     def _rounds(self, words: list[str]) -> np.ndarray:
         lengths = np.array([len(w) for w in words])
@@ -105,12 +125,23 @@ class PieceModel:
                 flat, row, rank, merged = flat[keep], row[keep], rank[keep], merged[keep]
                 continue
             least = np.flatnonzero(rank == np.repeat(best, np.diff(np.r_[starts, len(row)])))
-            at = least[np.r_[True, row[least][1:] != row[least][:-1]]]  # the leftmost of each row
-            total[row[at]] -= 1
+            heads = np.flatnonzero(np.r_[True, row[least][1:] != row[least][:-1]])
+            sizes = np.diff(np.r_[heads, len(least)])
+            if len(heads) < len(least):
+                # All places of a row at once if its piece is apart; of places that overlap every other one.
+                first = np.zeros(len(least), bool)
+                first[heads] = True
+                run = np.r_[True, np.diff(least) > 1] | first
+                place = np.arange(len(least)) - np.maximum.accumulate(np.where(run, np.arange(len(least)), 0))
+                every = np.repeat(np.logical_and.reduceat(self.apart[merged[least]], heads), sizes)
+                at = least[first | (every & (place % 2 == 0))]
+            else:
+                at = least
+            np.subtract.at(total, row[at], 1)
             flat[at] = merged[at]
             keep = np.ones(len(flat), bool)
             keep[at + 1] = False
-            moved = at - np.arange(len(at))
+            moved = at - np.arange(len(at))  # a place loses one for each merge before it
             flat, row, rank, merged = flat[keep], row[keep], rank[keep], merged[keep]
             for near in (moved, moved[moved > 0] - 1):
                 last = near + 1 >= len(flat)
@@ -126,32 +157,6 @@ class PieceModel:
             rank[:-1], merged[:-1] = np.where((row[1:] == row[:-1]) & (flat[:-1] >= 0) & (flat[1:] >= 0), r, NONE), m
         return rank, merged
 
-    def _heap(self, word: str) -> int:
-        rank, parts = self.rank, list(word)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[int, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(parts) and (r := rank.get(both := parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (r, i, both))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if not parts[i] or j >= len(parts) or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j] = both, ""
-            after[i] = after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return sum(1 if p in rank else len(p.encode("utf-8", "surrogatepass")) for p in parts if p)
-
 
 @lru_cache(2)
 def piece_model(path: str) -> PieceModel:

@@ -10,7 +10,8 @@ in one task, which goes over them EPOCHS times. Rows of ids that are held out ne
 
 Defined results: null and empty texts have the score of no words (the intercept); repeated rows
 score alike; labels that are null, or whose id is null or in no document, are left out, and of
-several labels of an id the largest counts; without any label every score is the intercept 0.5.
+several labels of an id the largest counts, and of its several texts one is fitted (the first by its
+coordinates, whatever the order of the rows); without any label every score is the intercept 0.5.
 Columns other than id and text are never read.
 """
 
@@ -85,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a.tobytes() for a in at], pa.binary())], ["doc_id", "label", "at"])
 
     def sequence(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("turn")
+        pdf = pdf.sort_values(["turn", "doc_id", "at"]).drop_duplicates("doc_id")
         weights, bias = ftrl([(np.frombuffer(a, np.int32), y) for a, y in zip(pdf["at"], pdf["label"], strict=True)])
         at = np.flatnonzero(weights)
         return pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "w": [weights[at].tobytes()], "bias": [bias]})

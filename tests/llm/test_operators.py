@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import time
 import zlib
@@ -80,6 +81,35 @@ def test_ftrl_is_sparse_and_learns():
     assert w[7] > 1 and bias < 0 and (w != 0).sum() < 400
 
 
+def test_ftrl_equals_a_plain_version():
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 60, 12)).astype(np.int32), int(rng.random() < 0.3)) for _ in range(200)]
+    t, z, n, bias, bias_n = toxicity, defaultdict(float), defaultdict(float), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= t.L1 else -(z[i] - math.copysign(t.L1, z[i])) / ((t.BETA + math.sqrt(n[i])) / t.ALPHA + t.L2)
+    for _ in range(t.EPOCHS):
+        for at, y in rows:
+            w = {i: weight(i) for i in at.tolist()}
+            g = (1 / (1 + math.exp(-(bias + sum(w.values())))) - y) * (t.POSITIVE if y else 1)
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / t.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= g * t.ALPHA / (t.BETA + math.sqrt(bias_n))
+    got, got_bias = toxicity.ftrl(rows)
+    assert got_bias == pytest.approx(bias) and got[:60] == pytest.approx([weight(i) for i in range(60)]) and not got[60:].any()
+    assert 0 < (got != 0).sum() < 60
+
+
+def test_toxicity_of_ids_with_several_texts(spark):
+    """Which of an id's texts is fitted doesn't depend on the order of the rows."""
+    rows = [(i, f"word{i % 5} text{i} {'bad' if i % 4 == 0 else 'good'} {v}") for i in range(80) for v in ("one", "two", "three")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fits = [toxicity.fit(docs.repartition(n).orderBy(F.rand(n)), labels) for n in (1, 3)]
+    assert all(np.array_equal(a, b) for a, b in zip(*fits, strict=True))
+
+
 # 2 token counts
 
 
@@ -94,7 +124,7 @@ def test_token_counts_equal_the_library(spark, sf_docs):
 def test_token_counts_random_strings():
     library, counter, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), token_counts.TokenCounter(token_counts.piece_model(MODEL)), random.Random(5)
     texts = ["".join(rng.choice(["a", "in", "the", "er", " ", "  ", "\n", "é", "梦", "😀", "▁", "\x00", "aaaa"]) for _ in range(rng.randint(0, 200))) for _ in range(300)]
-    texts += ["ab" * 2000, " " * 300, "word" * 400]
+    texts += ["ab" * 2000, " " * 300, "word" * 400, "a" * 5001, "".join(rng.choice("abcdeinrst") for _ in range(8000)), "".join(rng.choice("abAB01+/_-.") for _ in range(5000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(6000)), "的一是在不了有和人这中大为上个国我以要他" * 300, "information" * 500, "\n" * 3000, "é" * 700]
     assert counter.count(texts) == [len(x) for x in library.encode(texts)]
 
 
