@@ -22,7 +22,7 @@ def initials(s: str | None) -> str | None:
 
 
 @F.udf(T.StringType(), useArrow=True)
-def initials_by_arrow(s: str | None) -> str | None:
+def initials_by_arrow(s):
     """The same function, its rows sent in Arrow batches."""
     return None if s is None else "".join(w[0] for w in s.split())
 
