@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sprucelake.session import delete_folder, shared_folder, written
 
-__all__ = ["WordHashes", "components", "discard", "fresh", "join_groups", "lower_words", "mix", "quoted", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
+__all__ = ["WordHashes", "components", "discard", "few_rows_a_batch", "fresh", "join_groups", "lower_words", "mix", "quoted", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
 
 #: Keys that more than one of so many rows have are at most so many: they are broadcast in join_groups.
 HOT_SHARE = 10_000
@@ -82,6 +82,16 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_
             yield batch.slice(a, b - a)
 
 
+def few_rows_a_batch(spark: SparkSession, most: int = 1000) -> None:
+    """Lower the session's rows in an Arrow batch to `most`, as texts are large.
+
+    Spark reads the setting when a plan runs, which is after an operator returns, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """name, with marks behind it if it is among the names taken (whatever their case)."""
     taken = {t.lower() for t in taken}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, mix, slices, small_batches, written
+from sprucelake.llm.common import WordHashes, few_rows_a_batch, mix, slices, small_batches, written
 
 #: Fixed masks: 1 takes the word at that place.
 SEEDS = ("11101011", "11001111")
@@ -197,7 +197,7 @@ def _copied(block: Block, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, in
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, copied_words, share): documents that hold a passage of an item, and how much of it."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
     items = written(items.withColumn("bytes", F.octet_length("text")), "benchmark")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import small_batches
+from sprucelake.llm.common import few_rows_a_batch, small_batches
 from sprucelake.llm.page_samples import sample_pages
 
 #: Composed pages that the classifier is fitted on, and its L2 term.
@@ -421,7 +421,7 @@ def main_text(page: str | None, weights: np.ndarray | None = None) -> str:
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(pages.sparkSession)
     weights = fitted()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

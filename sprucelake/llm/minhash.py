@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, components, discard, join_groups, lower_words, mix, shingles, small, small_batches, written
+from sprucelake.llm.common import WordHashes, components, discard, few_rows_a_batch, join_groups, lower_words, mix, shingles, small, small_batches, written
 
 #: Members of a block: of a bucket's members that meet one copy of its hub's set, or its rest.
 BLOCK = 500
@@ -217,7 +217,7 @@ def with_hubs(members: DataFrame, total: int) -> DataFrame:
 def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs, linked at Jaccard >= threshold on k-word shingles."""
     spark, percent = docs.sparkSession, round(100 * threshold)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(spark)
     bands, rows = bands_for(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, k, bands, rows), "signed")

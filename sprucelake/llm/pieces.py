@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from sprucelake.llm.common import fresh, quoted, small_batches
+from sprucelake.llm.common import few_rows_a_batch, fresh, quoted, small_batches
 
 MARK = "▁"
 #: Parts of texts that a worker remembers; it starts afresh beyond.
@@ -352,7 +352,7 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id"
     place `at` of ids, `n` ids give way to `ids` (see changed()). back: decoding the best gives the text.
     With carry, all columns of docs and these in one struct `pieces` (with a mark behind its name if that is taken).
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(docs.sparkSession)
     fields = docs.schema.fields if carry else [docs.schema[id_col]]
     own = fresh([f.name for f in fields], "pieces")
     # Positions stand for names on the way, so that none can clash.

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import discard, join_groups, mix, small, small_batches, written
+from sprucelake.llm.common import discard, few_rows_a_batch, join_groups, mix, small, small_batches, written
 from sprucelake.llm.exact_dedup import golomb_decode, golomb_encode
 
 LENGTH = 50
@@ -425,7 +425,7 @@ def _left(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("name"))
     long = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
 

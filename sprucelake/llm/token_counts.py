@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import slices, small_batches
+from sprucelake.llm.common import few_rows_a_batch, slices, small_batches
 
 MARK = "▁"
 PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -185,7 +185,7 @@ class TokenCounter(dict):
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs. model_path is read on the executors."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(docs.sparkSession)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(piece_model(model_path))

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, mix, small_batches
+from sprucelake.llm.common import WordHashes, few_rows_a_batch, mix, small_batches
 from sprucelake.llm.decontaminate import plain_words
 
 BITS = 20
@@ -122,7 +122,7 @@ def scorer(model: Broadcast):
 def fitted_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
     """The score of docs' text column, by a model fitted to labels (doc_id, toxic)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return scorer(spark.sparkContext.broadcast(fit(rows, labels)))(F.col(text_col))
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import discard, join_groups, shared_folder, small, small_batches, written
+from sprucelake.llm.common import discard, few_rows_a_batch, join_groups, shared_folder, small, small_batches, written
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16_000_000
@@ -152,7 +152,7 @@ class _Writer:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages as archives into folder; returns the index (page_id, archive, offset, length), written already."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    few_rows_a_batch(spark)
     html = F.coalesce(F.col(html_col), F.lit(""))
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     dictionary = spark.sparkContext.broadcast(train(pages))
