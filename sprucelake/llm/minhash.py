@@ -174,12 +174,11 @@ class Linker:
         """Members of buckets that hold several components of found, with component, main (the hub's) and rest (members of others)."""
         marked = inside.where("size > 2").select("bucket", "rep", "n", "size").join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         marked = written(marked, "marked")
-        tops = marked.groupBy("bucket").agg(F.min(F.struct("rep", "component"))["component"].alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-        tops = written(tops.where("low <> high").select("bucket", "main", "members"), "tops")
-        total = marked.count()
-        own = written(join_groups(marked, tops, ["bucket"], "members", total), "open")
-        rests = written(own.where("component <> main").groupBy("bucket").agg(F.count("*").alias("rest"), F.max("members").alias("all")), "rests")
-        return join_groups(own, rests, ["bucket"], "all", total).drop("all")
+        # Of a bucket's components the one of its smallest member is the hub's.
+        shares = marked.groupBy("bucket", "component").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
+        tops = shares.groupBy("bucket").agg(F.min(F.struct("first", "component", "n")).alias("top"), F.sum("n").alias("members"))
+        tops = tops.select("bucket", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.n")).alias("rest"))
+        return join_groups(marked, written(tops.where("rest > 0"), "tops"), ["bucket"], "members", marked.count())
 
     def blocks(self, members: DataFrame) -> DataFrame:
         """Links (a, b) between the rest of each bucket and all its members."""
