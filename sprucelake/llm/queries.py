@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sprucelake.llm.alignment import token_links
 from sprucelake.llm.decontaminate import overlaps
 from sprucelake.llm.exact_dedup import EXACT_SQL, exact_groups
+from sprucelake.llm.hard_negatives import NEGATIVES_SQL, hard_negatives, relabelled
 from sprucelake.llm.html_text import HTML_SQL, main_texts
 from sprucelake.llm.minhash import near_groups
 from sprucelake.llm.pieces import encoded
 from sprucelake.llm.repeats import without_repeats
 from sprucelake.llm.sharding import sharding_sql, shards_by_key
+from sprucelake.llm.simhash import simhash_groups
 from sprucelake.llm.token_counts import token_counts
 from sprucelake.llm.toxicity import toxicity_scores
 from sprucelake.llm.warc import WARC_SQL, archived
@@ -68,8 +72,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_warc, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination, op10_html_text)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", relabelled()), F.col("id") % 50 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(MODEL))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_warc, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_sharding, op8_minhash, op9_decontamination, op10_html_text, op11_hard_negatives, op12_alignment, op13_simhash)}
 ORACLE["op6_exact_dedup"] = EXACT_SQL
 ORACLE["op3_warc"] = WARC_SQL
 ORACLE["op7_sharding"] = sharding_sql(40)
 ORACLE["op10_html_text"] = HTML_SQL
+ORACLE["op11_hard_negatives"] = NEGATIVES_SQL
