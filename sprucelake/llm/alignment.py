@@ -37,10 +37,14 @@ from sprucelake.llm.common import discard, few_rows_a_batch, quoted, slices, sma
 
 #: A space between characters that neither tokenizer takes for white space.
 BOUNDARY = re.compile(r" (?<=[^\s᠎​﻿▁] )(?=[^\s᠎​﻿▁])")
+#: A unit without white space at its ends, so that a space before and behind it is a boundary.
+CLEAN = re.compile(r"(?=[^\s\u180e\u200b\ufeff\u2581]).*[^\s\u180e\u200b\ufeff\u2581]\Z", re.DOTALL)
+#: Characters of units that are tokenized as one text.
+LINE_CHARS = 20_000
 #: A pair of ids is one number: A's above PAIR bits.
 PAIR = 15
 #: Units of more characters are not remembered; a worker starts afresh at so many units.
-LONG, MEMO = 64, 300_000
+LONG, MEMO = 64, 500_000
 #: Links of a group that are written out one by one at most; a larger group is counted by its distinct ids.
 LINKS = 4096
 #: Pairs that all tasks get at most.
@@ -71,9 +75,34 @@ class Pair:
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in (self.b.id_to_piece(i),)}
         if max(self.bytes_b) >> PAIR or max(self.bytes_a) >> (31 - PAIR):
             raise ValueError("the vocabularies are too large for one number of 31 bits")
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)], self.b.encode(units, num_threads=1)
+        self.sizes_a, self.sizes_b = (np.array([len(table.get(i, b"")) for i in range(max(table) + 1)]) for table in (self.bytes_a, self.bytes_b))
+        #: Each id with the mark behind it, if it isn't the last of its side of a group and if it is.
+        self.marked = [f"{i}{mark}" for n, ends in ((len(self.sizes_a), ",|"), (len(self.sizes_b), ",;")) for i in range(n) for mark in ends]
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of a space and each text by A, and of each text by B."""
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+
+    def exact(self, texts: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """(texts whose tokens on both sides give a space and the text back, the others, ids by A and by B of the first, one after another)."""
+        good, bad, a, b = [], [], [], []
+        for t, x, y in zip(texts, *self.encode(texts), strict=True):
+            whole = (" " + t).encode("utf-8", "surrogatepass")
+            if b"".join(map(self.bytes_a.__getitem__, x)) == whole == b"".join(map(self.bytes_b.__getitem__, y)):
+                good.append(t)
+                a += x
+                b += y
+            else:
+                bad.append(t)
+        return good, bad, np.array(a, np.int64), np.array(b, np.int64)
+
+    def exact_units(self, units: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """exact() for units: many that can stand side by side go to the tokenizers as one text."""
+        clean, alone = [u for u in units if CLEAN.match(u)], [u for u in units if not CLEAN.match(u)]
+        lines = {" ".join(clean[x:y]): clean[x:y] for x, y in slices([len(u) for u in clean], LINE_CHARS)} if clean else {}
+        whole, broken, a, b = self.exact(list(lines))
+        good, bad, a2, b2 = self.exact(alone + [u for line in broken for u in lines[line]])
+        return [u for line in whole for u in lines[line]] + good, bad, np.r_[a, a2], np.r_[b, b2]
 
 
 @lru_cache(2)
@@ -123,16 +152,10 @@ class Aligner:
         self.start, self.pairs, self.times = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, units: list[str]) -> None:
-        ids_a, ids_b = self.pair.encode(units)
-        bytes_a, bytes_b = self.pair.bytes_a, self.pair.bytes_b
-        whole = [(" " + u).encode("utf-8", "surrogatepass") for u in units]
-        ok = [b"".join(map(bytes_a.__getitem__, a)) == w == b"".join(map(bytes_b.__getitem__, b)) for a, b, w in zip(ids_a, ids_b, whole, strict=True)]
-        good = [i for i, x in enumerate(ok) if x]
-        a, b = (np.fromiter(itertools.chain.from_iterable(ids[i] for i in good), np.int64) for ids in (ids_a, ids_b))
-        ends_a = np.cumsum(np.fromiter((len(bytes_a[i]) for i in a.tolist()), np.int64, len(a)))
-        ends_b = np.cumsum(np.fromiter((len(bytes_b[i]) for i in b.tolist()), np.int64, len(b)))
-        unit_ends = np.cumsum([len(whole[i]) for i in good])
-        size = int(unit_ends[-1]) if good else 0
+        units, bad, a, b = self.pair.exact_units(units)
+        ends_a, ends_b = np.cumsum(self.pair.sizes_a[a]), np.cumsum(self.pair.sizes_b[b])
+        unit_ends = np.cumsum(np.fromiter((len(u.encode("utf-8", "surrogatepass")) + 1 for u in units), np.int64, len(units)))
+        size = int(unit_ends[-1]) if units else 0
         marks_a, marks_b = Marks(ends_a, size), Marks(ends_b, size)
         cuts = shared_cuts(marks_a, marks_b)
         to_a, to_b = marks_a.rank(cuts), marks_b.rank(cuts)
@@ -151,21 +174,23 @@ class Aligner:
             keys.append((int(unit[g]) << 31 | x[:, None] << PAIR | y).ravel())
             weight.append((p[:, None] * q).ravel())
         key, times = summed(np.concatenate(keys), np.concatenate(weight))
-        figures = np.zeros((len(units), 5), np.int64)
+        figures = np.zeros((len(units) + len(bad), 5), np.int64)
         for column, values in enumerate((n_a, n_b, np.ones(len(cuts), np.int64), n_a * n_b)):
-            np.add.at(figures[:, column], np.array(good, np.int64)[unit], values)
-        figures[:, 4] = ok
-        sizes = np.zeros(len(units), np.int64)
-        sizes[good] = np.bincount(key >> 31, minlength=len(good))
-        first = np.searchsorted(unit, np.arange(len(good) + 1)).tolist()
-        codes = [""] * len(units)
-        fa, ta, fb, tb, text_a, text_b = from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), list(map(str, a.tolist())), list(map(str, b.tolist()))
-        for n, i in enumerate(good):
-            codes[i] = ";".join(f"{','.join(text_a[fa[g] : ta[g]])}|{','.join(text_b[fb[g] : tb[g]])}" for g in range(first[n], first[n + 1]))
-        self.number.update(zip(units, range(len(self.codes), len(self.codes) + len(units)), strict=True))
-        self.codes += codes
+            np.add.at(figures[:, column], unit, values)
+        figures[: len(units), 4] = 1
+        # Tokens in the order of the digest: of each group those of A, then those of B, each with the mark behind it.
+        marks = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[to_a - 1] = last_b[to_b - 1] = 1
+        marks[np.arange(len(a)) + np.repeat(from_b, n_a)] = 2 * a + last_a
+        marks[np.arange(len(b)) + np.repeat(to_a, n_b)] = 2 * (b + len(self.pair.sizes_a)) + last_b
+        text = list(map(self.pair.marked.__getitem__, marks.tolist()))
+        per_unit = np.cumsum(figures[: len(units), 0] + figures[: len(units), 1]).tolist()
+        codes = ["".join(text[x:y]) for x, y in zip([0, *per_unit], per_unit, strict=False)]
+        self.number.update(zip(itertools.chain(units, bad), range(len(self.codes), len(self.codes) + len(figures)), strict=True))
+        self.codes += codes + [""] * len(bad)
         self.figures = np.concatenate([self.figures, figures])
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(sizes)]
+        self.start = np.r_[self.start, self.start[-1] + np.cumsum(np.bincount(key >> 31, minlength=len(figures)))]
         self.pairs, self.times = np.r_[self.pairs, key & ((1 << 31) - 1)], np.r_[self.times, times]
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +212,7 @@ class Aligner:
         good[owner[self.figures[at, 4] == 0]] = False
         figures[~good] = 0
         ends, codes, numbers = np.cumsum(counts), self.codes, at.tolist()
-        digests = [hashlib.sha256(";".join([codes[i] for i in numbers[e - n : e]]).encode()).hexdigest() if g else "" for e, n, g in zip(ends.tolist(), counts.tolist(), good.tolist(), strict=True)]
+        digests = [hashlib.sha256("".join([codes[i] for i in numbers[e - n : e]])[:-1].encode()).hexdigest() if g else "" for e, n, g in zip(ends.tolist(), counts.tolist(), good.tolist(), strict=True)]
         kept = good[owner]
         at, owner = at[kept], owner[kept]
         sizes = self.start[at + 1] - self.start[at]

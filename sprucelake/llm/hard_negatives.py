@@ -35,7 +35,7 @@ from sprucelake.operators.groups import top_per_group
 from sprucelake.operators.inverted import Lists, best_columns, build, matrix, visits
 
 #: Lists that an anchor visits in the first round, and how many times as many in each further round.
-FIRST, WIDER = 4, 4
+FIRST, WIDER = 8, 8
 #: Scores of vectors of 64 components within +-LARGEST fit a long.
 LARGEST = 2**28
 NONE = -(2**62)
