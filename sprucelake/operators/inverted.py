@@ -131,11 +131,29 @@ def build(vectors: DataFrame, dtype: str, lists: int | None = None, sample: int
     radii, rows = np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)
     for r in members.groupBy("list").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).collect():  # a row for each centroid
         radii[r["list"]], rows[r["list"]] = r["reach"], r["n"]
-    found = Lists(centroids, radii, rows, dtype, width, members.drop("reach"), members)
+    return packed(Lists(centroids, radii, rows, dtype, width, members.drop("reach"), members))
+
+
+def one_list(vectors: DataFrame, dtype: str) -> Lists:
+    """All vectors (id long, label int, v array of numbers) on a single list, which every query goes to."""
+    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = max(1, width or 0)
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("id"), batch.column("label"), as_bytes(padded(batch.column("v"), dtype, width))], ["list", "id", "label", "v"])
+
+    members = written(vectors.select("id", "label", "v").mapInArrow(put, "list int, id long, label int, v binary"), "members")
+    return packed(Lists(np.zeros((1, width)), np.zeros(1), np.array([n]), dtype, width, members, members))
+
+
+def packed(found: Lists) -> Lists:
+    """The lists with their chunks written."""
+    spark, members = found.members.sparkSession, found.members
     parts = spark.createDataFrame(list(enumerate(found.parts.tolist())), "list int, parts int")
     chunk = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("chunk")
-    packed = members.join(F.broadcast(parts), "list").groupBy("list", chunk).agg(F.collect_list(F.struct("id", "label", "v")).alias("rows"))
-    found.chunks = written(packed.select("list", "chunk", F.col("rows.id").alias("ids"), F.col("rows.label").alias("labels"), F.col("rows.v").alias("vs")), "chunks")
+    rows = members.join(F.broadcast(parts), "list").groupBy("list", chunk).agg(F.collect_list(F.struct("id", "label", "v")).alias("rows"))
+    found.chunks = written(rows.select("list", "chunk", F.col("rows.id").alias("ids"), F.col("rows.label").alias("labels"), F.col("rows.v").alias("vs")), "chunks")
     return found
 
 

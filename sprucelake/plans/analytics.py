@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from sprucelake.functions import udfs
 from sprucelake.operators.groups import gap_filled, sessions, top_per_group
-from sprucelake.operators.vectors import nearest_in_blocks
+from sprucelake.operators.vectors import approximate_nearest, nearest_by_products, vector_index
 from sprucelake.plans.registry import query
 from sprucelake.session import table
 
@@ -110,7 +110,18 @@ FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50
 def nearest_vectors(spark, d):
     """The job's query set: the vectors with ids divisible by 50."""
     v = table(spark, d, "embeddings")
-    return nearest_in_blocks(v.where("vec_id % 50 = 0"), v, 5).withColumn("cosine", F.round("cosine", 5))
+    return nearest_by_products(v.where("vec_id % 50 = 0"), v, 5).withColumn("cosine", F.round("cosine", 5))
+
+
+@query("SELECT count(*) AS queries, 5 * count(*) AS neighbours, true AS recall_90 FROM embeddings WHERE vec_id % 50 = 0")
+def approximate_neighbours(spark, d):
+    """The same query set through inverted lists: whether nine in ten of the exact neighbours are found."""
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0")
+    found = approximate_nearest(vector_index(v), asked, 5).select("query_id", "vec_id")
+    exact = nearest_by_products(asked, v, 5).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = found.join(exact, ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_90"))
 
 
 @query("SELECT c_custkey, (length(c_mktsegment) - length(regexp_replace(c_mktsegment, '[aeiouAEIOU]', '', 'g')))::BIGINT AS n FROM customer")
