@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sprucelake.operators.ordered import HOT_ROWS, hot_keys, running
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], tolerance: str | None = None) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], tolerance: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each left row with `values` of the latest right row of its `by` key at or before its time.
 
     One pass instead of a join: both sides are put together, sorted once by key and time (right
-    rows before left rows of the same time), and the last right row is carried forward. Of right
+    rows before left rows of the same time), and the last right row is carried forward. Keys are counted
+    before: rows of a key with a large share of them (more than hot_rows) lie in chunks of their order (operators/ordered.py), so no task
+    gets such a key as a whole. Of right
     rows that tie in time the one with the largest values counts. `tolerance`: an interval string;
     older matches become null. As in a left join, left rows with a null in key or time stay and have
     null values, and right rows with one match nothing. Columns of the left side keep their names,
@@ -23,8 +27,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     own = F.struct(F.col(right_on).alias("at"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
     lefts = left.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(left_on).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("l"))
     rights = right.dropna(subset=[*by, right_on]).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(right_on).alias("t"), F.lit(0).alias("side"), own.alias("r"))
-    w = W.partitionBy(*keys).orderBy(F.asc_nulls_first("t"), "side", "r").rowsBetween(W.unboundedPreceding, 0)
-    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("last", F.last("r", ignorenulls=True).over(w)).where("side = 1")
+    order = [F.asc_nulls_first("t"), F.asc("side"), F.asc("r")]
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    carried = lambda rows: rows.withColumn("last", F.last("r", ignorenulls=True).over(w))
+    hot = hot_keys(both.select(*keys), keys, hot_rows)
+    if hot.limit(1).count():
+        hot = F.broadcast(hot)  # fewer than HOT_SHARE keys
+        same = [both[k].eqNullSafe(hot[k]) for k in keys]
+        split = running(both.join(hot, same, "left_semi"), keys, order, {"last": ("last", F.col("r"))})
+        both = carried(both.join(hot, same, "left_anti")).unionByName(split).where("side = 1")
+    else:
+        both = carried(both).where("side = 1")
     if tolerance:
         both = both.withColumn("last", F.when(F.col("last.at") >= F.col("t") - F.expr(f"interval {tolerance}"), F.col("last")))
     return both.select("l.*", *[F.col(f"last.v{i}").alias(v) for i, v in enumerate(values)])
