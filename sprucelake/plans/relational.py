@@ -13,6 +13,7 @@ from sprucelake.session import shared_folder, table
 from sprucelake.sources import jdbc
 from sprucelake.sources.calendar import Calendar
 from sprucelake.sources.files import read, round_trip, write
+from sprucelake.sources.row_groups import RowGroups, push_filters
 
 
 #: In microseconds.
@@ -373,6 +374,25 @@ def recursive_cte(spark, d):
     return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
 
 
+CHAIN_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, {size} AS chars, 1::BIGINT AS depth FROM conversations WHERE turn = 0
+  UNION ALL SELECT c.conv_id, c.turn, c.role, t.chars + {size}, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+SELECT conv_id, turn, role, chars, depth FROM t"""
+
+
+@query(CHAIN_SQL.format(size="length(text)"))
+def recursive_chain(spark, d):
+    """Conversations from their first turn on, as far as turns follow each other, with the length so far; a round for each turn."""
+    c = table(spark, d, "conversations")
+    c.select("conv_id", "turn", "role", F.length("text").cast("long").alias("size")).createOrReplaceTempView("turns_v")
+    return spark.sql("""
+        WITH RECURSIVE t(conv_id, turn, role, chars, depth) AS (
+          SELECT conv_id, turn, role, size, 1L FROM turns_v WHERE turn = 0
+          UNION ALL SELECT c.conv_id, c.turn, c.role, t.chars + c.size, t.depth + 1 FROM t JOIN turns_v c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+        SELECT * FROM t""")
+
+
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest_per_key(spark, d):
     return latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
@@ -383,6 +403,14 @@ def inline_rows(spark, d):
     return spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
 
 
+@query("""
+SELECT o_orderkey, weight, round(o_totalprice * weight, 2) AS weighted FROM orders LEFT JOIN (VALUES ('1-URGENT', 3.0), ('2-HIGH', 2.0), ('5-LOW', NULL), ('none', 9.0)) w(priority, weight) ON o_orderpriority = priority""")
+def inline_rows_joined(spark, d):
+    """Rows given in the query itself, joined to a table."""
+    weights = spark.createDataFrame([("1-URGENT", 3.0), ("2-HIGH", 2.0), ("5-LOW", None), ("none", 9.0)], "priority string, weight double")
+    return table(spark, d, "orders").join(F.broadcast(weights), F.col("o_orderpriority") == F.col("priority"), "left").select("o_orderkey", "weight", F.round(F.col("o_totalprice") * F.col("weight"), 2).alias("weighted"))
+
+
 def _format_query(fmt: str):
     def run(spark, d):
         return round_trip(table(spark, d, "supplier"), shared_folder(spark, f"supplier-{fmt}"), fmt)
@@ -410,6 +438,29 @@ def source_python(spark, d):
     return spark.read.format("calendar").options(first="2023-11-20", last="2025-02-03").load()
 
 
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F'")
+def source_row_groups(spark, d):
+    """A source in Python over a table's files: a partition for each row group, with columns and filters of its own."""
+    spark.dataSource.register(RowGroups)
+    push_filters(spark)
+    rows = spark.read.format("row_groups").options(path=f"{d}/orders.parquet", columns="o_orderkey,o_orderdate,o_totalprice,o_orderstatus").load()
+    return rows.where("o_totalprice > 300000 and o_orderstatus = 'F'").select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def source_row_groups_stream(spark, d):
+    """The same source read as a stream, some row groups a batch."""
+    spark.dataSource.register(RowGroups)
+    rows = spark.readStream.format("row_groups").options(path=f"{d}/orders.parquet", columns="o_orderkey,o_orderpriority,o_totalprice", groups="1").load()
+    out = shared_folder(spark, "row-groups")
+    query_ = rows.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").start()
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
+    return spark.read.schema(rows.schema).parquet(f"{out}/data").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("SELECT n_name AS line FROM nation")
 def source_text(spark, d):
     path = shared_folder(spark, "nation-text")
@@ -425,6 +476,20 @@ def partition_pruned(spark, d):
     return read(spark, path).where("y = 1997").select("o_orderkey", F.col("y").cast("int").alias("y"))
 
 
+@query("""
+SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name = (SELECT min(r_name) FROM region) GROUP BY 1""")
+def partition_pruned_by_join(spark, d):
+    """Orders in folders by nation, joined with the nations of one region: only their folders are read."""
+    path = shared_folder(spark, "orders-by-nation")
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    write(table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_totalprice", "c_nationkey"), path, partition_by=["c_nationkey"])
+    region = table(spark, d, "region")
+    first = region.join(region.agg(F.min("r_name").alias("r_name")), "r_name", "left_semi")
+    nations = table(spark, d, "nation").join(first, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey", "n_name")
+    return read(spark, path).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))  # 25 nations at any scale
+
+
 @query("SELECT l_orderkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def bucketed_join(spark, d):
     """Both sides bucketed by the key: neither join nor group shuffles."""

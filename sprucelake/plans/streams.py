@@ -76,17 +76,61 @@ def stream_state(spark, d):
         return E.run_batches(E.running_counts(E.event_stream(spark, d)), "state", "update", ["user_id"])
 
 
-@query(f"""
-WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM events),
+SESSIONS_SQL = """
+WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM {rows}),
 g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM f)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, session
-HAVING max(ts) + INTERVAL 2 HOUR <= {CLOSED} OR session < (SELECT max(session) FROM g AS last WHERE last.user_id = g.user_id)""")
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, session HAVING max(ts) + INTERVAL 2 HOUR <= {closed}"""
+
+
+@query(SESSIONS_SQL.format(rows="events", closed=CLOSED))
 def stream_timers(spark, d):
-    """Sessions that the next event or a timer has closed."""
+    """Sessions that a timer has closed, behind the watermark."""
     with rocks_db(spark):
         return E.run(E.idle_sessions(E.event_stream(spark, d)), "timers").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: Disorder: of six batches in order of ids, three of ten ids come a batch later, and of the first one some ids come in the last, behind the watermark.
+LATE = "event_id % 97 = 5 AND 5 * event_id < (SELECT max(event_id) + 1 FROM events)"
+PUNCTUAL = f"(SELECT * FROM events WHERE NOT ({LATE}))"
+PASSED = "(SELECT max(ts) - INTERVAL 14 DAY FROM events)"
+
+
+def disordered(spark, d):
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    n = events.agg(F.max("event_id")).first()[0] + 1
+    batch = F.floor(F.col("event_id") * 5 / n).cast("int")
+    late = (F.col("event_id") % 97 == 5) & (F.col("event_id") * 5 < n)
+    return E.replayed(events, F.when(late, 5).otherwise(batch + (F.col("event_id") % 10 < 3).cast("int")), 6, "14 days")
+
+
+@query(f"""
+SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS place FROM {PUNCTUAL} WHERE ts < {PASSED}""")
+def stream_in_order(spark, d):
+    """Events that came out of order, put in order behind the watermark; late ones are dropped."""
+    with rocks_db(spark):
+        return E.run(E.in_order(disordered(spark, d)), "in-order").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(SESSIONS_SQL.format(rows=PUNCTUAL, closed=PASSED))
+def stream_sessions_disordered(spark, d):
+    """Sessions by timers of events that came out of order."""
+    with rocks_db(spark):
+        return E.run(E.idle_sessions(disordered(spark, d)), "disordered").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(SESSIONS_SQL.format(rows=PUNCTUAL, closed=PASSED))
+def stream_session_window_disordered(spark, d):
+    """The same by session_window."""
+    return E.run(E.user_sessions(disordered(spark, d)), "disordered-window").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY 1")
+def stream_upsert(spark, d):
+    """The last event of each user, kept in a table that each batch of a disordered stream updates."""
+    out = E.run_upserts(disordered(spark, d).select("user_id", "event_id", "ts"), "upsert", ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
 def stream_time_to_live(spark, d):
     with rocks_db(spark):

@@ -50,6 +50,17 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folders(spark: SparkSession, path: str, marker: str) -> list[str]:
+    """The names of the folders below path that hold a file `marker`, by Spark's own file system layer; none if there is no path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    found = [f.getPath() for f in system.listStatus(where)]
+    return sorted(f.getName() for f in found if system.exists(jvm.org.apache.hadoop.fs.Path(f, marker)))
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor loses none of it."""
     path = shared_folder(df.sparkSession, purpose)

@@ -10,12 +10,12 @@ import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sprucelake.operators.groups import latest
-from sprucelake.session import shared_folder
+from sprucelake.session import delete_folder, folders, shared_folder, written
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -116,47 +116,153 @@ def running_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(RunningCount(), "user_id long, n long, total double", "Update", "None")
 
 
+def _millis(t: datetime.datetime) -> int:
+    return int(t.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+
+
 class IdleSessions(StatefulProcessor):
-    """A user's sessions: a row when the next event comes `gap` or more after the last, or when a timer says that none came."""
+    """A user's sessions: events less than `gap` apart, in whatever order they come, given out when the watermark is `gap` behind the last."""
 
     def __init__(self, gap: str) -> None:
-        self.gap = pd.Timedelta(gap)
+        self.gap = pd.Timedelta(gap).to_pytimedelta()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", "start timestamp, last timestamp, n long")
+        self.open = handle.getListState("open", "start timestamp, last timestamp, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start, last, n = self.state.get() if self.state.exists() else (None, None, 0)
-        closed = []
-        for t in sorted(t for pdf in rows for t in pdf["ts"].dt.to_pydatetime()):
-            if last is not None and t - last >= self.gap:
-                closed.append((start, n))
-                start, n = None, 0
-            start, last, n = start or t, t, n + 1
-        self.state.update((start, last, n))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((last + self.gap).replace(tzinfo=datetime.timezone.utc).timestamp() * 1000))
-        yield self._rows(key, closed)
+        found = [tuple(s) for s in self.open.get()] + [(t.to_pydatetime(), t.to_pydatetime(), 1) for pdf in rows for t in pdf["ts"]]
+        spans: list[tuple] = []
+        for start, last, n in sorted(found):
+            if spans and start - spans[-1][1] < self.gap:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], last), spans[-1][2] + n)
+            else:
+                spans.append((start, last, n))
+        self._keep(spans)
+        yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start, _, n = self.state.get()
-        self.state.clear()
-        yield self._rows(key, [(start, n)])
+        spans = [tuple(s) for s in self.open.get()]
+        closed = [s for s in spans if _millis(s[1] + self.gap) <= timerValues.getCurrentWatermarkInMs()]
+        self._keep([s for s in spans if s not in closed])
+        yield self._rows(key, closed)
+
+    def _keep(self, spans: list[tuple]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if spans:
+            self.open.put(spans)
+            self.handle.registerTimer(_millis(min(last for _, last, _ in spans) + self.gap))
+        else:
+            self.open.clear()
 
     def _rows(self, key, closed: list) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]] * len(closed), "start": pd.Series([s for s, _ in closed], dtype="datetime64[us]"), "n": [n for _, n in closed]})
+        return pd.DataFrame({"user_id": [key[0]] * len(closed), "start": pd.Series([s for s, _, _ in closed], dtype="datetime64[us]"), "n": pd.Series([n for *_, n in closed], dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
 def idle_sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
-    """Sessions by state and event-time timers (needs the RocksDB state store)."""
+    """Sessions by state and event-time timers (needs the RocksDB state store). Events may come in any order within the watermark."""
     return events.groupBy("user_id").transformWithStateInPandas(IdleSessions(gap), "user_id long, start timestamp, n long", "Append", "EventTime")
 
 
+class InOrder(StatefulProcessor):
+    """A user's events, kept until the watermark has passed them and then given out in order of time, numbered from 1."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long")
+        self.given = handle.getValueState("given", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(t.to_pydatetime(), int(i)) for pdf in rows for t, i in zip(pdf["ts"], pdf["event_id"], strict=True)]
+        timers = list(self.handle.listTimers())
+        self.waiting.appendList(new)
+        first = min(t for t, _ in new)
+        if not timers or _millis(first) + 1 < min(timers):
+            self._wake(first)
+        yield self._rows(key, [], 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        rows, now = sorted(tuple(r) for r in self.waiting.get()), timerValues.getCurrentWatermarkInMs()
+        done, rest = [r for r in rows if _millis(r[0]) < now], [r for r in rows if _millis(r[0]) >= now]
+        given = self.given.get()[0] if self.given.exists() else 0
+        self.given.update((given + len(done),))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        yield self._rows(key, done, given)
+
+    def _wake(self, first: datetime.datetime) -> None:
+        """One timer, behind the first event that waits."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(_millis(first) + 1)
+
+    def _rows(self, key, done: list, given: int) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]] * len(done), "event_id": pd.Series([i for _, i in done], dtype="int64"), "ts": pd.Series([t for t, _ in done], dtype="datetime64[us]"), "place": pd.Series(range(given + 1, given + 1 + len(done)), dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, ts, place): a disordered stream's events in order (needs the RocksDB state store); late ones are dropped by the watermark."""
+    return events.select("user_id", "event_id", "ts").groupBy("user_id").transformWithStateInPandas(InOrder(), "user_id long, event_id long, ts timestamp, place long", "Append", "EventTime")
+
+
+def replayed(events: DataFrame, batch: Column, batches: int, delay: str) -> DataFrame:
+    """events (SCHEMA) as a stream of `batches` batches, row by row in the batch that the column `batch` says (from 0), with a watermark."""
+    spark, path = events.sparkSession, shared_folder(events.sparkSession, "replay")
+    numbered = written(events.withColumn("_batch", batch), "replay-rows")
+    for b in range(batches):  # a file for each batch, written one after another
+        numbered.where(F.col("_batch") == b).drop("_batch").coalesce(1).write.parquet(f"{path}/batch-{b:04d}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/batch-*")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+class Upserts:
+    """A table of one row for each key, kept up to date batch by batch; a batch that comes again changes nothing.
+
+    Each batch that is done is a version of the table in a folder of its own, whole when Spark's marker is there. A batch makes its
+    version from the one before, so what a failed attempt has left is written over. Of versions, the last two are kept: storage grows with the keys
+    and not with the batches. Of a key's rows the one that comes first in `order` stays.
+    """
+
+    def __init__(self, path: str, key: list[str], order: list[Column]) -> None:
+        self.path, self.key, self.order = path, key, order
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        """The batches whose versions are whole and kept, ascending."""
+        return sorted(int(n.rsplit("-", 1)[1]) for n in folders(spark, self.path, "_SUCCESS"))
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = self.versions(spark)
+        if done and number <= done[-1]:
+            return
+        before = [spark.read.schema(batch.schema).parquet(f"{self.path}/version-{done[-1]}")] if done else []
+        rows = batch.unionByName(before[0]) if before else batch
+        latest(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/version-{number}")
+        for old in done[:-1]:
+            delete_folder(spark, f"{self.path}/version-{old}")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/version-{self.versions(spark)[-1]}")
+
+
+def run_upserts(stream: DataFrame, name: str, key: list[str], order: list[Column]) -> DataFrame:
+    """Run a stream into a table of the first row of each key in `order`."""
+    spark = stream.sparkSession
+    out = shared_folder(spark, f"stream-{name}")
+    target = Upserts(f"{out}/data", key, order)
+    stream.writeStream.foreachBatch(target).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return target.table(spark)
+
+
 class FirstSeen(StatefulProcessor):
     """A user's first event; a user who isn't seen for the time to live is new again."""
 
