@@ -23,6 +23,7 @@ by its own text; repeated rows come back each; of an empty table nothing comes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -44,6 +45,8 @@ GENERATOR = 0b110001110101
 ERRORS = 3
 #: Members of a key that one group takes, and members of a block of a larger key.
 COLD, BLOCK = 1000, 4000
+#: Prints of a task that makes their keys, some 80 of each.
+DEALT = 20_000
 #: Hashes whose bits are counted at a time.
 HASHES = 100_000
 
@@ -227,7 +230,7 @@ def hot_links(members: DataFrame) -> DataFrame:
 
 def links_of(prints: DataFrame) -> DataFrame:
     """Links (a, b) that span what is linked among prints (one column, distinct), as a written table."""
-    each = dealt(prints)
+    each = dealt(prints.repartition(max(1, math.ceil(prints.count() / DEALT))))
     heads = each.groupBy("bucket").agg(F.count("*").alias("size"), F.max("own").alias("own")).where("size > 1 and own").select("bucket", "size")
     heads = written(heads, "heads")
     hot = heads.where(F.col("size") > COLD).select("bucket")  # bounded: a bucket has COLD of the prints' keys at least
