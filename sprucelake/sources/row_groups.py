@@ -62,7 +62,9 @@ def groups_of(path: str, condition: ds.Expression | None = None) -> list[Group]:
     return [Group(g.path, g.row_groups[0].id) for g in sorted(pieces, key=lambda g: (g.path, g.row_groups[0].id))]
 
 
-def rows_of(path: str, group: Group, columns: list[str], condition: ds.Expression | None = None) -> Iterator[pa.RecordBatch]:
+def rows_of(path: str, group: Group | None, columns: list[str], condition: ds.Expression | None = None) -> Iterator[pa.RecordBatch]:
+    if group is None:  # what Spark reads where there are no partitions
+        return
     whole = ds.dataset(path, format="parquet")
     fragment = whole.format.make_fragment(group.path, whole.filesystem, row_groups=[group.number])
     for batch in fragment.to_batches(schema=whole.schema, columns=columns, filter=condition, use_threads=False):

@@ -2,14 +2,20 @@
 
 import datetime as dt
 import random
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, Not
 
 from __spark_entry__ import queries
 from sprucelake.operators.groups import gap_filled, sessions, top_per_group, two_step
 from sprucelake.operators.joins import asof_join, band_join, join_small, salted_join
 from sprucelake.operators.vectors import nearest, nearest_in_blocks
+from sprucelake.plans.streams import rocks_db
+from sprucelake.sources.row_groups import RowGroups, push_filters
 from sprucelake.streaming import events as E
 
 T0 = dt.datetime(2024, 1, 1)
@@ -131,3 +137,122 @@ def test_timers_over_several_batches(event_files):
 
 def test_time_to_live(event_files):
     assert {r.user_id: r.event_id for r in E.run(E.first_seen(event_files), "seen", single_batch=True).collect()} == {1: 1, 2: 3, 3: 6}
+
+
+def test_sessions_of_rows_out_of_order(spark, tmp_path):
+    """A user at 10:00, then 9:50, then 11:55: one session of three, as session_window has it."""
+    rows = [[(1, at(10), 1)], [(2, at(9) + dt.timedelta(minutes=50), 1)], [(3, at(11) + dt.timedelta(minutes=55), 1), (4, at(11), 2)], [(5, at(40), 3)]]
+    for n, part in enumerate(rows):
+        spark.createDataFrame([(i, t, u, "click", 1.0, "{}") for i, t, u in part], E.SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/events-{n}.parquet")
+    stream = lambda: spark.readStream.schema(E.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events-*.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 minutes")
+    with rocks_db(spark):
+        out = {(r.user_id, r.start, r.n) for r in E.run(E.idle_sessions(stream()), "disorder").collect()}
+    assert out == {(1, at(9) + dt.timedelta(minutes=50), 3), (2, at(11), 1)}
+    assert out == {(r.user_id, r.start, r.n) for r in E.run(E.user_sessions(stream()), "window").collect()}
+
+
+def test_order_behind_the_watermark(spark):
+    """Random disorder within the watermark; what is behind it is left out, and no place is given twice."""
+    rng = random.Random(9)
+    rows = [(i, at(i / 3), rng.randint(1, 3), "click", 1.0, "{}") for i in range(120)]
+    batch = {i: min(5, i // 20 + (rng.random() < 0.4)) for i in range(120)} | {7: 5}
+    df = spark.createDataFrame([(*r, batch[r[0]]) for r in rows], f"{E.SCHEMA}, b int")
+    with rocks_db(spark):
+        out = E.run(E.in_order(E.replayed(df, F.col("b"), 6, "15 hours").select("event_id", "ts", "user_id")), "order").collect()
+    expected = {}
+    for user in (1, 2, 3):
+        own = [r[0] for r in rows if r[2] == user and r[0] != 7 and r[1] < at(119 / 3 - 15)]
+        expected |= {i: n for n, i in enumerate(own, 1)}
+    assert {r.event_id: r.place for r in out} == expected
+
+
+def test_upserts(spark, tmp_path):
+    """A batch that comes again changes nothing, an attempt that was cut short is written over, and two versions are kept."""
+    batch = lambda *rows: spark.createDataFrame(rows, "k int, t int, v string")
+    target = E.Upserts(f"file://{tmp_path}/t", ["k"], [F.desc("t"), F.desc("v")])
+    rows = lambda: sorted(map(tuple, target.table(spark).collect()))
+    target(batch((1, 5, "a"), (2, 5, "b"), (1, 4, "old")), 0)
+    target(batch((2, 6, "c"), (None, 1, "n")), 1)
+    now = sorted([(1, 5, "a"), (2, 6, "c")]) + [(None, 1, "n")]
+    assert sorted(map(tuple, target.table(spark).collect()), key=repr) == sorted(now, key=repr)
+    target(batch((2, 9, "again")), 1)
+    target(batch((1, 9, "again")), 0)
+    assert sorted(map(tuple, target.table(spark).collect()), key=repr) == sorted(now, key=repr)
+    (tmp_path / "t" / "version-2").mkdir()
+    (tmp_path / "t" / "version-2" / "part-broken.parquet").write_text("cut short")
+    assert target.versions(spark) == [0, 1]
+    target(batch((1, 1, "late")), 2)
+    target(batch(), 3)
+    target(batch((3, 1, "z")), 4)
+    assert target.versions(spark) == [3, 4] and sorted(p.name for p in (tmp_path / "t").iterdir()) == ["version-3", "version-4"]
+    assert sorted(map(tuple, target.table(spark).collect()), key=repr) == sorted([*now, (3, 1, "z")], key=repr)
+
+
+def test_state_expires(spark, tmp_path):
+    """A user is new again after the time to live, and not before."""
+    schema, seen = E.SCHEMA, []
+    for n, pause in enumerate((0, 0, 4)):
+        time.sleep(pause)
+        spark.createDataFrame([(n, at(n), 1, "click", 1.0, "{}"), (10 + n, at(n), 2 + n, "click", 1.0, "{}")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/events-{n}.parquet")
+        keep = 3_600_000 if n < 2 else 1000
+        with rocks_db(spark):
+            stream = E.first_seen(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/events-*.parquet"), keep if n < 2 else keep)
+            place = "long" if n < 2 else "short"
+            stream.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/{place}").option("checkpointLocation", f"{tmp_path}/c-{place}").trigger(once=True).start().awaitTermination()
+        seen.append({(r.user_id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/{place}").collect()})
+    assert seen[0] == {(1, 0), (2, 10)} and seen[1] == seen[0] | {(3, 11)}
+    # With a time to live of a second: all are new once, and again after a pause.
+    time.sleep(3)
+    spark.createDataFrame([(3, at(3), 1, "click", 1.0, "{}")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/events-3.parquet")
+    with rocks_db(spark):
+        E.first_seen(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/events-*.parquet"), 1000).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/short").option("checkpointLocation", f"{tmp_path}/c-short").trigger(once=True).start().awaitTermination()
+    again = {(r.user_id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/short").collect()}
+    assert seen[2] == {(1, 0), (2, 10), (3, 11), (4, 12)} and again == seen[2] | {(1, 3)}
+
+
+def test_joins_prune_partitions(spark, sf):
+    out = queries()["partition_pruned_by_join"](spark, sf)
+    assert out.count() == 5 and "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
+@pytest.fixture
+def row_groups(spark, tmp_path):
+    rows = [(i, f"s{i % 7}" if i % 11 else None, float(i), at(i)) for i in range(1000)]
+    t = pa.table({"i": [r[0] for r in rows], "s": [r[1] for r in rows], "x": [r[2] for r in rows], "t": pa.array([r[3] for r in rows], pa.timestamp("us"))})
+    for n in range(2):
+        pq.write_table(t.slice(500 * n, 500), tmp_path / f"part-{n}.parquet", row_group_size=100)
+    spark.dataSource.register(RowGroups)
+    push_filters(spark)
+    return rows, spark.read.format("row_groups").option("path", str(tmp_path)).load()
+
+
+def test_row_groups(spark, row_groups, tmp_path):
+    rows, df = row_groups
+    assert dict(df.dtypes) == {"i": "bigint", "s": "string", "x": "double", "t": "timestamp_ntz"} and df.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[0]) == rows
+    for condition, keep, parts in (
+        ("i >= 250 and i < 310", lambda r: 250 <= r[0] < 310, 2), ("s = 's3' and x > 600", lambda r: r[1] == "s3" and r[2] > 600, 4), ("s is null", lambda r: r[1] is None, 10), ("i in (5, 905)", lambda r: r[0] in (5, 905), 2), ("not (i < 990)", lambda r: r[0] >= 990, 1),
+        ("s like 's1%'", lambda r: r[1] == "s1", 10), ("length(s) = 2 and i % 2 = 1", lambda r: r[1] and r[0] % 2, 10), ("t > timestamp_ntz'2024-02-01'", lambda r: r[3] > dt.datetime(2024, 2, 1), 10), ("x > 5000", lambda r: False, 0),
+    ):
+        some = df.where(condition)
+        assert sorted(map(tuple, some.collect()), key=lambda r: r[0]) == [r for r in rows if keep(r)], condition
+        assert some.rdd.getNumPartitions() == parts or parts == 0, condition
+    few = spark.read.format("row_groups").options(path=str(tmp_path), columns="x, i").load()
+    assert few.columns == ["x", "i"] and few.agg(F.sum("x")).first()[0] == sum(range(1000))
+
+
+def test_filters_reach_the_source(row_groups, tmp_path):
+    reader = RowGroups({"path": str(tmp_path), "columns": "i"}).reader(None)
+    left = list(reader.pushFilters([EqualTo(("s",), "s3"), GreaterThan(("i",), 5), EqualTo(("a", "b"), 1), Not(EqualTo(("t",), dt.datetime(2024, 1, 1)))]))
+    assert len(left) == 2 and "s3" in str(reader.condition) and "i > 5" in str(reader.condition)
+
+
+def test_row_groups_as_a_stream(spark, row_groups, tmp_path):
+    rows, _ = row_groups
+    stream = spark.readStream.format("row_groups").options(path=str(tmp_path), columns="i", groups="3").load()
+    run = lambda: stream.writeStream.format("parquet").option("path", f"{tmp_path}-out").option("checkpointLocation", f"{tmp_path}-c").start()
+    for _ in range(2):  # the second run goes on where the first ended
+        q = run()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(r.i for r in spark.read.parquet(f"{tmp_path}-out").collect()) == list(range(1000))
