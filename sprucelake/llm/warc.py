@@ -9,9 +9,9 @@ with counts combined before the shuffle (a record's own digest is SHA-1, as its
 equal ones alone make no revisit); payloads move once, to the task that writes them.
 
 Archives are written below a folder in the shared place by tasks: an archive has at most
-ARCHIVE_BYTES (unless one record is larger) and gets its name only when it is whole, so a task
-that is run again writes the same files anew, in place of those that stand there. Tasks are as many
-as the payloads' bytes ask for. Reading goes over the archives with Spark's binary file source, record
+ARCHIVE_BYTES (unless one record is larger) and gets its name only when it is whole, and a task
+that is run again writes the same bytes: what stands there whole stays. Tasks are as many
+as the payloads' bytes ask for; rows that repeat a page and payload very often are dealt to several. Reading goes over the archives with Spark's binary file source, record
 by record; it checks each payload against its digest, and each revisit's length and digest against
 those of the response that it refers to.
 
@@ -45,6 +45,10 @@ TASK_BYTES = 128_000_000
 #: The dictionary's training: so many records, so many bytes of each, and its own size at most.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16_384, 112_640
 LEVEL = 3
+#: Compressed bytes that the reader looks at at a time.
+WINDOW = 16_384
+#: Rows of one page and payload that a task writes, on average.
+COPIES = 10_000
 #: Fixed value: magic number of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
@@ -80,11 +84,16 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("an archive starts with a dictionary frame")
     dictionary = zstandard.ZstdCompressionDict(archive[8 : 8 + size]) if size else None
     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
-    rest = memoryview(archive)[8 + size :]
-    while rest:
-        one = reader.decompressobj()
-        raw = one.decompress(rest)
-        rest = rest[len(rest) - len(one.unused_data) :]
+    place, rest = 8 + size, memoryview(archive)
+    while place < len(rest):
+        one, parts = reader.decompressobj(), []
+        while not one.eof:  # a window at a time, as what is left of the input is copied
+            window = rest[place : place + WINDOW]
+            if not window:
+                raise ValueError("an archive ends inside a record")
+            parts.append(one.decompress(window))
+            place += len(window) - len(one.unused_data)
+        raw = b"".join(parts)
         head, _, body = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         if lines[0] != "WARC/1.1":
@@ -137,16 +146,31 @@ class _Writer:
             self.number += 1
             self.open = io.BytesIO()
 
-
     def _put(self, part: str, name: str) -> None:
-        """Give a whole file its name. An attempt before this one may have left the same file there; some stores refuse to move over it."""
+        """Give a whole file its name. Another attempt may have given it to the same bytes, which then stay where they are."""
+        if self.files.get_file_info(name).type == pyarrow.fs.FileType.File and self._same(part, name):
+            self.files.delete_file(part)
+            return
         try:
             self.files.move(part, name)
-        except OSError:
+        except OSError:  # some stores refuse to move over a file that came meanwhile
             if self.files.get_file_info(name).type != pyarrow.fs.FileType.File:
                 raise
-            self.files.delete_file(name)
-            self.files.move(part, name)
+            if not self._same(part, name):
+                self.files.delete_file(name)
+                self.files.move(part, name)
+            else:
+                self.files.delete_file(part)
+
+    def _same(self, *names: str) -> bool:
+        """Whether two files have the same length and digest."""
+        if len({self.files.get_file_info(n).size for n in names}) > 1:
+            return False
+        digests = set()
+        for n in names:
+            with self.files.open_input_stream(n) as f:
+                digests.add(hashlib.sha256(f.read()).digest())
+        return len(digests) == 1
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -161,12 +185,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     once = written(named.groupBy("page_id", "digest", "bytes").agg(F.count("*").alias("n")), "payloads")
     first = written(once.where(f"bytes >= {REVISIT_BYTES}").groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("n").alias("all")).where("all > 1"), "first")
     plan = written(join_groups(once, first, ["digest"], "all", once.count()).select(F.col("page_id").alias("id"), F.col("digest").alias("own"), F.struct("first").alias("plan")), "revisits")
-    # Of a page's rows with one payload the first is numbered 0; the same task gets them all.
+    # Of a page's rows with one payload the first is numbered 0. One task gets them all, or, if they are many, each of several a lot.
     placed = pages.withColumn("digest", F.unhex(F.sha2("html", 256))).join(small(plan), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left")
     size = once.agg(F.sum(F.col("bytes").cast("long") * F.col("n"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    many = once.where(F.col("n") > COPIES)
+    many = written(many, "many") if many.limit(1).count() else None
     discard(once, first)
-    dealt = placed.select("page_id", "url", "digest", "plan", "html").repartition(tasks, F.coalesce("page_id", F.lit(-1)), "digest").sortWithinPartitions("page_id", "digest")
+    if many is None:
+        placed = placed.withColumn("lot", F.lit(0))
+    else:
+        lots = many.select(F.col("page_id").alias("many_id"), F.col("digest").alias("many_own"), F.ceil(F.col("n") / COPIES).cast("int").alias("lots"))
+        placed = placed.join(small(lots), F.col("page_id").eqNullSafe(F.col("many_id")) & (F.col("digest") == F.col("many_own")), "left")
+        placed = placed.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("lots", F.lit(1))).cast("int"))
+    dealt = placed.select("page_id", "url", "digest", "plan", "lot", "html").repartition(tasks, F.coalesce("page_id", F.lit(-1)), "digest", "lot").sortWithinPartitions("page_id", "digest", "lot", "url")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -176,8 +208,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for batch in small_batches(batches, "html"):
             rows = []
             for r in batch.to_pylist():
-                key = (r["page_id"], r["digest"])
-                before, copy = key, copy + 1 if key == before else 0
+                key = (r["page_id"], r["digest"], r["lot"])
+                before, copy = key, copy + 1 if key == before else r["lot"] << 32
                 payload = r["html"].encode("utf-8", "surrogatepass")
                 refers = None
                 if r["plan"] is not None and (r["plan"]["first"] != r["page_id"] or copy):

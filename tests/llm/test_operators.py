@@ -196,6 +196,37 @@ def test_warc_attempts_again_and_damage(spark, tmp_path, monkeypatch):
         warc.read_archives(spark, f"{tmp_path}/s")
 
 
+def test_warc_reading_takes_time_in_proportion():
+    """Archives of records that don't compress, at 4 and 16 MB."""
+    rng, took = np.random.default_rng(1), []
+    for size in (4_000_000, 16_000_000):
+        made, n = [warc.dictionary_frame(b"")], 0
+        while n < size:
+            made.append(warc.zstandard.compress(warc.record(n, 0, "u", rng.bytes(2000), "", None)))
+            n += len(made[-1])
+        archive, began = b"".join(made), time.process_time()
+        assert sum(1 for _ in warc.read_records(archive)) == len(made) - 1
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.read_records(archive[:-100]))
+
+
+def test_warc_repeated_rows_lie_in_several_tasks(spark, monkeypatch, tmp_path):
+    """Half of all rows are one page: no task writes more than a lot of them, and each has a record of its own."""
+    monkeypatch.setattr(warc, "COPIES", 50)
+    big = "<p>" + "same " * 300
+    rows = [(7, "u", big)] * 600 + [(None, f"v{i % 2}", "") for i in range(300)] + [(i + 10, "w", f"page {i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    index = warc.write_archives(pages, f"file://{tmp_path}/w").collect()
+    tasks = Counter(r["archive"].split("-")[1] for r in index if r["page_id"] == 7)
+    assert tasks.total() == 600 and len(tasks) >= 3
+    out = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert Counter((r["record_type"], r["refers_to"]) for r in out if r["page_id"] == 7) == {("response", None): 1, ("revisit", 7): 599} and len(out) == 1200
+    ids = [h["WARC-Record-ID"] for p in tmp_path.glob("w/*.zst") for h, _ in warc.read_records(p.read_bytes())]
+    assert len(set(ids)) == 1200
+
+
 # 4 SentencePiece
 
 
