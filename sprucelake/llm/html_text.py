@@ -13,11 +13,14 @@ leaves the minimum unchanged, so the flow runs over short stretches of undecided
 Names. A token of class or id speaks against an element if all its words do or mean nothing
 (`comment-list`); with other words (`comments-closed`) it says little, and after a modifier
 (`no-sidebar`) nothing. Evidence against an element that holds the main element, or a heading of first rank
-with sentences or much of the page's text, counts for a quarter: it tells of the page around.
+with sentences or much of the page's text, counts for a quarter: it tells of the page around. So do names of paragraphs and headings inside the main element.
+
+Position. Where a page marks its main element (an article with its heading, else `main` or an article with most of the text), standing outside of it is
+evidence by itself: composed pages have blocks of sentences there whose names mean nothing.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks are
-trimmed and joined in page order by two newlines. Text in scripts, styles, templates, frames, titles,
-lists of choices and fields of forms is no text of the page; all other text is judged.
+trimmed and joined in page order by two newlines. Inline elements never end a block, whatever their names. Text in scripts,
+styles, templates, frames, titles, lists of choices and fields of forms is no text of the page; all other text is judged, whether it is shown or not.
 
 Scanning goes forward only and takes time in proportion to the page, whatever its markup.
 
@@ -47,11 +50,10 @@ SAMPLE_PAGES, RIDGE = 400, 0.5
 
 #: What follows `<`: a name and all up to `>`; a value in quotes may hold `>`. Nothing is gone over twice.
 TAG = re.compile(r"([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?>\"[^\"]*\"|'[^']*')?)*)>")
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Elements whose inside is no text of the page; without an end tag those in the first set end with it.
 TO_THE_END = {"script", "style", "iframe"}
-RAW = TO_THE_END | {"noscript", "template", "textarea", "select", "title"}
+RAW = TO_THE_END | {"template", "textarea", "select", "title"}
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set(
@@ -111,9 +113,7 @@ class Page:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
                 landmark = ROLE.get(value.strip().lower(), landmark)
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and UNSEEN.search(value)):
-                against = 1.0
-            elif key == "class" or (key == "id" and tag != "p" and tag not in HEADINGS):  # those have ids made from what they say
+            elif key == "class" or (tag != "p" and tag not in HEADINGS):  # those have ids made from what they say
                 tokens = value.split()[:50]
                 words = {w.lower() for t in tokens for w in WORD.findall(t)}
                 names_for = max(names_for, float(not words.isdisjoint(NAMES_IN)))
@@ -133,7 +133,6 @@ class Page:
     def _scan(self, page: str) -> None:
         stack, at, scopes = [0], {}, [0]  # open elements; by tag where it stands open; where scopes stand
         text: list[str] = []
-        spans: list[int] = []  # open spans and labels: where the stack has them if they are blocks, else 0
         linked, link, place, lowest, last_depth, size = 0, 0, 0, 1, 1, len(page)
         missing: set[str] = set()
 
@@ -207,21 +206,6 @@ class Page:
                     text.append("\n")
                 elif tag == "a":
                     link = 0 if close else len(stack)
-                elif tag in ("span", "label"):
-                    if close:
-                        if spans and (own := spans.pop()) and own < len(stack) and self.tag[stack[own]] == "x-span":
-                            flush()
-                            pop(own)
-                    else:
-                        # An inline element that is out by its name stands as a block of its own.
-                        apart = bool(attributes.strip()) and self.against[self._new("x-span", attributes, 0)] == 1.0
-                        if attributes.strip():
-                            for column in (self.tag, self.parent, self.landmark, self.against, self.mild, self.names_for):
-                                column.pop()
-                        spans.append(len(stack) if apart else 0)
-                        if apart:
-                            flush()
-                            push("x-span", attributes)
                 continue
             if tag in RAW and not close:
                 end = None if tag in missing else RAW_END[tag].search(page, place)
@@ -263,12 +247,18 @@ class Page:
             head[up] |= head[e]
             marked[up] |= marked[e] and (self.landmark[e] == "main" or head[e])
         # Whether an element holds the main element, an article with its heading, or a heading and sentences below it.
+        plain = [x in MAIN and a < 1 for x, a in zip(self.landmark, self.against, strict=True)]
         holds = [(m and x not in MAIN) or (h and (s > 1 or c > 0.3 * chars[0])) for m, x, h, s, c in zip(marked, self.landmark, head, sentences, chars, strict=True)]
-        rows = np.zeros((n, 10))  # in main, against: landmark, page header, header in main, form, names, a little, mild, names for; open header
+        # The main element: an article with its heading and a sentence, or else with its heading, or else what is marked as main or holds most of the text.
+        headed = [m and x == "article" and h for m, x, h in zip(plain, self.landmark, head, strict=True)]
+        spoken = [h and s > 0 for h, s in zip(headed, sentences, strict=True)]
+        strong = spoken if any(spoken) else headed if any(headed) else [m and (x == "main" or c > 0.5 * chars[0]) for m, x, c in zip(plain, self.landmark, chars, strict=True)]
+        rows = np.zeros((n, 11))  # in main, against: landmark, page header, header in main, form, names, a little, mild, names for; open header; in the main element
         for e in range(1, n):
             own, up = rows[e], rows[self.parent[e]]
             own[:] = up
             mark, weight = self.landmark[e], 0.25 if holds[e] or (head[e] and self.landmark[e] in FORM) else 1.0
+            own[10] = max(own[10], strong[e])
             if mark in MAIN:
                 own[0] = 1
             elif mark in OUT:
@@ -277,7 +267,8 @@ class Page:
                 own[3 if own[0] else 2] = weight
             elif mark in FORM:
                 own[4] = max(own[4], weight)
-            against = self.against[e] * (0.25 if mark == "main" or self.tag[e] in ("body", "html") else weight)
+            inner = own[10] and (self.tag[e] == "p" or self.tag[e] in HEADINGS)
+            against = self.against[e] * (0.25 if mark == "main" or self.tag[e] in ("body", "html") or inner else weight)
             if against == 1.0:
                 own[5] = 1
             elif against:
@@ -285,13 +276,13 @@ class Page:
             own[7] = max(own[7], self.mild[e] * weight)
             own[8] = max(own[8], self.names_for[e])
         at = np.array(self.element, np.int64)
-        around = rows[at] if len(at) else np.empty((0, 10))
-        marks = bool(((around[:, 0] == 1) & (around[:, 1] < 1) & (around[:, 5] < 1)).any())
+        around = rows[at] if len(at) else np.empty((0, 11))
+        marks = bool(((around[:, 10] == 1) & (around[:, 1] < 1) & (around[:, 5] < 1)).any())
         size = np.array([len(t) for t in self.text], float)
         links = np.maximum(0, np.array(self.linked) / np.maximum(size, 1) - 0.4) / 0.6
         tags = [self.tag[e] for e in self.element]
         out = np.column_stack([
-            np.ones(len(at)), around[:, 0], marks * (1 - around[:, 0]), around[:, 1:9], links, np.minimum(size, 200) / 200,
+            np.ones(len(at)), around[:, 0], marks * (1 - around[:, 10]), around[:, 1:9], links, np.minimum(size, 200) / 200,
             stops, [t in HEADINGS for t in tags], [t == "p" for t in tags], [t in ("li", "td", "th", "dd", "dt") for t in tags],
         ])
         return out.astype(float)

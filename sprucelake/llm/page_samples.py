@@ -3,7 +3,8 @@
 A page is put together from parts, each in one of several markups, by a seeded generator: the
 article (by landmark, by name or by neither) and menus, headers, footers, sidebars, notices,
 adverts, forms, lists of links and readers' comments around it or inside it. The text is made of
-random syllables, so that only markup and shape can be learned from it.
+random syllables, so that only markup and shape can be learned from it. Where the main element is marked, the
+names of what stands beside it are random letters on most pages.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ class Composer:
     def __init__(self, seed: int) -> None:
         self.rng = random.Random(seed)
         self.content: set[str] = set()
+        self.nameless = False
+
+    def named(self, name: str) -> str:
+        """The name, or on a page whose names mean nothing a few random letters and digits."""
+        return "".join(self.rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-", k=self.rng.randint(3, 12))) if self.nameless else name
 
     def pick(self, *options: str) -> str:
         return self.rng.choice(options)
@@ -88,23 +94,34 @@ class Composer:
         """A sidebar, notice, advert or list of other articles."""
         names = self.pick("sidebar", "sidebar-left", "widget", "related-posts", "related", "ad", "advert", "ad-slot", "sponsored", "cookie-notice", "cookie-banner", "newsletter", "newsletter-signup", "share", "social-links", "popup", "promo", "popular-posts", "tags", "alert-box")
         inside = self.rng.choice([self.paragraph, self.links, lambda: self.words(2, 12, stops=True), lambda: f"<h3>{self.words(1, 3)}{self.pick('', ':', '!')}</h3>" + self.links(), lambda: f"<h3>{self.words(1, 3)}</h3>" + self.paragraph()])()
-        start, end = self.rng.choice([("<aside>", "</aside>"), (f'<div class="{names}">', "</div>"), (f'<div class="{names}">', "</div>"), (f'<section id="{names}">', "</section>"), (f'<aside class="{names}">', "</aside>")])
+        names = self.named(names)
+        start, end = self.rng.choice([("<aside>", "</aside>")] * (not self.nameless) + [(f'<div class="{names}">', "</div>"), (f'<div class="{names}">', "</div>"), (f'<section id="{names}">', "</section>")] + [(f'<aside class="{names}">', "</aside>")] * (not self.nameless))
         return start + inside + end
 
     def form(self) -> str:
         return f"<form><label>{self.words(1, 3)}</label><input><p>{self.words(3, 20, stops=True)}</p><button>{self.words(1, 2)}</button></form>"
 
     def comments(self) -> str:
-        start, end = self.rng.choice([('<section class="comments">', "</section>"), ('<div id="comments">', "</div>"), ('<div class="comment-list">', "</div>"), ('<ol class="commentlist">', "</ol>")])
-        one, over = self.rng.choice([("<article>", "</article>"), ('<div class="comment-body">', "</div>"), ("<li>", "</li>"), ("<div>", "</div>")])
+        names = self.named("comments"), self.named("comment-list"), self.named("commentlist"), self.named("comment-body")
+        start, end = self.rng.choice([(f'<section class="{names[0]}">', "</section>"), (f'<div id="{names[0]}">', "</div>"), (f'<div class="{names[1]}">', "</div>"), (f'<ol class="{names[2]}">', "</ol>")])
+        one, over = self.rng.choice([("<article>", "</article>"), (f'<div class="{names[3]}">', "</div>"), ("<li>", "</li>"), ("<div>", "</div>"), ("", "")])
         return start + f"<h3>{self.words(1, 3)}{self.pick('', ':')}</h3>" + "".join(one + self.paragraph() * self.rng.randint(1, 2) + over for _ in range(self.rng.randint(1, 9))) + end
 
     def page(self) -> str:
         rng = self.rng
-        body, before, after = self.article(), [], []
+        body, before, after, beside = self.article(), [], [], ""
+        about = self.pick("", "", ' class="post"', ' class="post tag-social category-legal"', ' class="hentry comments-closed"', ' class="related-rates"', ' id="post-17"')
+        starts = [(f"<article{about}>", "</article>"), (f"<article{about}>", "</article>"), ("<main>", "</main>"), (f"<main><article{about}>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"), ('<div class="entry-content">', "</div>"), ('<div class="post-body">', "</div>"), ("<div>", "</div>"), (f"<div{about}>", "</div>"), ("<table><tr><td>", "</td></tr></table>")]
+        start, end = rng.choice(starts[:4] if rng.random() < 0.3 else starts)
+        # What stands beside a marked main element may have any name, or none that means something.
+        marked = start.startswith(("<article", "<main"))
+        self.nameless = marked and rng.random() < 0.6
         for part, chance, places in ((self.header, 0.6, [before]), (self.menu, 0.7, [before, before, after]), (self.apart, 0.6, [before, after]), (self.apart, 0.6, [after]), (self.form, 0.3, [before, after]), (self.comments, 0.4, [after]), (self.footer, 0.8, [after])):
             if rng.random() < chance:
                 rng.choice(places).append(part())
+        if start.startswith("<main><article") and rng.random() < 0.5:
+            beside = rng.choice([self.comments, self.apart])()
+        self.nameless = False  # inside the main element only names tell
         inner = [p() for p, c in ((self.apart, 0.35), (self.form, 0.1), (self.comments, 0.15), (self.footer, 0.05)) if rng.random() < c]
         if inner and rng.random() < 0.5:
             cut = body.find("</p>") + 4
@@ -113,8 +130,8 @@ class Composer:
         if rng.random() < 0.3:
             tag, name = rng.choice([("header", ""), ("header", ' class="entry-header"'), ("div", ' class="article-head"'), ("div", ' class="page-header"')])
             body = f"<{tag}{name}>{body.replace('</h1>', f'</h1></{tag}>', 1)}"
-        about = self.pick("", "", ' class="post"', ' class="post tag-social category-legal"', ' class="hentry comments-closed"', ' class="related-rates"', ' id="post-17"')
-        start, end = rng.choice([(f"<article{about}>", "</article>"), (f"<article{about}>", "</article>"), ("<main>", "</main>"), (f"<main><article{about}>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"), ('<div class="entry-content">', "</div>"), ('<div class="post-body">', "</div>"), ("<div>", "</div>"), (f"<div{about}>", "</div>"), ("<table><tr><td>", "</td></tr></table>")])
+        if beside:
+            end = f"</article>{beside}</main>"
         around = rng.choice([("", ""), ("", ""), ('<div class="content-sidebar-wrap">', "</div>"), ('<div class="social-science">', "</div>"), ('<div id="wrapper">', "</div>"), ("<form>", "</form>")])
         name = self.pick("", "", ' class="no-sidebar"', ' class="right-sidebar"', ' class="has-comments"', ' id="page"')
         return f"<html><head><title>{self.words(1, 5)}</title></head><body{name}>{''.join(before)}{around[0]}{start}{body}{end}{around[1]}{''.join(after)}</body></html>"

@@ -611,6 +611,26 @@ def test_main_text_of_compound_names(start, end):
     assert html_text.main_text(page) == f"Title of it\n\n{SAID}\n\nOn tags\n\n{SAID}"
 
 
+BESIDE = ["x9f3a", "css-1q2w3e", "kommentare", "seitenleiste", "fusszeile", "werbung", "commentaires", "pied-de-page", "comentarios", "publicidad", "feedback-list", "", "zz7", "k-0b1", "lomake", "reklama"]
+
+
+@pytest.mark.parametrize("name", BESIDE)
+def test_main_text_stands_in_its_element(name):
+    """What stands beside a marked main element is left out, whatever it is called."""
+    for inner in (f"<p>{READER}</p>", f"<p>{READER}</p><p>{READER}</p>", READER, f"<h3>Meinungen</h3><p>{READER}</p><div><p>{READER}</p></div>"):
+        other = f'<div class="{name}">{inner}</div>'
+        for tag in ("article", "main"):
+            story = f"<{tag}><h1>Title of it</h1><p>{SAID}</p><p>{SAID}</p></{tag}>"
+            for page in (other + story, story + other, f"<main>{story}{other}</main>" if tag == "article" else f"<div>{story}</div>{other}"):
+                assert html_text.main_text(f"<html><body>{page}</body></html>") == f"Title of it\n\n{SAID}\n\n{SAID}"
+
+
+def test_main_text_keeps_all_of_the_article():
+    page = f"""<article><h1>Title</h1><p>He said <span class="print">a word</span> and <label class="banner">left</label>.</p><p class="alert">Take care, all of you, when this is near.</p>
+<div style="display:none"><p>Hidden words that are of the article, as said.</p></div><p aria-hidden="true">More hidden words, which count.</p><p hidden>{SAID}</p><noscript><p>Words without script, which also count.</p></noscript></article>"""
+    assert html_text.main_text(page).split("\n\n") == ["Title", "He said a word and left.", "Take care, all of you, when this is near.", "Hidden words that are of the article, as said.", "More hidden words, which count.", SAID, "Words without script, which also count."]
+
+
 def test_main_text_drops_no_other_text():
     page = f"<article><h1>Title</h1><p>E = <math><mi>m</mi><mo>c</mo></math> holds, of course.</p><object><p>{SAID}</p></object><script src=/a/>leak, leak.</script><svg><text>{SAID}</text></svg><title>open<p>{SAID}</article>"
     assert html_text.main_text(page) == f"Title\n\nE = mc holds, of course.\n\n{SAID}\n\n{SAID}open\n\n{SAID}"
