@@ -99,10 +99,11 @@ def seed_hashes(h: np.ndarray, seed: str) -> np.ndarray:
 class Block:
     """Some benchmark items, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], least_words: int = 1) -> None:
         memo = WordHashes()
-        hashes = [memo.of(plain_words(t)) for _, t in items]
-        self.ids = np.array([i for i, _ in items], np.int64)
+        hashed = [(i, h) for i, h in ((i, memo.of(plain_words(t))) for i, t in items) if len(h) >= least_words]
+        hashes = [h for _, h in hashed]
+        self.ids = np.array([i for i, _ in hashed], np.int64)
         self.sizes = np.array([len(h) for h in hashes], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.words = np.concatenate([*hashes, np.empty(0, np.uint64)])
@@ -194,8 +195,8 @@ def _copied(block: Block, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, in
     return {k: int(v.sum()) for k, v in found.items()}
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, item_words, copied_words, share): documents that hold a passage of an item, and how much of it."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 1) -> DataFrame:
+    """(doc_id, item_id, item_words, copied_words, share): documents that hold a passage of an item of least_words or more, and how much of it."""
     spark = docs.sparkSession
     few_rows_a_batch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -209,7 +210,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         shared = spark.sparkContext.broadcast(sorted(map(tuple, own)))
 
         def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, memo = Block(shared.value), WordHashes()
+            block, memo = Block(shared.value, least_words), WordHashes()
             for batch in small_batches(batches, "text"):
                 hashes = [memo.of(plain_words(t)) for t in batch.column("text").to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int64)

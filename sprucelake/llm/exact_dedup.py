@@ -1,6 +1,7 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-Method. Documents are dealt to blocks by a hash of their id. Each block sorts the distinct
+Method. Rows that share id and text are combined before anything is dealt, with their number, and rows are dealt to blocks
+by a hash of both, so neither many rows without id nor many of one id fill a block. Each block sorts the distinct
 48-bit fingerprints of its texts and sends every owner (a range of fingerprints) its part,
 Golomb-coded as gaps. An owner merges what it gets and answers each block with a bitmap that
 marks the fingerprints which another block has too. Rows whose fingerprint is marked, or occurs
@@ -32,6 +33,8 @@ FINGERPRINT_BITS = 48
 #: Documents in a block, and the fingerprints that an owner gets, on average; every block writes to
 #: every owner, so beyond MOST_BLOCKS blocks grow instead of getting more.
 BLOCK_ROWS, MOST_BLOCKS = 50_000, 10_000
+#: Copies of one row that a task makes at most.
+COPIES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,17 +93,25 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _suspects(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    """A block's rows and the bitmaps it got -> its rows with `suspect`, and the number of each among rows of one id."""
+    """A block's rows and the bitmaps it got -> its rows with `suspect`."""
     prints, at, counts = np.unique(rows["print"].to_numpy(), return_inverse=True, return_counts=True)
     marks = marks.sort_values("owner")
     bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(marks["bits"], marks["n"], strict=True)]
     marked = np.concatenate([*bits, np.empty(0, np.uint8)]).astype(bool) | (counts > 1) if len(prints) else counts > 1
-    out = rows[["doc_id", "sha"]].copy()
-    out["copy"] = rows.groupby(["doc_id", "sha"], dropna=False).cumcount()
-    out["suspect"] = marked[at]
+    out = rows[["doc_id", "sha", "rows"]].copy()
+    out["suspect"] = marked[at] | (rows["rows"].to_numpy() > 1)
     return out
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Each of rows as often as its column `rows` says, numbered by `copy`; what is very often there is written by several tasks."""
+    first, last = F.lit(0).cast("long"), F.col("rows") - 1
+    if not rows.where(F.col("rows") > COPIES).limit(1).count():
+        return rows.withColumn("copy", F.explode(F.sequence(first, last)))
+    lots = rows.withColumn("lot", F.explode(F.sequence(first, F.floor(last / COPIES)))).repartition("doc_id", "sha", "lot")
+    return lots.withColumn("copy", F.explode(F.sequence(F.col("lot") * COPIES, F.least(last, (F.col("lot") + 1) * COPIES - 1)))).drop("lot")
+
+
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
@@ -109,13 +120,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs."""
     text = normalised(F.col(text_col))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    blocks = max(1, min(MOST_BLOCKS, math.ceil(docs.count() / BLOCK_ROWS)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
-    rows = docs.select(block.alias("block"), "doc_id", F.shiftrightunsigned(F.xxhash64("text"), 64 - FINGERPRINT_BITS).alias("print"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    rows = written(rows, "prints")
+    n = docs.count()
+    blocks = max(1, min(MOST_BLOCKS, math.ceil(n / BLOCK_ROWS)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    prints = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 64 - FINGERPRINT_BITS).alias("print"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    rows = prints.groupBy("doc_id", "print", "sha").agg(F.count("*").alias("rows"))
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(blocks)).cast("int")), "prints")
     coded = rows.select("block", "print").groupBy("block").applyInPandas(_send(blocks), "block int, owner int, base long, n long, low int, code binary")
     marks = coded.groupBy("owner").applyInPandas(_answer, "block int, owner int, n long, bits binary")
-    seen = written(rows.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_suspects, "doc_id long, sha binary, copy long, suspect boolean"), "suspects")
+    seen = written(rows.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_suspects, "doc_id long, sha binary, rows long, suspect boolean"), "suspects")
     discard(rows)
 
     # Suspects' whole texts meet; equal bytes make a group.
@@ -123,7 +135,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     groups = texts.groupBy(F.xxhash64("text").alias("print"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = written(groups.where("group_size > 1").select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"), "groups")
-    out = join_groups(seen, groups, ["sha"], "group_size", seen.count(), "left")
+    out = _copies(written(join_groups(seen, groups, ["sha"], "group_size", n, "left").select("doc_id", "sha", "rows", "keep_id", "group_size"), "grouped"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 0)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -86,12 +86,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a.tobytes() for a in at], pa.binary())], ["doc_id", "label", "at"])
 
     def sequence(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "doc_id", "at"]).drop_duplicates("doc_id")
+        pdf = pdf.sort_values(["turn", "doc_id"])
         weights, bias = ftrl([(np.frombuffer(a, np.int32), y) for a, y in zip(pdf["at"], pdf["label"], strict=True)])
         at = np.flatnonzero(weights)
         return pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "w": [weights[at].tobytes()], "bias": [bias]})
 
     rows = docs.join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, at binary")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("at").alias("at"))  # however many texts an id has, a task sends one on
     fitted = rows.withColumn("turn", F.xxhash64("doc_id", F.lit("turn"))).groupBy(F.lit(0).alias("all")).applyInPandas(sequence, "at binary, w binary, bias double").collect()
     if not fitted:
         return np.empty(0, np.int64), np.empty(0), 0.0

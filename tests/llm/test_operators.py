@@ -358,6 +358,22 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 
 
+def test_exact_groups_of_many_rows_without_id(spark, monkeypatch):
+    """Half of the rows have no id and no text, and an id is repeated: neither fills a block, nor one task with its copies."""
+    monkeypatch.setattr(exact_dedup, "COPIES", 100)
+    sizes = []
+    real = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df, purpose: sizes.append(df.groupBy("block").count().agg(F.max("count")).first()[0]) or real(df, purpose) if purpose == "prints" else real(df, purpose))
+    rows = [(None, "")] * 2000 + [(5, "again and again")] * 700 + [(5, f"other {i}") for i in range(300)] + [(None, f"text {i}") for i in range(600)] + [(i, f"text {i}") for i in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = exact_dedup.exact_groups(docs)
+    assert sizes and sizes[0] < 0.4 * 1300
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out.collect())
+    assert got.total() == len(rows)
+    assert got[None, None, 2000, True] == 1 and got[None, None, 2000, False] == 1999 and got[5, 5, 700, True] == 1 and got[5, 5, 700, False] == 699 and got[5, 5, 1, True] == 300
+    assert sum(n for (i, k, g, _), n in got.items() if i is None and g == 2) == 390 and sum(n for (i, k, g, kept), n in got.items() if i and i >= 10 and kept) == 390
+
+
 # 7 sharding
 
 
