@@ -25,6 +25,8 @@ from sprucelake.session import table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 TOXIC = 0.7
+#: Words of the shortest benchmark item whose presence condemns a document; a shorter one (`yes`) is no passage.
+LEAST_WORDS = 5
 MODEL = "piece_bpe_32k.model"
 
 
@@ -79,8 +81,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @numbered
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item stay."""
-    return all_but(docs, overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    """Documents that hold no passage of a benchmark item of LEAST_WORDS words or more stay."""
+    return all_but(docs, overlaps(docs, table(spark, sf_dir, "benchmark"), least_words=LEAST_WORDS).select("doc_id").distinct(), "leaks")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
