@@ -576,6 +576,13 @@ def test_overlaps_of_short_items(spark):
     assert {(r["doc_id"], r["item_id"]): r["copied_words"] for r in out} == expected
 
 
+def test_overlaps_of_a_least_length(spark):
+    docs = frame(spark, [(1, "yes it is"), (2, "a longer item of benchmark words stands here"), (3, "nothing")])
+    items = spark.createDataFrame([(1, "yes"), (2, "a longer item of benchmark words")], "item_id long, text string")
+    ids = lambda **more: {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, items, **more).collect()}
+    assert ids() == {(1, 1), (2, 2)} and ids(least_words=5) == {(2, 2)} and ids(least_words=9) == set()
+
+
 # 10 HTML
 
 
