@@ -35,8 +35,8 @@ def weighted_mean(value: pd.Series, weight: pd.Series) -> float:
 
 
 def below_best(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How far a group's values are below its best (for applyInPandas; groups must be of bounded size)."""
-    return pdf.assign(below=(pdf["value"].max() - pdf["value"]).round(2))[["event_id", "below"]]
+    """How far values are below the column `best` (for applyInPandas)."""
+    return pdf.assign(below=(pdf["best"] - pdf["value"]).round(2))[["event_id", "below"]]
 
 
 def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,10 +7,14 @@ from pyspark.sql.window import Window as W
 
 from sprucelake.functions import udfs
 from sprucelake.operators.groups import gap_filled, sessions, top_per_group
+from sprucelake.operators.joins import join_small
 from sprucelake.operators.vectors import approximate_nearest, nearest_by_products, vector_index
 from sprucelake.plans.registry import query
 from sprucelake.session import table
 
+#: Rows of a group that Python gets, on average.
+GROUP_ROWS = 100_000
+
 
 @query("""
 SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS r, dense_rank() OVER v AS dr FROM orders
@@ -149,8 +153,11 @@ def udf_aggregate(spark, d):
 
 @query("SELECT event_id, round(max(value) OVER (PARTITION BY user_id) - value, 2) AS below FROM events")
 def udf_grouped_map(spark, d):
-    """A user's events are one group; what has large groups belongs in a window function."""
-    return table(spark, d, "events").select("event_id", "user_id", "value").groupBy("user_id").applyInPandas(udfs.below_best, "event_id long, below double")
+    """Python by groups of bounded size: a user's best is worked out before, and many events of one user lie in several groups."""
+    events = table(spark, d, "events").select("event_id", "user_id", "value")
+    users = events.groupBy("user_id").agg(F.max("value").alias("best"), F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
+    dealt = join_small(events, users, ["user_id"]).withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")))
+    return dealt.groupBy("user_id", "part").applyInPandas(udfs.below_best, "event_id long, below double")
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words FROM documents")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sprucelake.operators.groups import latest
-from sprucelake.session import delete_folder, folders, shared_folder, written
+from sprucelake.session import SCHEMAS, delete_folder, folders, shared_folder, written
 
-SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+SCHEMA = SCHEMAS["events"]
 
 
 def event_stream(spark: SparkSession, sf_dir: str, delay: str = "30 minutes") -> DataFrame:
