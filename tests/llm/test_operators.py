@@ -119,6 +119,7 @@ def test_token_counts_equal_the_library(spark, sf_docs):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     expected = sorted((i or -1, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 100) for i, t in rows)
     assert sorted((r[0] or -1, *tuple(r)[1:]) for r in out) == expected
+    assert token_counts.token_counts(frame(spark, rows).where("false"), MODEL).count() == 0
 
 
 def test_token_counts_random_strings():
