@@ -61,7 +61,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays; of rows that repeat that too, one."""
+    """Of equal texts the one with the largest doc_id stays; of rows that repeat that too, one (which of them, where other columns differ, is not fixed)."""
     own, copy_id, copy_sha, copy_kept = (fresh(docs.columns, name) for name in ("own_sha", "copy_id", "copy_sha", "copy_kept"))
     copies = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
     copies = written(copies.select(F.col("doc_id").alias(copy_id), F.col("text_sha256").alias(copy_sha), F.col("kept").alias(copy_kept)), "copies")
