@@ -103,3 +103,16 @@ def below(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: di
     both = lefts.unionByName(rights, allowMissingColumns=True)
     found = running(both, own, [F.asc_nulls_first("v"), F.asc("side")], {name: ("count", F.col("r.one"))} | {n: ("sum", F.col(f"r.{n}")) for n in sums}, rows)
     return found.where("l is not null").select("l.*", name, *sums)
+
+
+def within(df: DataFrame, by: list[str], on: str, low: Column, name: str = "n", sums: dict[str, str] | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """df with the number of rows of its key from `low` (an expression of the row) to its own `on`, both included, and sums over them.
+
+    A range frame for keys of any size: what is up to the row, less what is below `low`. Rows with a null in `on` or the key count as none.
+    """
+    sums, keys = sums or {}, {k: k for k in by}
+    right = df.select(*by, on, *{*sums.values()} - {*by, on})
+    less = below(df.withColumn("_low", low), right, "_low", on, keys, True, {f"_{n}": c for n, c in sums.items()}, "_n", rows)
+    both = below(less, right, on, on, keys, False, {f"_all_{n}": c for n, c in sums.items()}, "_all", rows)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(*df.columns, (F.col("_all") - F.col("_n")).alias(name), *[(zero(F.col(f"_all_{n}")) - zero(F.col(f"_{n}"))).alias(n) for n in sums])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sprucelake.operators.joins import asof_join
-from sprucelake.operators.ordered import below, framed, numbered_in_key, running
+from sprucelake.operators.ordered import below, framed, numbered_in_key, running, within
 from sprucelake.operators.percentiles import percentiles
 from sprucelake.operators.sketches import count_min, estimates, heavy_hitters, merged, overcount
 from sprucelake.plans.registry import query
@@ -63,6 +63,15 @@ def window_frame_hot_key(spark, d):
     return framed(hot_events(spark, d), ["k"], [F.asc("ts")], 2, 1, made, rows=1000).select("event_id", "near", "before", "after")
 
 
+@query(f"""
+WITH e AS ({HOT}) SELECT event_id, count(*) OVER w AS day, round(sum(value) OVER w, 2) AS total FROM e
+WINDOW w AS (PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""")
+def window_interval_hot_key(spark, d):
+    """A day's frame before each event, as the difference of two running counts."""
+    out = within(hot_events(spark, d), ["k"], "ts", F.col("ts") - F.expr("interval 1 day"), "day", {"total": "value"})
+    return out.select("event_id", "day", F.round("total", 2).alias("total"))
+
+
 @query(f"WITH e AS ({HOT}) SELECT event_id, row_number() OVER (PARTITION BY k ORDER BY value DESC, event_id)::BIGINT AS place FROM e")
 def window_place_hot_key(spark, d):
     return numbered_in_key(hot_events(spark, d), ["k"], [F.desc("value"), F.asc("event_id")]).select("event_id", (F.col("place") + 1).alias("place"))

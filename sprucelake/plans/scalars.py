@@ -62,6 +62,14 @@ def array_functions(spark, d):
         F.array_contains(x, F.lit(3).cast("long")).alias("has3"), F.slice(x, 2, 2).alias("mid"), F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")).alias("seq"), F.array_join(x.cast("array<string>"), "-").alias("joined"), F.flatten(F.array(x, F.array(F.lit(0).cast("long")))).alias("flat"), F.sort_array(x).alias("sorted"))
 
 
+@query("""
+SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) AS cap, coalesce(list_position(string_split(c_name, '#'), right(c_name, 9)), 0)::BIGINT AS place,
+  coalesce(list_position([c_nationkey, 3, 7], 7), 0)::BIGINT AS seven FROM customer""")
+def initcap_and_places(spark, d):
+    parts = F.split("c_name", "#")
+    return table(spark, d, "customer").select("c_custkey", F.initcap("c_mktsegment").alias("cap"), F.array_position(parts, F.right("c_name", F.lit(9))).alias("place"), F.array_position(F.array("c_nationkey", F.lit(3), F.lit(7)), F.lit(7)).alias("seven"))
+
+
 @query("SELECT item_id, i - 1 AS place, w AS word FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark)")
 def explode_with_place(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("place", "word")).withColumn("place", F.col("place").cast("long"))

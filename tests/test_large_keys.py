@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sprucelake.operators import inverted
 from sprucelake.operators.joins import asof_join
-from sprucelake.operators.ordered import below, chunked, framed, hot_keys, numbered_in_key, running
+from sprucelake.operators.ordered import below, chunked, framed, hot_keys, numbered_in_key, running, within
 from sprucelake.operators.percentiles import percentiles
 from sprucelake.operators.sketches import count_min, estimates, heavy_hitters, merged, overcount
 from sprucelake.operators.vectors import approximate_nearest, calibrated, nearest, nearest_by_products, vector_index
@@ -110,6 +110,15 @@ def test_below_equals_a_nested_loop(spark, strict, size):
     assert below(a.where("false"), b, "v", "w").count() == 0
 
 
+@pytest.mark.parametrize("size", [11, 10_000])
+def test_within_equals_a_nested_loop(keyed, size):
+    rows, df = keyed
+    out = {r.i: (r.near, r.total) for r in within(df, ["k"], "t", F.col("t") - 5, "near", {"total": "v"}, size).collect()}
+    for i, k, t, _ in rows:
+        hit = [v for _, q, u, v in rows if q == k and k is not None and t - 5 <= u <= t]
+        assert out[i] == (len(hit), pytest.approx(sum(v for v in hit if v is not None)))
+
+
 def test_percentiles_by_selection(spark):
     rng = random.Random(1)
     groups = {"even": [rng.uniform(0, 1) for _ in range(900)], "ties": [float(rng.choice([1, 1, 1, 2, 9])) for _ in range(700)], "one": [4.0] * 500, "far": [10.0 ** rng.uniform(-200, 200) * rng.choice([-1, 1]) for _ in range(600)], "few": [3.0, 1.0], None: [rng.gauss(0, 1) for _ in range(400)]}
