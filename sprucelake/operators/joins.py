@@ -31,9 +31,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     both = lefts.unionByName(rights, allowMissingColumns=True)
     carried = lambda rows: rows.withColumn("last", F.last("r", ignorenulls=True).over(w))
-    hot = hot_keys(both.select(*keys), keys, hot_rows)
-    if hot.limit(1).count():
-        hot = F.broadcast(hot)  # fewer than HOT_SHARE keys
+    largest = both.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > hot_rows:
+        hot = F.broadcast(hot_keys(both.select(*keys), keys, hot_rows))  # fewer than HOT_SHARE keys
         same = [both[k].eqNullSafe(hot[k]) for k in keys]
         split = running(both.join(hot, same, "left_semi"), keys, order, {"last": ("last", F.col("r"))})
         both = carried(both.join(hot, same, "left_anti")).unionByName(split).where("side = 1")
