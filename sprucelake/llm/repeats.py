@@ -14,9 +14,11 @@ the K-byte string of least hash inside them, at the same place. So the windows a
 minimizer: those that share one meet, and each group of minimizers sorts the suffixes of its own
 stretches of text. Only minimizers that occur in several documents are dealt: first every parcel
 of documents sends its distinct minimizers, Golomb-coded, to owners, which answer with those that
-another document has too. A minimizer at very many places (a line on every page) is dealt by
-whole windows instead, so no group grows with what stands around it, and what repeats inside a
-parcel is settled there and not sent.
+another document has too. Of a minimizer that a parcel has often, the owner gets one entry from that
+parcel, however many places it has there: these wait in a row of the parcel's own for the answer. A
+minimizer at very many places (a line on every page) is dealt by whole windows, so that no group to
+sort grows with what stands around it, and what repeats inside a parcel is settled there and not
+sent. So what an owner or a group holds for one string grows with the parcels that have it.
 
 Defined results: null and empty texts and texts below LENGTH bytes lose nothing; equal texts of
 larger id go whole, rows that repeat an id never count against each other; rows with a null id
@@ -52,6 +54,8 @@ PARCEL = 3_000_000
 OWNER_ENTRIES, MOST_OWNERS, GROUP_BYTES = 1_000_000, 100_000, 3_000_000
 #: A minimizer at so many places is dealt by windows.
 HOT = 5000
+#: Of a minimizer at so many places of a parcel, only the number of places is sent.
+STAY = 4
 
 
 def _key(*columns: np.ndarray) -> np.ndarray:
@@ -228,37 +232,48 @@ def _wide(x: bytes, n: int) -> np.ndarray:
 
 
 def _announce(owners: int):
-    """Parcels -> for each owner the parcel's distinct minimizers, and where each is."""
+    """Parcels -> for each owner the parcel's distinct minimizers, and for the parcel itself the places of those that it has often."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, p in parcels(batches):
             order = np.argsort(p.hash)
             h, doc, ordinal = p.hash[order], p.doc[order], p.ordinal[order]
-            heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else order
+            if not len(h):
+                continue
+            heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             members = np.diff(np.r_[heads, len(h)])
+            several = np.maximum.reduceat(doc, heads) != np.minimum.reduceat(doc, heads)
+            stays = members >= STAY
+            here = np.repeat(stays, members)
             owner = h[heads] * owners >> BITS
             cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
-            rows = []
+            rows = [(p.number, -1 - p.number, 0, int(stays.sum()), int(here.sum()), 0, h[heads[stays]].tobytes(), _narrow(members[stays]), b"", p.ids.tobytes(), p.names.tobytes(), _narrow(doc[here]), _narrow(ordinal[here]))]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 o = int(owner[i])
                 base = -(-(o << BITS) // owners)
                 code, low = golomb_encode(h[heads[i:j]] - base, (1 << BITS) // owners + 1)
                 a, b = heads[i], heads[j] if j < len(heads) else len(h)
-                # One of the owners hands the parcel's ids and names back.
-                whose = (b"", b"") if rows else (p.ids.tobytes(), p.names.tobytes())
-                rows.append((p.number, o, base, j - i, b - a, low, code, _narrow(members[i:j]), *whose, _narrow(doc[a:b]), _narrow(ordinal[a:b])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANNOUNCED.values(), strict=True)], list(ANNOUNCED))
+                sent = a + np.flatnonzero(~here[a:b])
+                rows.append((p.number, o, base, j - i, len(sent), low, code, _narrow(members[i:j]), np.packbits(several[i:j][stays[i:j]]).tobytes(), b"", b"", _narrow(doc[sent]), _narrow(ordinal[sent])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANNOUNCED.values(), strict=True)], list(ANNOUNCED))
 
     return work
 
 
-ANNOUNCED = {"parcel": pa.int64(), "owner": pa.int32(), "base": pa.int64(), "n": pa.int64(), "total": pa.int64(), "low": pa.int32(), "code": pa.binary(), "members": pa.binary(), "ids": pa.binary(), "names": pa.binary(), "doc": pa.binary(), "ordinal": pa.binary()}
-ANNOUNCED_SQL = "parcel long, owner int, base long, n long, total long, low int, code binary, members binary, ids binary, names binary, doc binary, ordinal binary"
+#: owner below 0: a parcel's own row, whose code is its frequent minimizers' names as they are.
+ANNOUNCED = {"parcel": pa.int64(), "owner": pa.int64(), "base": pa.int64(), "n": pa.int64(), "total": pa.int64(), "low": pa.int32(), "code": pa.binary(), "members": pa.binary(), "several": pa.binary(), "ids": pa.binary(), "names": pa.binary(), "doc": pa.binary(), "ordinal": pa.binary()}
+ANNOUNCED_SQL = "parcel long, owner long, base long, n long, total long, low int, code binary, members binary, several binary, ids binary, names binary, doc binary, ordinal binary"
+ANSWERED_SQL = "parcel long, own boolean, n long, total long, code binary, members binary, ids binary, names binary, doc binary, ordinal binary, hot binary"
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An owner's lists -> to each parcel which of its minimizers another document has too, and which are hot."""
+    """An owner's lists -> to each parcel which of its minimizers another document has too, and which are hot.
+
+    Places that were sent come back (doc, ordinal), of minimizers whose places stayed the names (code); `hot` has a
+    bit for each place and then for each name. A parcel's own row goes on as it is.
+    """
+    if pdf["owner"].iloc[0] < 0:
+        return pdf.assign(own=True, hot=b"")[ANSWERED]
     lists = [golomb_decode(c, n, low) for c, n, low in zip(pdf["code"], pdf["n"], pdf["low"], strict=True)]
     merged, group = np.unique(np.concatenate(lists), return_inverse=True)
     sent = np.bincount(group, minlength=len(merged))
@@ -269,21 +284,42 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         own = group[done : done + r.n]
         done += r.n
         doc, ordinal = _wide(r.doc, r.total), _wide(r.ordinal, r.total)
-        heads = np.cumsum(m) - m
-        several = np.maximum.reduceat(doc, heads) != np.minimum.reduceat(doc, heads)
-        shared, hot = np.repeat((sent[own] > 1) | several, m), np.repeat(total[own] >= HOT, m)
-        if shared.any() or len(r.ids):
-            rows.append((r.parcel, r.ids, r.names, doc[shared].astype(np.uint32).tobytes(), ordinal[shared].astype(np.uint32).tobytes(), np.packbits(hot[shared]).tobytes()))
-    return pd.DataFrame(rows, columns=["parcel", "ids", "names", "doc", "ordinal", "hot"])
+        few = m < STAY
+        several = np.empty(r.n, bool)
+        several[~few] = np.unpackbits(np.frombuffer(r.several, np.uint8), count=int((~few).sum()))
+        if few.any():
+            heads = np.cumsum(m[few]) - m[few]
+            several[few] = np.maximum.reduceat(doc, heads) != np.minimum.reduceat(doc, heads)
+        shared, hot = (sent[own] > 1) | several, total[own] >= HOT
+        if shared.any():
+            places, names = np.repeat(shared[few], m[few]), shared & ~few
+            bits = np.r_[np.repeat(hot[few], m[few])[places], hot[names]]
+            rows.append((r.parcel, False, int(names.sum()), int(places.sum()), (merged[own[names]] + r.base).tobytes(), b"", b"", b"", _narrow(doc[places]), _narrow(ordinal[places]), np.packbits(bits).tobytes()))
+    return pd.DataFrame(rows, columns=ANSWERED)
+
+
+ANSWERED = [c.split()[0] for c in ANSWERED_SQL.split(", ")]
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All answers to one parcel -> (id, name, number and ordinals of shared minimizers, those of hot ones) of its documents."""
-    doc, ordinal = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("doc", "ordinal"))
-    hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(d) // 4) for x, d in zip(pdf["hot"], pdf["doc"], strict=True)]).astype(bool)
-    ids, names = (np.frombuffer(max(pdf[c], key=len), np.int64) for c in ("ids", "names"))
+    """All answers to one parcel and its own row -> (id, name, number and ordinals of shared minimizers, those of hot ones) of its documents."""
+    doc, ordinal, hot, shared, warm = ([np.empty(0, t)] for t in (np.int64, np.int64, bool, np.int64, bool))
+    for r in pdf[~pdf["own"]].itertuples():
+        bits = np.unpackbits(np.frombuffer(r.hot, np.uint8), count=r.total + r.n).astype(bool)
+        for x, y in ((doc, _wide(r.doc, r.total)), (ordinal, _wide(r.ordinal, r.total)), (hot, bits[: r.total]), (shared, np.frombuffer(r.code, np.int64)), (warm, bits[r.total :])):
+            x.append(y)
+    name, first = np.unique(np.concatenate(shared), return_index=True)
+    is_warm = np.concatenate(warm)[first]
+    mine = pdf[pdf["own"]]
+    for r in mine.itertuples():
+        h = np.repeat(np.frombuffer(r.code, np.int64), _wide(r.members, r.n))
+        found = np.isin(h, name)
+        for x, y in ((doc, _wide(r.doc, r.total)[found]), (ordinal, _wide(r.ordinal, r.total)[found]), (hot, is_warm[np.searchsorted(name, h[found])])):
+            x.append(y)
+    doc, ordinal, hot = (np.concatenate(x) for x in (doc, ordinal, hot))
+    ids, names = (np.frombuffer(mine[c].iloc[0], np.int64) for c in ("ids", "names"))
     order = np.lexsort((ordinal, doc))
-    doc, ordinal, hot = doc[order], ordinal[order], hot[order]
+    doc, ordinal, hot = doc[order], ordinal[order].astype(np.uint32), hot[order]
     cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, np.int64)
     rows = [(ids[doc[i]], names[doc[i]], j - i, ordinal[i:j].tobytes(), ordinal[i:j][hot[i:j]].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     return pd.DataFrame(rows, columns=["doc_id", "name", "n", "shared", "hot"])
@@ -439,7 +475,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     owners = min(MOST_OWNERS, int(size * 2 / (LENGTH - K + 2) / OWNER_ENTRIES) + 1)
     announced = once.mapInArrow(_announce(owners), ANNOUNCED_SQL)
-    answers = announced.groupBy("owner").applyInPandas(_answer, "parcel long, ids binary, names binary, doc binary, ordinal binary, hot binary")
+    answers = announced.groupBy("owner").applyInPandas(_answer, ANSWERED_SQL)
     told = written(answers.groupBy("parcel").applyInPandas(_by_document, "doc_id long, name long, n long, shared binary, hot binary"), "told")
     by_doc = told.groupBy("doc_id", "name").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
     shared = told.agg(F.sum("n")).first()[0] or 0

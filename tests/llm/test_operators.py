@@ -10,7 +10,9 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -330,6 +332,27 @@ def test_repeats(spark, sf_docs, monkeypatch, hot, parcel):
     assert sorted((r[0] or -1, *tuple(r)[1:]) for r in out) == removed(rows)
 
 
+@pytest.mark.parametrize("rare", ["", "{0} is of its own and of no other text, {1}, with as many words as the line that all have"])
+def test_an_owner_of_a_line_on_many_documents(rare):
+    """What an owner holds for a line grows with parcels, not with the places in a parcel; all its places come back."""
+    line, held = "This line of more than fifty bytes stands in very many documents, as it happens. ", []
+    for n in (500, 1000):
+        columns = [{"doc_id": list(range(k, 2 * n, 2)), "name": [7] * n, "text": [line + rare.format(i, i * 7919) for i in range(k, 2 * n, 2)]} for k in range(2)]
+        batches = [pa.RecordBatch.from_pydict(c) for c in columns]
+        announced = pd.concat([b.to_pandas() for b in repeats._announce(1)(batches)])
+        owner = announced[announced["owner"] == 0]
+        held.append(sum(len(r.doc) + len(r.ordinal) + len(r.members) + len(r.code) for r in owner.itertuples()))
+        answers = pd.concat([repeats._answer(g) for _, g in announced.groupby("owner")])
+        told = pd.concat([repeats._by_document(g) for _, g in answers.groupby("parcel")])
+        parcels, docs_of = [p for _, p in repeats.parcels(batches)], defaultdict(set)
+        for p in parcels:
+            for d, h in zip(p.ids[p.doc].tolist(), p.hash.tolist(), strict=True):
+                docs_of[h].add(d)
+        wanted = {(d, o) for p in parcels for d, o, h in zip(p.ids[p.doc].tolist(), p.ordinal.tolist(), p.hash.tolist(), strict=True) if len(docs_of[h]) > 1}
+        assert {(r.doc_id, o) for r in told.itertuples() for o in np.frombuffer(r.shared, np.uint32).tolist()} == wanted and wanted
+    assert rare or held[1] <= held[0] + 8
+
+
 def test_repeats_empty(spark):
     assert repeats.without_repeats(frame(spark, [])).count() == 0
     assert [tuple(r)[1:4] for r in repeats.without_repeats(frame(spark, [(1, None), (2, "")])).collect()] == [(0, 0, 0)] * 2
