@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, few_rows_a_batch, mix, slices, small_batches, written
+from sprucelake.llm.common import MEMO_WORDS, WordHashes, few_rows_a_batch, mix, slices, small_batches, written
 
 #: Fixed masks: 1 takes the word at that place.
 SEEDS = ("11101011", "11001111")
@@ -44,6 +44,9 @@ BLOCK_BYTES = 8_000_000
 HITS = 200_000
 
 APART = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes([32]) * 128
+APART_KEEP = APART[:128] + bytes(range(128, 256))
+#: Longer runs are not remembered.
+MEMO_BYTES = 64
 #: Code points of scripts written without spaces: Thai and Lao, Myanmar, Khmer, Tai Le to New Tai Lue, kana, Han.
 UNSPACED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
 
@@ -70,13 +73,34 @@ def _words_pattern() -> re.Pattern[str]:
 WORDS = _words_pattern()
 
 
+class _Pieces(dict):
+    """A run of bytes without ASCII but letters and digits -> the words in it, filled as runs come and emptied when it gets large."""
+
+    def __missing__(self, run: bytes) -> list[bytes]:
+        found = [w.encode("utf-8", "surrogatepass") for w in WORDS.findall(run.decode("utf-8", "surrogatepass"))]
+        if len(run) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[run] = found
+        return found
+
+
+_pieces = _Pieces()
+
+
 def plain_words(text: str | None) -> list[bytes]:
     if not text:
         return []
     if text.isascii():
         return text.encode().lower().translate(APART).split()
-    text = unicodedata.normalize("NFC", text).lower()
-    return [w.encode("utf-8", "surrogatepass") for w in WORDS.findall(text)]
+    # No word goes across ASCII other than letters and digits, so the pattern sees each run between once.
+    out: list[bytes] = []
+    for run in unicodedata.normalize("NFC", text).lower().encode("utf-8", "surrogatepass").translate(APART_KEEP).split():
+        if run.isascii():
+            out.append(run)
+        else:
+            out += _pieces[run]
+    return out
 
 
 def short_pieces(n: int) -> list[tuple[int, int]]:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -353,6 +354,18 @@ def test_an_owner_of_a_line_on_many_documents(rare):
     assert rare or held[1] <= held[0] + 8
 
 
+def test_words_of_any_script():
+    """Words by runs between ASCII marks are the words that the pattern finds in the whole text."""
+    def whole(text):
+        return [w.encode("utf-8", "surrogatepass") for w in decontaminate.WORDS.findall(unicodedata.normalize("NFC", text).lower())]
+
+    rng, signs = random.Random(5), "aB9 -'.\t\x1c\n_éÉßİΣςσ\u0301\u0308\u200d\u00a0\u3000ทำ\u0e48漢字かナ한글אبहि\u093f\u212a½²Ⅷ𝔘😀\ud800\U000e0100\u0085\u2028"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(20_000)] + ["é" * 1000 + "x" * 10, "\u0301", "é", "ΑΣ'Β ΑΣ. Β"]
+    for text in texts:
+        if not text.isascii():
+            assert decontaminate.plain_words(text) == whole(text), ascii(text)
+
+
 def test_repeats_empty(spark):
     assert repeats.without_repeats(frame(spark, [])).count() == 0
     assert [tuple(r)[1:4] for r in repeats.without_repeats(frame(spark, [(1, None), (2, "")])).collect()] == [(0, 0, 0)] * 2
