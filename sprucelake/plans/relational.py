@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from sprucelake.operators.groups import latest, numbered, top_per_group, two_step
 from sprucelake.operators.joins import asof_join, band_join, join_small, salted_join
 from sprucelake.plans.registry import query
-from sprucelake.session import shared_folder, table
+from sprucelake.session import shared_folder, table, written
 from sprucelake.sources import jdbc
 from sprucelake.sources.calendar import Calendar
 from sprucelake.sources.files import read, round_trip, write
@@ -315,15 +315,35 @@ def sketches(spark, d):
 @query("SELECT l_returnflag, true AS parts, true AS hll, true AS theta, true AS mid, true AS kll, true AS kll_rank FROM lineitem GROUP BY 1")
 def sketch_bounds(spark, d):
     """Whether each sketch is within its bound of the exact figure: 3 % of counts, 1 % of ranks."""
-    rows, price = table(spark, d, "lineitem").groupBy("l_returnflag"), F.col("l_extendedprice")
-    found = rows.agg(
-        F.countDistinct("l_partkey").alias("n_parts"), F.countDistinct("l_orderkey").alias("n_orders"), F.countDistinct("l_suppkey").alias("n_suppliers"), F.percentile(price, F.array(F.lit(0.49), F.lit(0.51))).alias("around"), F.avg((price <= 50000).cast("double")).alias("below"),
+    return sketches_checked(table(spark, d, "lineitem"))
+
+
+def sketches_checked(rows: DataFrame) -> DataFrame:
+    """For each l_returnflag whether the sketches of rows (of lineitem) are within their bounds.
+
+    Keys are made distinct one column at a time and without sketches beside them: in one aggregate every combination of keys would have sketches of its own.
+    Of percentiles only ranks are asked for, so a second pass counts the rows below the sketches' answers and nothing is sorted.
+    """
+    price, none = F.col("l_extendedprice"), F.lit(None).cast("long")
+    sketched = rows.groupBy("l_returnflag").agg(
         F.approx_count_distinct("l_partkey", 0.01).alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", F.lit(14))).alias("hll"), F.theta_sketch_estimate(F.theta_sketch_agg("l_suppkey")).alias("theta"),
-        F.approx_percentile("l_extendedprice", 0.5, 10000).alias("mid"), F.kll_sketch_agg_double("l_extendedprice", F.lit(400)).alias("kll"))
-    near = lambda a, b: F.abs(F.col(a) / F.col(b) - 1) <= 0.03
-    between = lambda c: (c >= F.col("around")[0]) & (c <= F.col("around")[1])
-    quantile = F.kll_sketch_get_quantile_double("kll", F.lit(0.5))
-    return found.select("l_returnflag", near("parts", "n_parts").alias("parts"), near("hll", "n_orders").alias("hll"), near("theta", "n_suppliers").alias("theta"), between(F.col("mid")).alias("mid"), between(quantile).alias("kll"), (F.abs(F.kll_sketch_get_rank_double("kll", F.lit(50000.0)) - F.col("below")) <= 0.01).alias("kll_rank"))
+        F.approx_percentile(price, 0.5, 10000).alias("mid"), F.kll_sketch_agg_double(price, F.lit(400)).alias("kll"))
+    sketched = sketched.withColumn("q", F.kll_sketch_get_quantile_double("kll", F.lit(0.5))).withColumn("kll_rank", F.kll_sketch_get_rank_double("kll", F.lit(50000.0))).drop("kll")
+    sketched = written(sketched.withColumnRenamed("l_returnflag", "flag"), "sketched")  # a row for each flag
+    n, mid, q = F.count(price), F.col("mid"), F.col("q")
+    figures = {"n_price": n, "upto_mid": F.count_if(price <= mid), "under_mid": F.count_if(price < mid), "upto_q": F.count_if(price <= q), "under_q": F.count_if(price < q), "low": F.count_if(price <= 50000)}
+    ranks = rows.join(F.broadcast(sketched.select("flag", "mid", "q")), F.col("l_returnflag").eqNullSafe(F.col("flag"))).groupBy("flag").agg(*[c.alias(x) for x, c in figures.items()])
+    keys = {"n_parts": "l_partkey", "n_orders": "l_orderkey", "n_suppliers": "l_suppkey"}
+    counts = [rows.select(F.col("l_returnflag").alias("flag"), k).where(F.col(k).isNotNull()).distinct().groupBy("flag").agg(F.count(k).alias(x)) for x, k in keys.items()]
+    parts = [part.select("flag", *[F.col(x) if x in part.columns else none.alias(x) for x in (*figures, *keys)]) for part in (ranks, *counts)]
+    exact = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy(F.col("flag").alias("l_returnflag")).agg(*[F.coalesce(F.max(x), F.lit(0)).alias(x) for x in (*figures, *keys)])
+    found = exact.join(F.broadcast(sketched), F.col("l_returnflag").eqNullSafe(F.col("flag")))
+    near = lambda a, b: F.abs(F.col(a) / F.nullif(F.col(b), F.lit(0)) - 1) <= 0.03
+    # A value of the rows lies between two percentiles if the ranks (from 0) that it takes do.
+    place = lambda share: (F.col("n_price") - 1) * share
+    between = lambda x: F.when(F.col(x).isNotNull(), (F.col(f"upto_{x}") > F.ceil(place(0.49))) & (F.col(f"under_{x}") <= F.floor(place(0.51))))
+    below = F.col("low") / F.nullif(F.col("n_price"), F.lit(0))
+    return found.select("l_returnflag", near("parts", "n_parts").alias("parts"), near("hll", "n_orders").alias("hll"), near("theta", "n_suppliers").alias("theta"), between("mid").alias("mid"), between("q").alias("kll"), (F.abs(F.col("kll_rank") - below) <= 0.01).alias("kll_rank"))
 
 
 @query("SELECT true AS share, true AS subset")

@@ -14,6 +14,7 @@ from __spark_entry__ import queries
 from sprucelake.operators.groups import gap_filled, sessions, top_per_group, two_step
 from sprucelake.operators.joins import asof_join, band_join, join_small, salted_join
 from sprucelake.operators.vectors import nearest, nearest_in_blocks
+from sprucelake.plans.relational import sketches_checked
 from sprucelake.plans.streams import rocks_db
 from sprucelake.sources.row_groups import RowGroups, push_filters
 from sprucelake.streaming import events as E
@@ -256,3 +257,13 @@ def test_row_groups_as_a_stream(spark, row_groups, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert sorted(r.i for r in spark.read.parquet(f"{tmp_path}-out").collect()) == list(range(1000))
+
+
+def test_sketch_bounds_of_nulls_and_any_number_of_keys(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["A", "B", None]), rng.randint(0, 400), rng.choice([None, *range(50)]), i // 3, rng.choice([None, 7.0, 50000.0, 1e5 * rng.random()])) for i in range(3000)]
+    out = sketches_checked(spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_suppkey long, l_orderkey long, l_extendedprice double"))
+    assert {tuple(r) for r in out.collect()} == {(flag, *[True] * 6) for flag in ("A", "B", None)}
+    # No aggregate has a copy of each row for each kind of key, with sketches for all their combinations.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "percentile(" not in plan
