@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 
 from sprucelake.session import delete_folder, shared_folder, written
 
-__all__ = ["WordHashes", "components", "discard", "few_rows_a_batch", "fresh", "join_groups", "lower_words", "mix", "quoted", "shared_folder", "shingles", "slices", "small", "small_batches", "written"]
+__all__ = ["WordHashes", "components", "discard", "few_rows_a_batch", "fresh", "give_back", "join_groups", "lower_words", "mix", "quoted", "shared_folder", "shingles", "slices", "small", "small_batches", "tidy", "written"]
 
 #: Keys that more than one of so many rows have are at most so many: they are broadcast in join_groups.
 HOT_SHARE = 10_000
 #: A worker's memo of words is emptied at this size.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +83,24 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system: a worker outlives its tasks, and what its allocators keep adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work (for mapInArrow), after whose last batch a task gives back what it no longer uses."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def few_rows_a_batch(spark: SparkSession, most: int = 1000) -> None:
     """Lower the session's rows in an Arrow batch to `most`, as texts are large.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import MEMO_WORDS, WordHashes, few_rows_a_batch, mix, slices, small_batches, written
+from sprucelake.llm.common import MEMO_WORDS, WordHashes, few_rows_a_batch, mix, slices, small_batches, tidy, written
 
 #: Fixed masks: 1 takes the word at that place.
 SEEDS = ("11101011", "11001111")
@@ -243,7 +243,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "item_words", "copied_words"])
 
-        parts.append(docs.mapInArrow(work, schema))
+        parts.append(docs.mapInArrow(tidy(work), schema))
         if blocks > 1:  # this block leaves the executors before the next one comes
             parts[-1] = written(parts[-1], "overlaps")
             shared.destroy()

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, components, discard, few_rows_a_batch, join_groups, lower_words, mix, shingles, small, small_batches, written
+from sprucelake.llm.common import WordHashes, components, discard, few_rows_a_batch, join_groups, lower_words, mix, shingles, small, small_batches, tidy, written
 
 #: Members of a block: of a bucket's members that meet one copy of its hub's set, or its rest.
 BLOCK = 500
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1_000_000):
             sets = _sets(batch.column("text").to_pylist(), k, memo)
             n = np.array([len(s) for s in sets], np.int64)
             sig = superminhash(np.concatenate([*sets, np.empty(0, np.uint64)]), n, bands * rows).reshape(len(sets), bands, rows)
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "n", "key", "bands"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n long, key binary, bands array<long>")
+    return docs.mapInArrow(tidy(work), "doc_id long, n long, key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -112,13 +112,13 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in small_batches(batches, "text", 2_000_000):
+        for batch in small_batches(batches, "text", 1_000_000):
             sets = _sets(batch.column("text").to_pylist(), k, memo)
             ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
             values = pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "s"])
 
-    return docs.mapInArrow(work, "doc_id long, s array<long>")
+    return docs.mapInArrow(tidy(work), "doc_id long, s array<long>")
 
 
 def _block_links(percent: int):

@@ -35,11 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from sprucelake.llm.common import few_rows_a_batch, fresh, quoted, small_batches
+from sprucelake.llm.common import few_rows_a_batch, fresh, quoted, small_batches, tidy
 
 MARK = "▁"
 #: Parts of texts that a worker remembers; it starts afresh beyond.
-MEMO = 400_000
+MEMO = 100_000
 #: Characters that a sweep goes over at once.
 SWEEP_CHARS = 60_000
 UNKNOWN_LOSS = 10.0
@@ -375,7 +375,7 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id"
             pieces = {"ids": _lists([f[0][1] for f in found]), "n_pieces": sizes.take(best), "score": scores.take(best), "ids_sha256": digests.take(best), "n_best": n_best, "back": pa.array(back, pa.bool_())}
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], _structs(pieces)], [f.name for f in result])
 
-    out = rows.mapInArrow(work, result)
+    out = rows.mapInArrow(tidy(work), result)
     if carry:
         return out.toDF(*[f.name for f in fields], own)
     return out.select(F.col("c0").alias("doc_id"), "pieces.*")

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sprucelake.llm.common import WordHashes, few_rows_a_batch, mix, small_batches
+from sprucelake.llm.common import WordHashes, few_rows_a_batch, give_back, mix, small_batches, tidy
 from sprucelake.llm.decontaminate import plain_words
 
 BITS = 20
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
         at = np.flatnonzero(weights)
         return pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "w": [weights[at].tobytes()], "bias": [bias]})
 
-    rows = docs.join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, at binary")
+    rows = docs.join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(tidy(features), "doc_id long, label int, at binary")
     rows = rows.groupBy("doc_id", "label").agg(F.min("at").alias("at"))  # however many texts an id has, a task sends one on
     fitted = rows.withColumn("turn", F.xxhash64("doc_id", F.lit("turn"))).groupBy(F.lit(0).alias("all")).applyInPandas(sequence, "at binary, w binary, bias double").collect()
     if not fitted:
@@ -116,6 +116,8 @@ def scorer(model: Broadcast):
                 x = bias + table[np.unique(c[used[c]])].sum()
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
             yield pd.Series(scores, dtype="float64")
+        memo.clear()
+        give_back()
 
     return score
 

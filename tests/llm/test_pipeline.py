@@ -1,12 +1,16 @@
 """The pipeline's stages, on odd rows and against brute force, and the queries' contracts."""
 
+import re
+from pathlib import Path
+
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.compare import differences, views
 
 from tests.llm.test_operators import frame, odd_rows
-from sprucelake.llm import decontaminate, minhash, queries
+from sprucelake.llm import common, decontaminate, minhash, queries
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -72,3 +76,19 @@ def test_run(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_against_sql(spark, sf, name):
     assert differences(queries.QUERIES[name](spark, sf), views(sf), queries.ORACLE[name]) == ""
+
+
+def test_a_worker_gives_memory_back_after_a_task():
+    """A memo of 140 MB below something that stays: without giving back, all of it stays with the worker."""
+    held, kept = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]), []
+
+    def work(batches):
+        memo = [bytes(700) for _ in range(200_000)]
+        kept.append(bytes(700))
+        yield from batches
+        assert len(memo) and held() > before + 100_000
+
+    before = held()
+    rows = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert list(common.tidy(work)([rows, rows])) == [rows, rows]
+    assert held() < before + 50_000
