@@ -6,11 +6,11 @@ test or a batch can read what the stream wrote.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -116,102 +116,143 @@ def running_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(RunningCount(), "user_id long, n long, total double", "Update", "None")
 
 
-def _millis(t: datetime.datetime) -> int:
-    return int(t.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+#: Parts that users are dealt to where a part's state is kept by one key: each call from Python for a key's state and timers costs, whatever is in it.
+SHARDS = 2048
 
 
-class IdleSessions(StatefulProcessor):
-    """A user's sessions: events less than `gap` apart, in whatever order they come, given out when the watermark is `gap` behind the last."""
+def by_shard(events: DataFrame, *columns: str, shards: int = SHARDS) -> GroupedData:
+    """(user, known, columns) of the events by shards of users; user is 0 where user_id is null, which known tells."""
+    user = F.coalesce(F.col("user_id"), F.lit(0)).alias("user")
+    return events.select(F.pmod(F.xxhash64("user_id"), F.lit(shards)).alias("shard"), user, F.col("user_id").isNotNull().alias("known"), *columns).groupBy("shard")
 
-    def __init__(self, gap: str) -> None:
-        self.gap = pd.Timedelta(gap).to_pytimedelta()
+
+def with_users(out: DataFrame, *columns: str) -> DataFrame:
+    return out.select(F.when(F.col("known"), F.col("user")).alias("user_id"), *columns)
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype("int64")
+
+
+def _times(micros: np.ndarray) -> np.ndarray:
+    return micros.astype("datetime64[us]")
+
+
+class Rows:
+    """Rows of whole numbers in a shard's state: one value, each column an array of int64 as bytes."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, columns: list[str]) -> None:
+        self.state, self.columns = handle.getValueState(name, ", ".join(f"{c} binary" for c in columns)), columns
+
+    def get(self) -> pd.DataFrame:
+        found = self.state.get() if self.state.exists() else [b""] * len(self.columns)
+        return pd.DataFrame({c: np.frombuffer(bytes(x), np.int64) for c, x in zip(self.columns, found, strict=True)})
+
+    def put(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.state.update(tuple(rows[c].to_numpy(np.int64).tobytes() for c in self.columns))
+        else:
+            self.state.clear()
+
+
+class Waking(StatefulProcessor):
+    """A processor of shards with one timer for each."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start timestamp, last timestamp, n long")
+
+    def wake(self, millis: int | None) -> None:
+        """One timer at that time, or none."""
+        timers = list(self.handle.listTimers())
+        for t in timers:
+            if t != millis:
+                self.handle.deleteTimer(t)
+        if millis is not None and millis not in timers:
+            self.handle.registerTimer(millis)
+
+    def close(self) -> None:
+        pass
+
+
+class IdleSessions(Waking):
+    """Users' sessions: events less than `gap` apart, in whatever order they come, given out when the watermark is `gap` behind the last."""
+
+    def __init__(self, gap: str) -> None:
+        self.gap = pd.Timedelta(gap) // pd.Timedelta("1us")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = Rows(handle, "open", ["user", "known", "start", "last", "n"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = [tuple(s) for s in self.open.get()] + [(t.to_pydatetime(), t.to_pydatetime(), 1) for pdf in rows for t in pdf["ts"]]
-        spans: list[tuple] = []
-        for start, last, n in sorted(found):
-            if spans and start - spans[-1][1] < self.gap:
-                spans[-1] = (spans[-1][0], max(spans[-1][1], last), spans[-1][2] + n)
-            else:
-                spans.append((start, last, n))
-        self._keep(spans)
-        yield self._rows(key, [])
+        new = pd.concat(list(rows), ignore_index=True)
+        at = _micros(new["ts"])
+        spans = pd.concat([self.open.get(), pd.DataFrame({"user": new["user"], "known": new["known"].astype("int64"), "start": at, "last": at, "n": 1})], ignore_index=True)
+        spans = spans.sort_values(["user", "known", "start"], ignore_index=True)
+        # A session begins where a user does, or `gap` behind all that the user has before.
+        own = spans.groupby(["user", "known"], sort=False)
+        before = own["last"].cummax().shift(fill_value=0)
+        session = ((own.cumcount() == 0) | (spans["start"] - before >= self.gap)).cumsum()
+        self._keep(spans.groupby(session).agg({"user": "first", "known": "first", "start": "first", "last": "max", "n": "sum"}))
+        yield self._rows(spans[:0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        spans = [tuple(s) for s in self.open.get()]
-        closed = [s for s in spans if _millis(s[1] + self.gap) <= timerValues.getCurrentWatermarkInMs()]
-        self._keep([s for s in spans if s not in closed])
-        yield self._rows(key, closed)
-
-    def _keep(self, spans: list[tuple]) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if spans:
-            self.open.put(spans)
-            self.handle.registerTimer(_millis(min(last for _, last, _ in spans) + self.gap))
-        else:
-            self.open.clear()
+        spans = self.open.get()
+        closed = (spans["last"] + self.gap) // 1000 <= timerValues.getCurrentWatermarkInMs()
+        self._keep(spans[~closed])
+        yield self._rows(spans[closed])
 
-    def _rows(self, key, closed: list) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]] * len(closed), "start": pd.Series([s for s, _, _ in closed], dtype="datetime64[us]"), "n": pd.Series([n for *_, n in closed], dtype="int64")})
+    def _keep(self, spans: pd.DataFrame) -> None:
+        self.open.put(spans)
+        self.wake(int((spans["last"].min() + self.gap) // 1000) if len(spans) else None)
 
-    def close(self) -> None:
-        pass
+    def _rows(self, closed: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user": closed["user"], "known": closed["known"].astype(bool), "start": _times(closed["start"].to_numpy()), "n": closed["n"]})
 
 
-def idle_sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
+def idle_sessions(events: DataFrame, gap: str = "2 hours", shards: int = SHARDS) -> DataFrame:
     """Sessions by state and event-time timers (needs the RocksDB state store). Events may come in any order within the watermark."""
-    return events.groupBy("user_id").transformWithStateInPandas(IdleSessions(gap), "user_id long, start timestamp, n long", "Append", "EventTime")
+    out = by_shard(events, "ts", shards=shards).transformWithStateInPandas(IdleSessions(gap), "user long, known boolean, start timestamp, n long", "Append", "EventTime")
+    return with_users(out, "start", "n")
 
 
-class InOrder(StatefulProcessor):
-    """A user's events, kept until the watermark has passed them and then given out in order of time, numbered from 1."""
+class InOrder(Waking):
+    """Users' events, kept until the watermark has passed them and then given out in order of time, each user's numbered from 1."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long")
-        self.given = handle.getValueState("given", "n long")
+        super().init(handle)
+        self.waiting = Rows(handle, "waiting", ["user", "known", "ts", "event_id"])
+        self.given = Rows(handle, "given", ["user", "known", "n"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(t.to_pydatetime(), int(i)) for pdf in rows for t, i in zip(pdf["ts"], pdf["event_id"], strict=True)]
-        timers = list(self.handle.listTimers())
-        self.waiting.appendList(new)
-        first = min(t for t, _ in new)
-        if not timers or _millis(first) + 1 < min(timers):
-            self._wake(first)
-        yield self._rows(key, [], 0)
+        new = pd.concat(list(rows), ignore_index=True)
+        new = pd.DataFrame({"user": new["user"], "known": new["known"].astype("int64"), "ts": _micros(new["ts"]), "event_id": new["event_id"].astype("int64")})
+        self._keep(pd.concat([self.waiting.get(), new], ignore_index=True))
+        yield self._rows(new[:0].assign(place=0))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rows, now = sorted(tuple(r) for r in self.waiting.get()), timerValues.getCurrentWatermarkInMs()
-        done, rest = [r for r in rows if _millis(r[0]) < now], [r for r in rows if _millis(r[0]) >= now]
-        given = self.given.get()[0] if self.given.exists() else 0
-        self.given.update((given + len(done),))
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0])
-        yield self._rows(key, done, given)
-
-    def _wake(self, first: datetime.datetime) -> None:
-        """One timer, behind the first event that waits."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(_millis(first) + 1)
-
-    def _rows(self, key, done: list, given: int) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]] * len(done), "event_id": pd.Series([i for _, i in done], dtype="int64"), "ts": pd.Series([t for t, _ in done], dtype="datetime64[us]"), "place": pd.Series(range(given + 1, given + 1 + len(done)), dtype="int64")})
+        rows = self.waiting.get()
+        ripe = rows["ts"] // 1000 < timerValues.getCurrentWatermarkInMs()
+        done, given = rows[ripe].sort_values(["user", "known", "ts", "event_id"]), self.given.get()
+        self._keep(rows[~ripe])
+        done = done.merge(given, on=["user", "known"], how="left")
+        own = done.groupby(["user", "known"], sort=False)
+        done["place"] = done["n"].fillna(0).astype("int64") + own.cumcount() + 1
+        self.given.put(pd.concat([given, done.rename(columns={"n": "_", "place": "n"})[["user", "known", "n"]]]).groupby(["user", "known"], as_index=False)["n"].max())
+        yield self._rows(done)
 
-    def close(self) -> None:
-        pass
+    def _keep(self, rows: pd.DataFrame) -> None:
+        self.waiting.put(rows)
+        self.wake(int(rows["ts"].min() // 1000) + 1 if len(rows) else None)
+
+    def _rows(self, done: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user": done["user"], "known": done["known"].astype(bool), "event_id": done["event_id"], "ts": _times(done["ts"].to_numpy()), "place": done["place"]})
 
 
-def in_order(events: DataFrame) -> DataFrame:
+def in_order(events: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(user_id, event_id, ts, place): a disordered stream's events in order (needs the RocksDB state store); late ones are dropped by the watermark."""
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").transformWithStateInPandas(InOrder(), "user_id long, event_id long, ts timestamp, place long", "Append", "EventTime")
+    out = by_shard(events, "event_id", "ts", shards=shards).transformWithStateInPandas(InOrder(), "user long, known boolean, event_id long, ts timestamp, place long", "Append", "EventTime")
+    return with_users(out, "event_id", "ts", "place")
 
 
 def replayed(events: DataFrame, batch: Column, batches: int, delay: str) -> DataFrame:

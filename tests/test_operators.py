@@ -167,6 +167,25 @@ def test_order_behind_the_watermark(spark):
     assert {r.event_id: r.place for r in out} == expected
 
 
+def test_state_by_shards_of_users(spark):
+    """Many users in few shards, one of them null and one 0, over several batches: as few keys of state as shards, and every user's events and sessions apart."""
+    rng = random.Random(3)
+    users = [None, *range(30)]
+    rows = [(i, at(i / 10), rng.choice(users), "click", 1.0, "{}", i // 100) for i in range(300)]
+    df = spark.createDataFrame(rows, f"{E.SCHEMA}, b int")
+    with rocks_db(spark):
+        ordered = E.run(E.in_order(E.replayed(df, F.col("b"), 3, "1 hour"), shards=3), "shards-order").collect()
+        found = E.run(E.idle_sessions(E.replayed(df, F.col("b"), 3, "1 hour"), "2 hours", shards=3), "shards-idle").collect()
+    places, sessions = set(), set()
+    for user in users:
+        own = [r for r in rows if r[2] == user]
+        places |= {(user, r[0], n) for n, r in enumerate(own, 1) if r[1] < at(28.9)}
+        begins = [k for k in range(len(own)) if k == 0 or own[k][1] - own[k - 1][1] >= dt.timedelta(hours=2)] + [len(own)]
+        sessions |= {(user, own[a][1], b - a) for a, b in zip(begins, begins[1:], strict=False) if own[b - 1][1] + dt.timedelta(hours=2) <= at(28.9)}
+    assert {(r.user_id, r.event_id, r.place) for r in ordered} == places
+    assert {(r.user_id, r.start, r.n) for r in found} == sessions
+
+
 def test_upserts(spark, tmp_path):
     """A batch that comes again changes nothing, an attempt that was cut short is written over, and two versions are kept."""
     batch = lambda *rows: spark.createDataFrame(rows, "k int, t int, v string")
