@@ -9,15 +9,19 @@ the signature send documents to buckets.
 Documents with equal sets form a class; only one document of a class goes on. In each bucket
 all members are compared with its smallest member (the hub), on full sets. Links give components.
 
-A bucket that still holds several components is left with its rest: the members outside the hub's
+A bucket that still holds several components is left with its rest: the members outside the largest
 component. If the rest is small, it is compared with all members: these are cut into blocks, each
 once, and the rest goes to every block, so the rows grow with the bucket and not with its square.
-A bucket with a large rest (pages with much common text, just below the threshold) goes through a
-prefix filter first: its members' shingles are ordered from rare to frequent in the bucket, and of two sets
-as alike as the threshold asks the first few of either have one in common. So the members are dealt
-anew by these first shingles, in smaller buckets, and the same two steps follow. All this is exact: no link
-between different components inside a bucket is lost. The hub's set is copied for every BLOCK
-members, and what many rows have in common is joined by join_groups, so no task grows with a bucket.
+
+A bucket with a large rest (edited copies of one page, pages with much common text) is dealt anew, in a way that
+no link can cross. Shingles of it are frequent or rare. Two linked members with a rare shingle in common have one among
+the first few of either (prefix filter, rare ones first) and meet in that shingle's bucket. Two without have
+only frequent shingles in common, of which both must have as many as the threshold asks for their two sizes.
+Few members of a group of edited copies have enough for others of their size; these meet in one bucket for their class of
+sizes, with as hub the one nearest to what is common, and others only as visitors in classes of smaller sizes
+for which they have enough. Visitors are not compared with each other. What is left after that with a large rest is dealt once more, by
+first shingles alone, rare and frequent. All this is exact: no link between different components inside a bucket is
+lost. The hub's set is copied for every BLOCK members, and what many rows have in common is joined by join_groups, so no task grows with a bucket.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; fewer than
 k words are one shingle; rows that share an id are one document, linked by any of their texts,
@@ -30,12 +34,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sprucelake.llm.common import WordHashes, components, discard, few_rows_a_batch, join_groups, lower_words, mix, shingles, small, small_batches, tidy, written
@@ -171,46 +176,78 @@ class Linker:
         return written(met.where(100 * both >= self.percent * (F.size("s") + F.size("t") - both)).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "links")
 
     def still_open(self, inside: DataFrame, found: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components of found, with component, main (the hub's) and rest (members of others)."""
-        marked = inside.where("size > 2").select("bucket", "rep", "n", "size").join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        """Members of buckets that hold several components of found, with component, main (the largest one) and how many they are.
+
+        members: all; main_homes, rest_homes, rest_visitors: in the main component and in others; large: too many for blocks.
+        """
+        marked = inside.where("size > 2").select("bucket", "rep", "n", "home", "size").join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         marked = written(marked, "marked")
-        # Of a bucket's components the one of its smallest member is the hub's.
-        shares = marked.groupBy("bucket", "component").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
-        tops = shares.groupBy("bucket").agg(F.min(F.struct("first", "component", "n")).alias("top"), F.sum("n").alias("members"))
-        tops = tops.select("bucket", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.n")).alias("rest"))
-        return join_groups(marked, written(tops.where("rest > 0"), "tops"), ["bucket"], "members", marked.count())
+        shares = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+        tops = shares.groupBy("bucket").agg(F.max(F.struct("n", "component", "homes")).alias("top"), F.sum("n").alias("members"), F.sum("homes").alias("homes"))
+        tops = tops.selectExpr("bucket", "top.component as main", "members", "top.homes as main_homes", "homes - top.homes as rest_homes", "members - top.n - homes + top.homes as rest_visitors")
+        tops = tops.where("rest_homes > 0 or rest_visitors > 0 and main_homes > 0")
+        tops = tops.withColumn("large", (F.col("rest_homes") > BLOCK) | (F.least("rest_visitors", "main_homes") > BLOCK))
+        return join_groups(marked, written(tops, "tops"), ["bucket"], "members", marked.count())
 
     def blocks(self, members: DataFrame) -> DataFrame:
-        """Links (a, b) between the rest of each bucket and all its members."""
-        many, few = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
+        """Links (a, b) between the rest of each bucket and all its members, but for visitors among each other."""
+        apart, home = F.col("component") != F.col("main"), F.col("home")
         deal = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
         to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        block = members.select("bucket", "rep", "component", F.lit(0).alias("side"), deal(0, many).alias("i"), to(few).alias("j"))
-        rest = members.where("component <> main").select("bucket", "rep", "component", F.lit(1).alias("side"), deal(1, few).alias("j"), to(many).alias("i"))
-        return written(block.unionByName(rest).join(self.one, "rep").groupBy("bucket", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "links")
-
-    def by_prefix(self, members: DataFrame) -> DataFrame:
-        """The members (bucket, rep, n) of large buckets dealt anew by their first shingles, in the order of frequency in the bucket."""
+        sides = []
+        # Of the rest, those at home meet all members and visitors meet those at home in the main component.
+        for part, (left, many, right, few) in enumerate(((F.lit(True), "members", apart & home, "rest_homes"), (~apart & home, "main_homes", apart & ~home, "rest_visitors"))):
+            met = members.where(f"{many} > 0 and {few} > 0")
+            many, few = (F.ceil(F.col(size) / BLOCK).cast("int") for size in (many, few))
+            own = ["bucket", F.lit(part).alias("part"), "rep", "component"]
+            sides.append(met.where(left).select(*own, F.lit(0).alias("side"), deal(0, many).alias("i"), to(few).alias("j")))
+            sides.append(met.where(right).select(*own, F.lit(1).alias("side"), deal(1, few).alias("j"), to(many).alias("i")))
+        each = reduce(DataFrame.unionByName, sides).join(self.one, "rep")
+        return written(each.groupBy("bucket", "part", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "links")
+
+    def dealt_anew(self, members: DataFrame, whole: bool) -> DataFrame:
+        """The members (bucket, rep, n) of large buckets in new ones: (bucket, rep, n, home, rank).
+
+        whole: by their first shingles, in the order of frequency in the bucket. Else by those of the first ones that are rare in
+        the bucket, and by classes of sizes as far as they have enough frequent ones for a link.
+        """
         chunks = F.ceil(F.col("members") / BLOCK).cast("int")
         own = written(members.select("bucket", "rep", "n", "members", chunks.alias("chunks"), F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk")).join(self.one, "rep"), "prefix")
         often = own.select("bucket", "chunks", "members", F.explode("s").alias("e")).groupBy("bucket", "chunks", "members", "e").agg(F.count("*").alias("c")).where(F.col("c") * FREQUENT > F.col("members"))
         often = often.groupBy("bucket", "chunks").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("often"))
         often = often.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         both = own.join(often, ["bucket", "chunks", "chunk"], "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
-        order = F.concat(F.array_except("s", "often"), F.array_intersect("often", "s"))
+        rare, usual = F.array_except("s", "often"), F.array_intersect("often", "s")
+        # A link asks for (100 + percent) |x & y| >= percent (|x| + |y|); of the members, that one is nearest to what is common which has most to spare.
+        some, each = self.percent, 100 + self.percent
+        both = both.select("bucket", "rep", "n", rare.alias("rare"), usual.alias("usual"), (each * F.size(usual) - some * F.col("n")).alias("rank"))
         # |x & y| >= t |x| for either of two linked sets, and >= 2t / (1 + t) |y| for the smaller one.
-        probe, index = (F.col("n") - F.ceil(F.col("n") * a / b) + 1 for a, b in ((self.percent, 100), (2 * self.percent, 100 + self.percent)))
-        each = both.select("bucket", "rep", "n", index.alias("index"), F.posexplode(F.slice(order, 1, probe.cast("int"))).alias("at", "e"))
-        dealt = written(each.select(F.xxhash64("bucket", "e").alias("bucket"), "rep", "n", (F.col("at") < F.col("index")).alias("index")), "dealt")
-        useful = dealt.groupBy("bucket").agg(F.max("index").alias("index"), F.count("*").alias("members")).where("index and members > 1")
-        return join_groups(dealt.drop("index"), useful.select("bucket", "members"), ["bucket"], "members", dealt.count()).drop("members")
+        probe, index = (F.col("n") - F.ceil(F.col("n") * a / b) + 1 for a, b in ((some, 100), (2 * some, each)))
+        first = F.slice(F.concat("rare", "usual") if whole else F.col("rare"), 1, probe.cast("int"))
+        dealt = both.select("bucket", "rep", "n", "rank", index.alias("index"), F.posexplode(first).alias("at", "e"))
+        dealt = dealt.select(F.xxhash64("bucket", "e").alias("bucket"), "rep", "n", (F.col("at") < F.col("index")).alias("home"), "rank")
+        if not whole:
+            # With frequent shingles alone in common, x reaches sizes up to `most`.
+            sizes = both.select("bucket", "rep", "n", "rank", F.ceil(F.col("n") * some / 100).alias("least"), F.least("n", F.floor(F.col("rank") / some)).alias("most")).where("most >= least")
+            sizes = sizes.withColumn("class", F.explode(F.sequence(size_class("least"), size_class("most"))))
+            dealt = dealt.union(sizes.select(F.xxhash64("bucket", "class", F.lit("size")), "rep", "n", F.col("class") == size_class("n"), "rank"))
+        dealt = written(dealt, "dealt")
+        useful = dealt.groupBy("bucket").agg(F.max("home").alias("home"), F.count("*").alias("members")).where("home and members > 1")
+        return join_groups(dealt, useful.select("bucket", "members"), ["bucket"], "members", dealt.count()).drop("members")
+
+
+def size_class(n: str) -> Column:
+    """The class of a size (a column's name): 32 classes for each doubling, in order; sizes below 64 are classes of their own."""
+    shift = f"greatest(length(bin({n})) - 6, 0)"
+    return F.expr(f"32 * {shift} + shiftright({n}, {shift})")
 
 
 def with_hubs(members: DataFrame, total: int) -> DataFrame:
-    """The members (bucket, rep, n), `total` of them, of buckets that several share, with the bucket's size and its smallest member."""
-    heads = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    """The members (bucket, rep, n, home, rank), `total` of them, of buckets that several share, with the bucket's size and its hub: at home, of highest rank, smallest."""
+    order = F.struct((~F.col("home")).alias("away"), (-F.col("rank")).alias("rank"), "rep", "n")
+    heads = members.groupBy("bucket").agg(F.min(order).alias("hub"), F.count("*").alias("size")).where("size > 1")
     heads = written(heads.select("bucket", "size", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "heads")
-    return written(join_groups(members, heads, ["bucket"], "size", total), "inside")
+    return written(join_groups(members.drop("rank"), heads, ["bucket"], "size", total), "inside")
 
 
 def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +261,7 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     # One document of each class of equal sets goes on.
     classes = signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     classes = written(classes, "classes")
-    inside = with_hubs(classes.select("rep", "n", F.explode("bands").alias("bucket")), bands * classes.count())
+    inside = with_hubs(classes.select("rep", "n", F.explode("bands").alias("bucket"), F.lit(True).alias("home"), F.lit(0).alias("rank")), bands * classes.count())
     wanted = written(inside.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     sets = written(shingle_sets(docs.join(small(wanted), "doc_id", "left_semi").distinct(), k), "sets")
 
@@ -232,13 +269,16 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     links = linker.stars(inside)
     first = components(links, "first")
     left = written(linker.still_open(inside, first), "left")
-    links = links.union(linker.blocks(left.where(F.col("rest") <= BLOCK)))
-    large = left.where(F.col("rest") > BLOCK)
-    if large.limit(1).count():
-        dealt = written(linker.by_prefix(large), "dealt")
+    links = links.union(linker.blocks(left.where("not large")))
+    for whole in (False, True):
+        large = left.where("large")
+        if not large.limit(1).count():
+            break
+        dealt = written(linker.dealt_anew(large, whole), "dealt")
         again = with_hubs(dealt, dealt.count())
         links = links.union(linker.stars(again))
-        links = links.union(linker.blocks(written(linker.still_open(again, components(links, "second")), "left")))
+        left = written(linker.still_open(again, components(links, "second")), "left")
+        links = links.union(linker.blocks(left if whole else left.where("not large")))
     final = components(links.distinct(), "final")
     discard(inside, wanted, sets, first)
 

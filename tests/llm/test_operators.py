@@ -523,6 +523,42 @@ def test_near_groups_in_a_large_bucket_of_unlike_members(spark, monkeypatch):
     assert rows_of[400] < 2.6 * rows_of[200]
 
 
+def test_near_groups_of_edited_copies_of_one_page(spark, monkeypatch):
+    """Most are alike and few linked: the rows that meet in blocks grow with the copies, not with their square."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    plain, met_of = minhash._block_links, {}
+    base = [f"t{j}" for j in range(150)]
+    for n in (150, 450):
+        rng, met, rows = random.Random(3), spark.sparkContext.accumulator(0), []
+        for i in range(n):
+            words = list(base)
+            for _ in range(rng.choice([1, 3, 4, 5, 6, 7])):
+                words[rng.randrange(150)] = f"e{rng.random()}"
+            rows.append((i, " ".join(words[rng.randint(0, 6) :])))
+
+        def counted(percent, met=met):
+            work = plain(percent)
+
+            def run(pdf):
+                met.add(len(pdf))
+                return work(pdf)
+
+            return run
+
+        monkeypatch.setattr(minhash, "_block_links", counted)
+        out = minhash.near_groups(frame(spark, rows, 4)).collect()
+        assert sorted((r[0], r[1], r[2], r[3]) for r in out) == groups_by_force(rows, 5, 80)
+        met_of[n] = met.value
+    assert met_of[450] < 4 * met_of[150], met_of
+
+
+def test_size_classes(spark):
+    sizes = spark.range(1, 5000).withColumn("c", minhash.size_class("id")).orderBy("id").collect()
+    assert all(a["c"] <= b["c"] <= a["c"] + 1 for a, b in itertools.pairwise(sizes))
+    least = {r["c"]: r["id"] for r in reversed(sizes)}
+    assert all(r["id"] == least[r["c"]] if r["id"] < 64 else 32 * (r["id"] - least[r["c"]]) < r["id"] for r in sizes)
+
+
 def test_joined_groups(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_SHARE", 3)
     rows = spark.range(100).selectExpr("id", "case when id < 60 then 7 else id end as k")
